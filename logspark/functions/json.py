@@ -7,10 +7,24 @@ from pyspark.sql import Column, functions as F
 FIELDS = "map<string,variant>"
 
 
+def parse(raw: Column) -> Column:
+    """A whole text as one JSON value, NULL otherwise.
+
+    Spark's parser stops after the first value, so the text is parsed as the head of a
+    two-element array; anything behind the value then breaks the array.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",1]")))
+    exactly_two = (
+        F.try_variant_get(pair, "$[1]", "int").eqNullSafe(F.lit(1))
+        & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    )
+    return F.when(exactly_two, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parse_fields(raw: Column) -> Column:
     """A JSON object's members; NULL for anything that is not a JSON object."""
     looks_like = raw.rlike(r"^\s*\{")
-    return F.try_variant_get(F.try_parse_json(F.when(looks_like, raw)), "$", FIELDS)
+    return F.try_variant_get(parse(F.when(looks_like, raw)), "$", FIELDS)
 
 
 def object_fields(v: Column) -> Column:
@@ -47,6 +61,16 @@ def as_json(v: Column) -> Column:
     return F.when(v.isNotNull(), F.coalesce(as_text(v), F.to_json(v)))
 
 
+def get(v: Column, *path: str) -> Column:
+    """A nested member as VARIANT."""
+    return F.try_variant_get(v, variant_path(list(path)), "variant")
+
+
+def items(v: Column, *path: str) -> Column:
+    """A nested array as ARRAY<VARIANT>."""
+    return F.try_variant_get(v, variant_path(list(path)), "array<variant>")
+
+
 def first_text(fields: Column, *keys: str) -> Column:
     return F.coalesce(*[as_text(fields[k]) for k in keys])
 
@@ -67,11 +91,12 @@ def without(fields: Column, keys) -> Column:
 
 
 def merge(winner: Column, loser: Column) -> Column:
-    """Union of two maps; on a shared key the first argument wins. NULL maps count as empty."""
+    """Union of two maps; on a shared key the first argument wins. NULL maps count as empty.
+
+    Needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (see ``logspark.session.prepare``).
+    """
     empty = F.create_map().cast(FIELDS)
-    win, lose = F.coalesce(winner, empty), F.coalesce(loser, empty)
-    fresh = F.map_filter(lose, lambda k, _: ~F.map_contains_key(win, k))
-    return F.map_concat(fresh, win)
+    return F.map_concat(F.coalesce(loser, empty), F.coalesce(winner, empty))
 
 
 def path_of(path: str) -> list[str]:

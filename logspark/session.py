@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 def local_session(app: str = "logspark", cores: str | None = None) -> SparkSession:
     """A small local session; on a cluster the caller brings its own session."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -20,9 +20,18 @@ def local_session(app: str = "logspark", cores: str | None = None) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    return prepare(spark)
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All times are UTC; pin the session zone before any timestamp cast is planned."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs rely on: UTC times, and the last of repeated keys wins."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
+
+
+def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
+    """The shared checkpoint folder of the cluster; ``fallback`` only where none is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or fallback

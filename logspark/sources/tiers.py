@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logspark import schemas
+from logspark.functions import json as J
 from logspark.functions.text import blank_to_null, strip_space
 from logspark.operators.retention import safe_partition_name, safe_site_name
 from logspark.plans.ranges import clamp
@@ -262,7 +263,7 @@ def read_landed_bodies(spark: SparkSession, path: str, receive_ts: datetime | No
 def split_bodies(bodies: DataFrame, source_addr: str = "", protocol: str = "http_json") -> DataFrame:
     """Columns ``body``, ``receive_ts`` to one raw record per array element, object or line."""
     body = F.regexp_replace(F.col("body"), r"(?U)^\s+", "")
-    whole = F.try_parse_json(F.when(body.rlike(r"^[\[{]"), body))
+    whole = J.parse(F.when(body.rlike(r"^[\[{]"), body))
     is_array = F.schema_of_variant(whole).startswith("ARRAY")
     items = F.transform(
         F.try_variant_get(whole, "$", "array<variant>"),
