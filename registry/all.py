@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from registry import logs  # noqa: F401
+from registry import logs, web  # noqa: F401

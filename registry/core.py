@@ -17,12 +17,14 @@ GAP = 12 * 3600
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Times without a zone and narrow whole numbers as BIGINT, so both engines agree on types."""
+    """Times without a zone, dates as text and whole numbers as BIGINT: types both engines share."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))
@@ -165,10 +167,10 @@ wss AS (
     coalesce(sum(value) FILTER (WHERE event='engagement'), 0) AS engaged
   FROM marked GROUP BY ALL),
 keyed AS (
-  SELECT *, CASE WHEN start_ts IS NULL THEN 0 ELSE {sql_signed64("site_id || '|' || visitor_id || '|' || epoch_ms(start_ts)")} END AS session_id FROM wss),
+  SELECT *, CASE WHEN start_ts IS NULL THEN 0 ELSE {sql_signed64("site_id || '|' || visitor_id || '|' || (epoch_us(start_ts) // 1000)")} END AS session_id FROM wss),
 ws AS (
   SELECT session_id, site_id, visitor_id, user_id, is_internal, start_ts, end_ts, entry_path, exit_path,
-    pageviews, events, least(CAST(round(engaged) AS BIGINT), epoch_ms(end_ts) - epoch_ms(start_ts)) AS engaged_ms,
+    pageviews, events, least(CAST(round(engaged) AS BIGINT), (epoch_us(end_ts) // 1000) - (epoch_us(start_ts) // 1000)) AS engaged_ms,
     pageviews = 1 AND interactions = 0 AS is_bounce, source, medium, country, region, city, device, browser, os
   FROM keyed WHERE pageviews >= 1),
 we AS (

@@ -115,7 +115,7 @@ def e5(spark, d):
     cut = F.lit(START + timedelta(days=15))
     hot, cold = logs.filter(F.col("ts") >= cut), logs.filter(F.col("ts") < cut)
     both = tiers.union_tiers(hot, cold, {"event_key": logs.schema["event_key"].dataType})
-    condition = "get_json_object(attributes, '$.duration_ms') > 50 AND level = 'info'"
+    condition = "CAST(get_json_object(attributes, '$.duration_ms') AS DOUBLE) > 50 AND level = 'info'"
     return E.query_all(both, condition, START, END, 1000).select("event_key", "ts", "service", "level")
 
 
@@ -461,11 +461,11 @@ def c8(spark, d):
     return C.reconcile_groups(old_groups(spark, d), retained).select("fingerprint", "total_count", "last_seen")
 
 
-@check("C9_list_groups", f"""WITH {LOGS}, f AS ({_FOLD}), m AS (SELECT * FROM f WHERE last_seen >= TIMESTAMP '2024-01-11' AND service = 'svc-3' AND (title ILIKE '%step4%' OR exception_type ILIKE '%step4%'))
-SELECT fingerprint, title, n AS total_count, last_seen, (SELECT count(*) FROM m) AS total_matched FROM m ORDER BY n DESC, last_seen DESC, fingerprint LIMIT 20 OFFSET 1""")
+@check("C9_list_groups", f"""WITH {LOGS}, f AS ({_FOLD}), m AS (SELECT * FROM f WHERE last_seen >= TIMESTAMP '2024-01-11' AND service = 'svc-3' AND (title ILIKE '%step%' OR exception_type ILIKE '%step%'))
+SELECT fingerprint, title, n AS total_count, last_seen, (SELECT count(*) FROM m) AS total_matched FROM m ORDER BY n DESC, last_seen DESC, fingerprint LIMIT 5 OFFSET 1""")
 def c9(spark, d):
     groups = C.new_groups(C.fold_error_groups(A.logs(spark, d)))
-    page = C.list_groups(groups, END, 20 * 86400, service="svc-3", text="step4", sort="count", limit=20, offset=1)
+    page = C.list_groups(groups, END, 20 * 86400, service="svc-3", text="step", sort="count", limit=5, offset=1)
     return page.select("fingerprint", "title", "total_count", "last_seen", "total_matched")
 
 
