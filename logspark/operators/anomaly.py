@@ -43,22 +43,36 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
-def newest_score(values: Column) -> Column:
-    """Modified z-score of the last value; mean and deviation stand in when the MAD is zero."""
-    med, last = median_of(values), F.element_at(values, -1)
-    mad = median_of(F.transform(values, lambda x: F.abs(x - med)))
-    mean = _mean(values)
-    deviation = F.sqrt(_mean(F.transform(values, lambda x: (x - mean) * (x - mean))))
-    return F.when(mad >= FLAT, F.lit(NORMAL_QUARTILE) * (last - med) / mad).when(
-        deviation >= FLAT, (last - mean) / deviation
-    )
-
-
 def differences(values: Column) -> Column:
     n = F.size(values)
     return F.zip_with(F.slice(values, F.lit(2), n - 1), F.slice(values, F.lit(1), n - 1), lambda b, a: b - a)
 
 
+def with_score(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """Modified z-score of the last element; mean and deviation stand in when the MAD is zero.
+
+    Each statistic is its own column, so it is computed once per row and not once per element.
+    """
+    v, med, mean = F.col(values), F.col("_med"), F.col("_mean")
+    last = F.element_at(v, -1)
+    return (
+        rows.withColumns({"_med": median_of(v), "_mean": _mean(v)})
+        .withColumns(
+            {
+                "_dev": median_of(F.transform(v, lambda x: F.abs(x - med))),
+                "_sd": F.sqrt(_mean(F.transform(v, lambda x: (x - mean) * (x - mean)))),
+            }
+        )
+        .withColumn(
+            name,
+            F.when(F.col("_dev") >= FLAT, F.lit(NORMAL_QUARTILE) * (last - med) / F.col("_dev")).when(
+                F.col("_sd") >= FLAT, (last - mean) / F.col("_sd")
+            ),
+        )
+        .drop("_med", "_mean", "_dev", "_sd")
+    )
+
+
 def gather(series: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ts of the newest point, values oldest first) with at least five points."""
     return (
@@ -80,9 +94,8 @@ def detect(series: DataFrame, keys: list[str], metric: Column, z: float = 3.0, d
     Detectors: MAD, rate of change, one-day season (needs two days of minutes), and with
     ``drops`` a fall under 30 % of the usual level.
     """
-    rows = gather(series, keys).withColumns(
-        {"_mad": newest_score(F.col("values")), "_rate": newest_score(differences(F.col("values")))}
-    )
+    rows = gather(series, keys).withColumn("steps", differences(F.col("values")))
+    rows = with_score(with_score(rows, "values", "_mad"), "steps", "_rate")
     values, last = F.col("values"), F.element_at("values", -1)
     long_enough = F.size(values) >= 2 * period
     previous = F.get(values, F.size(values) - 1 - period)
