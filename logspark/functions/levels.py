@@ -21,7 +21,11 @@ ERROR_WORDS = ["error", "exception", "traceback", "failed", "fatal"]
 
 def normalise_level(c: Column) -> Column:
     """Synonyms to the five levels; other words of at most 32 bytes are kept in lower case."""
-    word = ascii_lower(strip_space(c))
+    return level_of_word(ascii_lower(strip_space(c)))
+
+
+def level_of_word(word: Column) -> Column:
+    """As ``normalise_level`` for text already trimmed and in lower case."""
     out = F.when(word.isNull(), F.lit(None).cast("string"))
     for level, words in LEVEL_WORDS.items():
         out = out.when(word.isin([w.lower() for w in words]), F.lit(level))

@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 UNIT_SEPARATOR = "\u001f"
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+# Fixed value: the characters Unicode calls white space.
+_SPACES = (
+    "\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Quoted runs: closed by the same quote, cut by a newline, or open to the end of the text.
 _QUOTED = (
@@ -24,7 +29,7 @@ def ascii_lower(c: Column) -> Column:
 
 def strip_space(c: Column) -> Column:
     """Trim every kind of Unicode whitespace on both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -43,9 +48,9 @@ def normalise_error_text(c: Column) -> Column:
     collapses, digit words become N and hex words of 8 or more become H.
     """
     marked = F.regexp_replace(c, _QUOTED, "\u0001$1$2$3$4")
-    closed = F.regexp_replace(marked, "\u0001[\"']", "'S")
-    cut = F.regexp_replace(closed, "\u0001\\n", " ")
-    bare = F.regexp_replace(cut, "\u0001", "")
+    bare = marked
+    for mark, shown in (("\u0001\"", "'S"), ("\u0001'", "'S"), ("\u0001\n", " "), ("\u0001", "")):
+        bare = F.replace(bare, F.lit(mark), F.lit(shown))
     spaced = F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
     numbers = F.regexp_replace(spaced, r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "N")
     return F.regexp_replace(

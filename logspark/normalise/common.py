@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.functions import json as J
-from logspark.functions.levels import json_number_level, normalise_level
-from logspark.functions.text import blank_to_null, message_fingerprint
+from logspark.functions.levels import json_number_level, level_of_word
+from logspark.functions.text import ascii_lower, blank_to_null, message_fingerprint, strip_space
 from logspark.functions.timestamps import epoch_ts, flexible_ts
 
 MAX_MESSAGE = 2048
@@ -75,20 +75,34 @@ def ts_of(v: Column) -> Column:
     )
 
 
-def pick_ts(fields: Column) -> Column:
-    return F.coalesce(*[ts_of(fields[k]) for k in TS_KEYS])
+def first_ts(values: list[Column]) -> Column:
+    """The first candidate that reads as a time."""
+    tried = F.transform(F.array_compact(F.array(*values)), ts_of)
+    return F.try_element_at(F.array_compact(tried), F.lit(1))
 
 
-def level_of(v: Column) -> Column:
+def first_level(values: list[Column]) -> Column:
+    """The first candidate that is text or a number."""
+    usable = F.filter(
+        F.array_compact(F.array(*values)), lambda v: J.kind(v).isin("string", "integer", "number")
+    )
+    return F.get(usable, 0)
+
+
+def level_of(v: Column, word: Column) -> Column:
+    """Level of a candidate; ``word`` is its text, trimmed and in lower case."""
     k = J.kind(v)
     whole = F.when(k == "integer", F.try_variant_get(v, "$", "bigint")).otherwise(F.lit(0))
-    return F.when(k == "string", normalise_level(J.as_text(v))).when(
-        k.isin("integer", "number"), json_number_level(whole)
-    )
+    return F.coalesce(level_of_word(word), F.when(v.isNotNull(), json_number_level(whole)), F.lit("info"))
 
 
-def pick_level(fields: Column) -> Column:
-    return F.coalesce(*[level_of(fields[k]) for k in LEVEL_KEYS])
+def _split(df: DataFrame, fields: str, prefix: str) -> DataFrame:
+    """Adds ``<prefix>known`` (fields with a meaning), ``<prefix>text`` (their text) and
+    ``<prefix>rest`` (attributes), so later expressions look into small maps."""
+    known = F.map_filter(fields, lambda k, _: k.isin([*RESERVED, *LEVEL_KEYS]))
+    return df.withColumns({f"{prefix}known": known, f"{prefix}rest": J.without(F.col(fields), RESERVED)}).withColumn(
+        f"{prefix}text", F.transform_values(f"{prefix}known", lambda _, v: J.as_text(v))
+    )
 
 
 def log_rows(
@@ -103,31 +117,38 @@ def log_rows(
     A JSON object inside the message fills gaps (outer values win); promoted attributes become
     columns; ``drop_keys`` are stripped from the attributes.
     """
-    outer = F.col("fields")
-    staged = df.withColumn("message_text", J.first_text(outer, *MESSAGE_KEYS))
+    df = _split(df, "fields", "o_")
+    words = F.col("o_text")
+    df = df.withColumn("message_text", F.coalesce(*[words[k] for k in MESSAGE_KEYS]))
     inner = J.parse_fields(F.col("message_text")) if lift_message else F.lit(None).cast(J.FIELDS)
-    staged = staged.withColumn("inner", inner)
-    inner = F.col("inner")
+    df = _split(df.withColumn("inner", inner), "inner", "i_")
 
     def text(*keys: str, inner_keys: tuple[str, ...] | None = None) -> Column:
-        return F.coalesce(J.first_text(outer, *keys), J.first_text(inner, *(inner_keys or keys)))
+        return F.coalesce(
+            *[F.col("o_text")[k] for k in keys], *[F.col("i_text")[k] for k in inner_keys or keys]
+        )
+
+    def candidates(keys: list[str]) -> list[Column]:
+        return [F.col(known)[k] for known in ("o_known", "i_known") for k in keys]
 
-    attrs = J.merge(J.without(outer, RESERVED), J.without(inner, RESERVED))
-    merged = J.merge(outer, inner)
+    df = df.withColumn("level_value", first_level(candidates(LEVEL_KEYS))).withColumn(
+        "level_word", ascii_lower(strip_space(J.as_text(F.col("level_value"))))
+    )
     columns = {
-        "ts": F.coalesce(pick_ts(outer), pick_ts(inner), F.col("receive_ts")),
+        "ts": F.coalesce(first_ts(candidates(TS_KEYS)), F.col("receive_ts")),
         "insert_ts": F.col("receive_ts"),
         "source_host": F.coalesce(text("host", inner_keys=("host", "hostname")), F.col("source_addr")),
         "service": text(*SERVICE_KEYS),
-        "level": F.coalesce(pick_level(outer), pick_level(inner), F.lit("info")),
+        "level": level_of(F.col("level_value"), F.col("level_word")),
         "message": F.coalesce("message_text", F.substring("body", 1, MAX_MESSAGE)),
         "fingerprint": text("fingerprint"),
         "trace_id": text(*TRACE_KEYS),
         "span_id": text(*SPAN_KEYS),
+        "attrs": J.merge(F.col("o_rest"), F.col("i_rest")),
     }
-    rows = staged.withColumns({"attrs": attrs, "merged": merged}).select(
-        *[c.alias(n) for n, c in columns.items()], "raw_len", "protocol", "attrs", "merged", *keep
-    )
+    if promoted:
+        columns["merged"] = J.merge(F.col("fields"), F.col("inner"))
+    rows = df.select(*[c.alias(n) for n, c in columns.items()], "raw_len", "protocol", *keep)
     return finish(promote(rows, promoted), drop_keys, promoted, keep)
 
 
@@ -135,7 +156,7 @@ def promote(rows: DataFrame, promoted: tuple[Promoted, ...]) -> DataFrame:
     """Typed columns from ``merged``; a promoted top-level key leaves ``attrs``."""
     if not promoted:
         return rows
-    values, gone = {}, []
+    found, gone = {}, []
     for p in promoted:
         head, *rest = p.segments
         v = F.col("merged")[head]
@@ -143,8 +164,9 @@ def promote(rows: DataFrame, promoted: tuple[Promoted, ...]) -> DataFrame:
             v = F.try_variant_get(v, J.variant_path(rest), "variant")
         else:
             gone.append(head)
-        values[p.name] = J.coerce(v, p.kind)
-    return rows.withColumns(values).withColumn("attrs", J.without(F.col("attrs"), gone))
+        found[f"_{p.name}"] = v
+    rows = rows.withColumns(found).withColumn("attrs", J.without(F.col("attrs"), gone))
+    return rows.withColumns({p.name: J.coerce(F.col(f"_{p.name}"), p.kind) for p in promoted})
 
 
 def drop_attributes(attrs: Column, keys: tuple[str, ...]) -> Column:

@@ -93,7 +93,7 @@ def enum_name(code: Column, names: list[str]) -> Column:
 
 
 def nanos_ts(n: Column) -> Column:
-    return F.when(n > 0, F.timestamp_micros(F.floor(n / F.lit(1000)).cast("bigint")))
+    return F.when(n > 0, F.timestamp_micros(F.call_function("div", n, F.lit(1000))))
 
 
 def any_value(v: Column, depth: int = DEPTH) -> Column:
