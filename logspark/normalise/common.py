@@ -115,12 +115,16 @@ def log_rows(
     """``receive_ts, source_addr, protocol, raw_len, body, fields`` to log rows.
 
     A JSON object inside the message fills gaps (outer values win); promoted attributes become
-    columns; ``drop_keys`` are stripped from the attributes.
+    columns; ``drop_keys`` are stripped from the attributes. Rows whose optional column
+    ``plain`` is true take no part in lifting and promotion.
     """
+    plain = F.col("plain") if "plain" in df.columns else F.lit(False)
     df = _split(df, "fields", "o_")
     words = F.col("o_text")
     df = df.withColumn("message_text", F.coalesce(*[words[k] for k in MESSAGE_KEYS]))
-    inner = J.parse_fields(F.col("message_text")) if lift_message else F.lit(None).cast(J.FIELDS)
+    inner = F.lit(None).cast(J.FIELDS)
+    if lift_message:
+        inner = J.parse_fields(F.when(~plain, F.col("message_text")))
     df = _split(df.withColumn("inner", inner), "inner", "i_")
 
     def text(*keys: str, inner_keys: tuple[str, ...] | None = None) -> Column:
@@ -147,7 +151,7 @@ def log_rows(
         "attrs": J.merge(F.col("o_rest"), F.col("i_rest")),
     }
     if promoted:
-        columns["merged"] = J.merge(F.col("fields"), F.col("inner"))
+        columns["merged"] = F.when(~plain, J.merge(F.col("fields"), F.col("inner")))
     rows = df.select(*[c.alias(n) for n, c in columns.items()], "raw_len", "protocol", *keep)
     return finish(promote(rows, promoted), drop_keys, promoted, keep)
 

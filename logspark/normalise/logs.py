@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logspark.functions import json as J
 from logspark.functions.levels import level_from_text, syslog_level
 from logspark.functions.timestamps import rfc3339_ts
-from logspark.normalise.common import MAX_MESSAGE, Promoted, as_input, finish, log_rows
+from logspark.normalise.common import MAX_MESSAGE, Promoted, as_input, log_rows
 
 SYSLOG_PROTOCOLS = ["syslog_udp", "syslog_tcp"]
 # Facility names by number.
@@ -36,12 +36,13 @@ def normalise_json(
     return log_rows(parsed.filter(F.col("fields").isNotNull()), promoted, drop_keys, lift_message, keep)
 
 
-def normalise_text(raw: DataFrame, keep: tuple[str, ...] = (), promoted: tuple[Promoted, ...] = ()) -> DataFrame:
+def normalise_text(raw: DataFrame, keep: tuple[str, ...] = (), drop_keys: tuple[str, ...] = ()) -> DataFrame:
     """Opaque lines: receive time, first 2,048 characters, level from keywords.
 
     ``raw`` may be BINARY; bytes that are not UTF-8 are described instead of shown.
     """
-    return finish(_text_columns(as_input(_decoded(raw)), promoted, keep), promoted=promoted, keep=keep)
+    df = as_input(_decoded(raw)).withColumn("fields", _text_fields()).withColumn("plain", F.lit(True))
+    return log_rows(df, (), drop_keys, keep=keep)
 
 
 def _decoded(raw: DataFrame) -> DataFrame:
@@ -53,24 +54,12 @@ def _decoded(raw: DataFrame) -> DataFrame:
     return raw.withColumn("raw", F.when(valid, text).otherwise(note))
 
 
-def _promoted_nulls(promoted) -> list[Column]:
-    return [F.lit(None).cast(p.spark_type).alias(p.name) for p in promoted]
+def _text_fields() -> Column:
+    return J.object_of({"level": level_from_text(F.col("body")), "msg": F.substring("body", 1, MAX_MESSAGE)})
 
 
-def _text_columns(df: DataFrame, promoted, keep) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(
-        F.col("receive_ts").alias("ts"),
-        F.col("receive_ts").alias("insert_ts"),
-        F.col("source_addr").alias("source_host"),
-        none.alias("service"),
-        level_from_text(F.col("body")).alias("level"),
-        F.substring("body", 1, MAX_MESSAGE).alias("message"),
-        none.alias("fingerprint"), none.alias("trace_id"), none.alias("span_id"),
-        "raw_len", "protocol",
-        F.create_map().cast(J.FIELDS).alias("attrs"),
-        *_promoted_nulls(promoted), *keep,
-    )
+def _iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def _syslog_parts(df: DataFrame) -> DataFrame:
@@ -132,38 +121,34 @@ def _structured_data(data: Column) -> Column:
             ),
         )
 
-    return F.map_from_entries(F.flatten(F.transform(elements, params)))
+    empty = F.create_map().cast(J.FIELDS)
+    return F.coalesce(F.map_from_entries(F.flatten(F.transform(elements, params))), empty)
 
 
 def syslog_like(body: Column) -> Column:
     return body.rlike(_PRI) | body.startswith("<")
 
 
-def _syslog_columns(df: DataFrame, promoted, keep) -> DataFrame:
-    p = _syslog_parts(df)
+def _syslog_fields(p: DataFrame) -> Column:
     facility = F.get(F.array(*[F.lit(f) for f in FACILITIES]), F.floor(F.col("pri") / 8).cast("int"))
-    fixed = J.object_of(
-        {"syslog_facility": facility, "syslog_procid": F.col("procid"), "syslog_msgid": F.col("msgid")}
-    )
-    attrs = J.merge(fixed, _structured_data(F.col("data")))
-    none = F.lit(None).cast("string")
-    return p.select(
-        F.coalesce("stamp", "receive_ts").alias("ts"),
-        F.col("receive_ts").alias("insert_ts"),
-        F.coalesce("host", "source_addr").alias("source_host"),
-        F.col("app").alias("service"),
-        F.coalesce(syslog_level(F.pmod("pri", F.lit(8))), F.lit("info")).alias("level"),
-        F.col("text").alias("message"),
-        none.alias("fingerprint"), none.alias("trace_id"), none.alias("span_id"),
-        "raw_len", "protocol", attrs.alias("attrs"),
-        *_promoted_nulls(promoted), *keep,
-    )
-
-
-def normalise_syslog(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    fixed = {
+        "ts": _iso(F.col("stamp")),
+        "host": F.col("host"),
+        "service": F.col("app"),
+        "level": F.coalesce(syslog_level(F.pmod("pri", F.lit(8))), F.lit("info")),
+        "msg": F.col("text"),
+        "syslog_facility": facility,
+        "syslog_procid": F.col("procid"),
+        "syslog_msgid": F.col("msgid"),
+    }
+    return J.merge(J.object_of(fixed), _structured_data(F.col("data")))
+
+
+def normalise_syslog(raw: DataFrame, keep: tuple[str, ...] = (), drop_keys: tuple[str, ...] = ()) -> DataFrame:
     """Syslog lines of either layout; lines without a priority are left out."""
-    lines = as_input(raw).filter(syslog_like(F.col("raw")))
-    return finish(_syslog_columns(lines, (), keep), keep=keep)
+    lines = _syslog_parts(as_input(raw).filter(syslog_like(F.col("raw"))))
+    df = lines.withColumn("fields", _syslog_fields(lines)).withColumn("plain", F.lit(True))
+    return log_rows(df, (), drop_keys, keep=keep)
 
 
 def normalise(
@@ -172,14 +157,17 @@ def normalise(
 ) -> DataFrame:
     """Any raw record: JSON object first, then syslog by protocol, then free text.
 
-    The three branches read the input with disjoint filters; no shuffle is involved.
+    One pass: every record gets its field map from the first reading that fits, and the shared
+    last step does the rest. No shuffle is involved.
     """
-    df = as_input(_decoded(raw)).withColumn("fields", J.parse_fields(F.col("raw")))
-    is_json = F.col("fields").isNotNull()
-    is_syslog = ~is_json & F.col("protocol").isin(SYSLOG_PROTOCOLS) & syslog_like(F.col("body"))
-    branch = F.when(is_json, "json").when(is_syslog, "syslog").otherwise("text")
-    df = df.withColumn("branch", branch)
-    json_rows = log_rows(df.filter(F.col("branch") == "json"), promoted, drop_keys, lift_message, keep)
-    sys_rows = finish(_syslog_columns(df.filter(F.col("branch") == "syslog"), promoted, keep), drop_keys, promoted, keep)
-    text_rows = finish(_text_columns(df.filter(F.col("branch") == "text"), promoted, keep), drop_keys, promoted, keep)
-    return json_rows.unionByName(sys_rows).unionByName(text_rows)
+    df = as_input(_decoded(raw)).withColumn("json", J.parse_fields(F.col("raw")))
+    is_syslog = F.col("protocol").isin(SYSLOG_PROTOCOLS) & syslog_like(F.col("body"))
+    df = df.withColumn("whole_body", F.col("body")).withColumn(
+        "body", F.when(F.col("json").isNull() & is_syslog, F.col("body"))
+    )
+    parts = _syslog_parts(df)
+    sys_fields = F.when(F.col("body").isNotNull(), _syslog_fields(parts))
+    parts = parts.withColumn("syslog", sys_fields).withColumn("body", F.col("whole_body"))
+    fields = F.coalesce("json", "syslog", F.when(F.col("json").isNull(), _text_fields()))
+    rows = parts.withColumns({"fields": fields, "plain": F.col("json").isNull()})
+    return log_rows(rows, promoted, drop_keys, lift_message, keep)
