@@ -165,10 +165,7 @@ def stamp_sessions(
             ~F.coalesce("is_bot", F.lit(False)) & (F.col("visitor_id") != 0), slot(gap_seconds)
         ),
     )
-    return salted_join(
-        keyed, lookup.drop("n"), SLOT, F.col("event_key"), "left",
-        counts=lookup.select(*SLOT, "n"), hot_rows=hot_rows,
-    ).drop("slot")
+    return salted_join(keyed, lookup, SLOT, F.col("event_key"), "left", hot_rows=hot_rows).drop("slot")
 
 
 def restitch(

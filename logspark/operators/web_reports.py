@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from logspark.functions.text import clean_label, glob_like
 from logspark.functions.timestamps import bucket
 from logspark.plans.ranges import clamp, in_log_range, in_web_range, web_width
+from logspark.plans.skew import HOT_ROWS, copy_to_slices, hot_keys, slice_rows, splits_of
 
 CHIPS = ["path", "country", "region", "city", "device", "browser", "os", "source", "medium"]
 GOOD = {"LCP": 2500.0, "INP": 200.0, "CLS": 0.1}
@@ -409,13 +410,16 @@ def step_matches(step: str) -> Column:
     return F.col("path").like(glob_like(step))
 
 
-def funnel(events: DataFrame, steps: list[str], start: datetime, end: datetime, **scope) -> DataFrame:
+def funnel(
+    events: DataFrame, steps: list[str], start: datetime, end: datetime, hot_rows: int = HOT_ROWS, **scope
+) -> DataFrame:
     """Sessions reaching each step, every match strictly after the one before.
 
     Matching events are folded to one row per (session, instant) with a bit mask of the steps
-    they match, and each step then keeps one time per session, so nothing grows with the
-    number of events inside a session except the (pre-aggregated) instants. No cap on the
-    sessions of step one is needed.
+    they match and shuffled once by session; every step joins that same exchange with one row
+    per session (its level and the time it was reached) and takes a minimum, which combines
+    before it is shuffled. A session with very many instants is cut into slices, and its one
+    row is copied per slice. No cap on the sessions of step one is needed.
     """
     if not MIN_STEPS <= len(steps) <= MAX_STEPS:
         raise ValueError(f"a funnel has {MIN_STEPS} to {MAX_STEPS} steps")
@@ -429,27 +433,71 @@ def funnel(events: DataFrame, steps: list[str], start: datetime, end: datetime,
         .groupBy("session_id", "ts")
         .agg(F.bit_or("mask").alias("mask"))
     )
-    reached = None
-    for i, step in enumerate(steps):
-        here = hits.filter(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0).select("session_id", "ts")
-        if reached is not None:
-            here = here.join(reached, "session_id").filter(F.col("ts") > F.col("t")).select("session_id", "ts")
-        reached = here.groupBy("session_id").agg(F.min("ts").alias("t"))
-        count = reached.agg(F.count(F.lit(1)).alias("sessions")).select(
-            F.lit(i + 1).alias("step"), F.lit(step).alias("pattern"), "sessions"
+    first = F.col("mask").bitwiseAND(F.lit(1)) > 0
+    entered = (
+        hits.groupBy("session_id")
+        .agg(F.min(F.when(first, F.col("ts"))).alias("t"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("t").isNotNull())
+    )
+    hot = hot_keys(entered.select("session_id", "n"), ["session_id"], hot_rows)
+    sliced = slice_rows(hits, hot, ["session_id"], F.col("ts"))
+    splits = splits_of(F.col("n"), hot_rows)
+    reached = entered.select("session_id", F.lit(1).alias("level"), "t", splits.alias("splits"))
+    for i in range(1, len(steps)):
+        here = (
+            (F.col("level") == i)
+            & (F.col("mask").bitwiseAND(F.lit(1 << i)) > 0)
+            & (F.col("ts") > F.col("t"))
+        )
+        reached = (
+            copy_to_slices(reached, F.col("splits"))
+            .join(sliced, ["session_id", "_slice"], "left")
+            .groupBy("session_id")
+            .agg(
+                F.max("level").alias("level"),
+                F.max("t").alias("t"),
+                F.max("splits").alias("splits"),
+                F.min(F.when(here, F.col("ts"))).alias("next"),
+            )
+            .select(
+                "session_id",
+                F.when(F.col("next").isNotNull(), i + 1).otherwise(F.col("level")).alias("level"),
+                F.coalesce("next", "t").alias("t"),
+                "splits",
+            )
         )
-        counts = count if i == 0 else counts.unionByName(count)
-    by_step = W.orderBy("step")
-    before = F.coalesce(F.lag("sessions").over(by_step), F.col("sessions"))
-    first = F.first("sessions").over(by_step)
-    conversion = F.coalesce(F.round(F.try_divide(F.col("sessions").cast("double"), before), 4), F.lit(0.0))
+    tally = reached.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    one = tally.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("level") >= i + 1, F.col("n"))), F.lit(0)).alias(f"s{i + 1}")
+            for i in range(len(steps))
+        ]
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).alias("step"), F.lit(step).alias("pattern"),
+                F.col(f"s{i + 1}").alias("sessions"), F.col(f"s{max(i, 1)}").alias("before"),
+                F.col("s1").alias("first"),
+            )
+            for i, step in enumerate(steps)
+        ]
+    )
+
+    def ratio(name: str) -> Column:
+        part = F.try_divide(F.col("sessions").cast("double"), F.col(name))
+        return F.coalesce(F.round(part, 4), F.lit(0.0))
+
     return (
-        counts.withColumn("conversion_from_prev", conversion)
-        .withColumn("drop_off", F.when(first == 0, 0.0).otherwise(F.round(1 - F.col("conversion_from_prev"), 4)))
+        one.select(F.explode(rows).alias("r"))
+        .select("r.*")
+        .withColumn("conversion_from_prev", ratio("before"))
         .withColumn(
-            "overall_conversion",
-            F.coalesce(F.round(F.try_divide(F.col("sessions").cast("double"), first), 4), F.lit(0.0)),
+            "drop_off",
+            F.when(F.col("first") == 0, 0.0).otherwise(F.round(1 - F.col("conversion_from_prev"), 4)),
         )
+        .withColumn("overall_conversion", ratio("first"))
+        .drop("before", "first")
     )
 
 

@@ -9,21 +9,40 @@ MAX_HOT_KEYS = 10_000
 MAX_SPLITS = 4_096
 
 
+def splits_of(n: Column, hot_rows: int = HOT_ROWS) -> Column:
+    """Slices for a key with ``n`` rows: one up to ``hot_rows``."""
+    return F.greatest(F.least(F.ceil(n / hot_rows), F.lit(MAX_SPLITS)), F.lit(1)).cast("int")
+
+
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of slices each is cut into.
 
     ``counts`` has the keys and ``n``. At most the 10,000 heaviest keys are returned, so the
-    result may be broadcast; a lighter key simply stays in one slice.
+    result may be broadcast; a lighter key simply stays in slice 0.
     """
-    splits = F.least(F.ceil(F.col("n") / hot_rows), F.lit(MAX_SPLITS)).cast("int")
     return (
         counts.filter(F.col("n") > hot_rows)
         .orderBy(F.col("n").desc(), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(*keys, splits.alias("_splits"))
+        .select(*keys, splits_of(F.col("n"), hot_rows).alias("_splits"))
     )
 
 
+def slice_rows(rows: DataFrame, hot: DataFrame, keys: list[str], slice_by: Column) -> DataFrame:
+    """Adds ``_slice``: 0 for ordinary keys, a stable slice number for rows of hot keys."""
+    number = F.pmod(F.xxhash64(slice_by), F.col("_splits")).cast("int")
+    return (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_slice", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(number))
+        .drop("_splits")
+    )
+
+
+def copy_to_slices(rows: DataFrame, splits: Column) -> DataFrame:
+    """One copy of every row for each of its ``splits`` slices; slice 0 always exists."""
+    return rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), splits - 1)))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -37,23 +56,17 @@ def salted_join(
 
     ``slice_by`` must be a stable expression that differs between rows of one key (an event
     key), so a retried task gives every row the same slice. ``how`` is inner, left, left_semi
-    or left_anti with ``big`` on the left. ``counts`` (keys, n) saves the counting pass when
-    the caller already has it.
+    or left_anti with ``big`` on the left. Without ``counts`` the rows of ``big`` are counted
+    per key; a ``small`` table that already holds the count of its key in ``n`` saves that pass.
     """
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, keys, hot_rows)
-    left = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_slice",
-        F.when(F.col("_splits").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(slice_by), F.col("_splits")).cast("int")),
-    ).drop("_splits")
-    right = (
-        small.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_slice",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits") - 1, F.lit(0)))),
-        )
-        .drop("_splits")
-    )
+    if "n" in small.columns and counts is None:
+        hot = hot_keys(small.select(*keys, "n"), keys, hot_rows)
+        right = copy_to_slices(small, splits_of(F.col("n"), hot_rows)).drop("n")
+    else:
+        if counts is None:
+            counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        hot = hot_keys(counts, keys, hot_rows)
+        marked = small.join(F.broadcast(hot), keys, "left")
+        right = copy_to_slices(marked, F.coalesce("_splits", F.lit(1))).drop("_splits")
+    left = slice_rows(big, hot, keys, slice_by)
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
