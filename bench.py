@@ -26,15 +26,24 @@ def seconds(run, repeats: int = 3) -> float:
 
 def records_per_second(spark) -> tuple[int, float]:
     """JSON records normalised per second, from cached raw text to finished log rows."""
+    from pyspark.sql import functions as F
+
     from logspark.normalise.logs import normalise
-    from registry import records as R
+    from logspark.sources.adapters import table
 
-    c = R.c
-    body = R.text(
-        '{"@timestamp":"', R.ISO, '","service":"svc-', c("user_id") % 8, '","severity":"', R._pick(R._WORDS, c("k") % 12),
-        '","msg":"', c("event_type"), " of ", c("user_id"), '","request_id":"', c("event_key"), '","dur_ms":', c("value"), "}",
+    lines = table(spark, SF_DIR, "lineitem")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("INFO", "WARN", "error", "debug")]), F.col("l_linenumber") % 4 + 1)
+    record = F.struct(
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.concat(F.lit("svc-"), F.col("l_suppkey").cast("string")).alias("service"),
+        level.alias("level"),
+        F.concat(F.lit("GET /part/"), F.col("l_partkey").cast("string"), F.lit(" took "), F.col("l_quantity").cast("string")).alias("msg"),
+        F.col("l_orderkey").alias("request_id"), F.col("l_extendedprice").alias("dur_ms"), F.col("l_returnflag").alias("status"),
     )
-    raw = R.raw(R.ev(spark, SF_DIR), body).repartition(spark.sparkContext.defaultParallelism).cache()
+    raw = lines.select(
+        F.lit(START).alias("receive_ts"), F.lit("10.0.0.1").alias("source_addr"), F.lit("http_json").alias("protocol"),
+        F.to_json(record).alias("raw"),
+    ).repartition(spark.sparkContext.defaultParallelism).cache()
     count = raw.count()
     took = seconds(lambda: normalise(raw).write.format("noop").mode("overwrite").save())
     raw.unpersist()

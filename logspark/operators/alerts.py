@@ -29,12 +29,12 @@ ANOMALY_LOOKBACK = 20
 KINDS = ("threshold", "count", "error_group_threshold", "anomaly")
 _RANKS = {"critical": 3, "high": 2, "medium": 1}
 
-RULE_SCHEMA = T.StructType.fromDDL(
+RULE_SCHEMA = (
     "rule_id bigint, name string, metric string, kind string, window_secs bigint, "
     "cooldown_secs bigint, min_severity string, subject string, "
     "entries array<struct<comparator:string,value:double,severity:string,text:string>>, error string"
 )
-STATE_SCHEMA = T.StructType.fromDDL("rule_id bigint, last_severity string, last_fired_at timestamp")
+STATE_SCHEMA = "rule_id bigint, last_severity string, last_fired_at timestamp"
 
 
 def compare(value: Column, comparator: Column, limit: Column) -> Column:
