@@ -48,7 +48,10 @@ def c(name: str) -> Column:
 
 
 KEY = ("event_key",)
-ISO = F.date_format("ts", _ISO)
+
+
+def iso() -> Column:
+    return F.date_format("ts", _ISO)
 
 
 # -- A5, B1, B4: JSON ----------------------------------------------------------
@@ -85,7 +88,7 @@ SELECT event_key, ts, 'host-' || (user_id % 4) AS source_host, service, level, m
   CASE WHEN level IN ('error', 'fatal') THEN {sql_tagged('m', 'service', sql_norm('message'))} END AS fingerprint FROM r""")
 def b1(spark, d):
     body = text(
-        '{"@timestamp":"', ISO, '","host":"host-', c("user_id") % 4, '","logger":"svc-', c("user_id") % 8, '","severity":"',
+        '{"@timestamp":"', iso(), '","host":"host-', c("user_id") % 4, '","logger":"svc-', c("user_id") % 8, '","severity":"',
         _pick(_WORDS, c("k") % 12), '","msg":"', c("event_type"), " of ", c("user_id"), '","k":', c("k"), ',"nested":{"v":', c("value"),
         '},"traceId":"t', c("k") % 50, '","span_id":"s', c("k"), '"}',
     )
@@ -174,7 +177,7 @@ def b7(spark, d):
     pri = text("<", 16 * 8 + c("k") % 8, ">")
     message = text(c("event_type"), " at ", c("value"))
     host, app = text("host", c("user_id") % 5), text("app", c("k") % 3)
-    new = text(pri, "1 ", ISO, " ", host, " ", app, " ", c("user_id"), ' ID1 [ex@1 key="v\\]\\"', c("k"), '" other="x"] ', message)
+    new = text(pri, "1 ", iso(), " ", host, " ", app, " ", c("user_id"), ' ID1 [ex@1 key="v\\]\\"', c("k"), '" other="x"] ', message)
     day = F.lpad(s(F.dayofmonth("ts")), 2, " ")
     old = text(pri, F.date_format("ts", "MMM"), " ", day, " ", F.date_format("ts", "HH:mm:ss"), " ", host, " ", app, "[", c("user_id"), "]: ", message)
     out = L.normalise_syslog(raw(ev(spark, d), F.when(c("k") % 2 == 0, new).otherwise(old), "syslog_udp"), keep=KEY)
@@ -331,7 +334,7 @@ def b14(spark, d):
 def b15(spark, d):
     stage = F.when(c("k") % 11 == 0, "Panic").when(c("k") % 7 == 1, "RequestReceived").otherwise("ResponseComplete")
     one = text('{"auditID":"a', c("event_key"), '","stage":"', stage, '","verb":"get","level":"Metadata","requestURI":"/x","objectRef":{"apiGroup":"apps","resource":"pods","namespace":"ns', c("k") % 3,
-               '","name":"p', c("k"), '"},"responseStatus":{"code":', 200 + (c("k") % 4) * 100, '},"sourceIPs":["1.1.1.1","2.2.2.', c("k") % 9, '"],"stageTimestamp":"', ISO, '"}')
+               '","name":"p', c("k"), '"},"responseStatus":{"code":', 200 + (c("k") % 4) * 100, '},"sourceIPs":["1.1.1.1","2.2.2.', c("k") % 9, '"],"stageTimestamp":"', iso(), '"}')
     body = F.when(c("k") % 3 == 0, one).when(c("k") % 3 == 1, text("[", one, "]")).otherwise(text('{"kind":"EventList","items":[', one, "]}"))
     out = H.normalise_k8s_audit(raw(ev(spark, d), body, "k8s_audit"), ("RequestReceived",), keep=KEY)
     return out.select("event_key", "ts", "message", "level", "trace_id", "source_host")
@@ -340,7 +343,7 @@ def b15(spark, d):
 @check("B16_normalise_container_lines", f"""WITH {EV} SELECT event_key, CASE WHEN k % 2 = 0 THEN ts ELSE TIMESTAMP '2024-02-01' END AS ts, event_type || ' ran' AS message, CASE WHEN k % 3 = 0 THEN 'error' ELSE 'info' END AS level,
  'web-' || (k % 5) AS service, 'n' || (user_id % 3) AS source_host FROM ev WHERE k % 5 <> 4""")
 def b16(spark, d):
-    line = F.when(c("k") % 2 == 0, text(ISO, " ", c("event_type"), " ran")).otherwise(text(c("event_type"), " ran"))
+    line = F.when(c("k") % 2 == 0, text(iso(), " ", c("event_type"), " ran")).otherwise(text(c("event_type"), " ran"))
     rows = raw(ev(spark, d), line, "k8s_api").join(
         ev(spark, d).select("event_key", F.concat(F.lit("web-"), s(c("k") % 5)).alias("pod"), F.when(c("k") % 3 == 0, "stderr").otherwise("stdout").alias("stream"),
                             F.concat(F.lit("n"), s(c("user_id") % 3)).alias("node")), "event_key")
@@ -422,7 +425,7 @@ def b21(spark, d):
     level = _pick(["warning", "critical", "odd"], c("k") % 3)
     frames = text('{"frames":[{"module":"m","function":"f","filename":"a.py","lineno":', c("k"), ',"in_app":true},{"function":"lib","abs_path":"/lib.py","lineno":9}]}')
     own = F.when(c("k") % 4 == 0, text('"fingerprint":["own","E', c("k") % 5, '"],')).otherwise("")
-    body = text('{"level":"', level, '",', own, '"timestamp":"', ISO, '","exception":{"values":[{"type":"E', c("k") % 5, '","value":"bad id ', c("user_id"), ' in \\"x\\"","stacktrace":', frames,
+    body = text('{"level":"', level, '",', own, '"timestamp":"', iso(), '","exception":{"values":[{"type":"E', c("k") % 5, '","value":"bad id ', c("user_id"), ' in \\"x\\"","stacktrace":', frames,
                 '},{"type":"Last","value":"none"}]},"tags":{"k":"', c("k"), '"}}')
     out = X.normalise_error_events(raw(ev(spark, d), body, "sentry"), F.lit("p1"), {"p1": "shop"}, keep=KEY)
     return out.select("event_key", "ts", "service", "level", "message", "fingerprint", F.get_json_object("attributes", "$.stack").alias("stack"))
