@@ -8,8 +8,7 @@ from logspark.functions.text import blank_to_null
 from logspark.functions.web import ip_number
 from logspark.plans.skew import HOT_ROWS, salted_join
 
-BLOCK = 65_536
-FAMILY_PARTS = ["lo", "hi", "country", "region", "city"]
+ADDRESS_BITS = 32
 
 
 def apply_defaults(logs: DataFrame, service: str, host: str) -> DataFrame:
@@ -23,25 +22,50 @@ def apply_defaults(logs: DataFrame, service: str, host: str) -> DataFrame:
     )
 
 
-def range_blocks(ranges: DataFrame) -> DataFrame:
-    """Address ranges (lo, hi, ...) with one row per /16 block they touch."""
-    return ranges.withColumn(
-        "block",
-        F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))),
+def _bits(n: Column) -> Column:
+    """Position of the highest set bit."""
+    return F.length(F.bin(n)) - 1
+
+
+def prefix_blocks(ranges: DataFrame) -> DataFrame:
+    """Address ranges (lo, hi, ...) cut into aligned blocks (bits, prefix), at most 62 per range.
+
+    A block holds the addresses whose number shifted right by ``bits`` is ``prefix``.
+    """
+    start = F.struct(
+        F.col("lo").cast("long").alias("at"),
+        F.array().cast("array<struct<bits:int,prefix:bigint>>").alias("done"),
     )
 
+    def cut(acc: Column, _: Column) -> Column:
+        at, left = acc["at"], F.col("hi") - acc["at"] + 1
+        aligned = F.when(at == 0, F.lit(ADDRESS_BITS)).otherwise(_bits(at.bitwiseAND(-at)))
+        bits = F.least(aligned, _bits(left)).cast("int")
+        size = F.pow(F.lit(2.0), bits).cast("long")
+        block = F.struct(bits.alias("bits"), F.call_function("div", at, size).alias("prefix"))
+        return F.when(left <= 0, acc).otherwise(
+            F.struct((at + size).alias("at"), F.concat(acc["done"], F.array(block)).alias("done"))
+        )
+
+    blocks = F.aggregate(F.sequence(F.lit(1), F.lit(2 * ADDRESS_BITS)), start, cut)["done"]
+    return ranges.select("*", F.explode(blocks).alias("b")).select("*", "b.bits", "b.prefix").drop("b")
+
 
-def geo_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+def geo_lookup(addresses: DataFrame, ranges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct addresses (ip) to country, region and city of the narrowest range.
 
-    The join is an equi-join on the /16 block, so no address meets all ranges.
+    Every address is asked once per block size in use (at most 33 times) with an equality key,
+    so the join gives only true hits and never pairs addresses with ranges they are outside of.
     """
-    numbered = addresses.select("ip", ip_number(F.col("ip")).alias("n")).filter(F.col("n").isNotNull())
-    hits = (
-        numbered.withColumn("block", F.floor(F.col("n") / BLOCK))
-        .join(range_blocks(ranges), "block")
-        .filter(F.col("n").between(F.col("lo"), F.col("hi")))
+    blocks = prefix_blocks(ranges)
+    sizes = blocks.agg(F.collect_set("bits")).scalar()
+    asked = (
+        addresses.select("ip", ip_number(F.col("ip")).alias("n"))
+        .filter(F.col("n").isNotNull())
+        .withColumn("bits", F.explode(sizes))
+        .withColumn("prefix", F.call_function("div", F.col("n"), F.pow(F.lit(2.0), "bits").cast("long")))
     )
+    hits = salted_join(asked, blocks, ["bits", "prefix"], F.col("n"), "inner", hot_rows=hot_rows)
     narrowest = F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "lo", "country", "region", "city"))
     return hits.groupBy("ip").agg(narrowest.alias("g")).select("ip", "g.country", "g.region", "g.city")
 
@@ -57,7 +81,7 @@ def geo_enrich(
     """
     drop = [c for c in ("country", "region", "city") if c in rows.columns and c != edge_country]
     counts = rows.filter(F.col(ip).isNotNull()).groupBy(F.col(ip).alias("ip")).agg(F.count(F.lit(1)).alias("n"))
-    found = geo_lookup(counts.select("ip"), ranges).withColumnRenamed("country", "_country")
+    found = geo_lookup(counts.select("ip"), ranges, hot_rows).withColumnRenamed("country", "_country")
     out = salted_join(
         rows.drop(*drop).withColumn("ip", F.col(ip)), found, ["ip"], slice_by, "left", counts, hot_rows
     )
