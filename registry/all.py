@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from registry import logs, records, series, web  # noqa: F401
+from registry import logs, records, series, streams, web  # noqa: F401
