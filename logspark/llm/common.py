@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -77,10 +76,6 @@ class WordHasher:
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def letters_only(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.ASCII)
-
-
 # -- connected components -------------------------------------------------------------------------
 
 
@@ -124,9 +119,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # -- ranks without one task per group ---------------------------------------------------------------
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], tag: str, size: Column | None = None, rows: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], size: Column | None = None, rows: int = 50_000) -> DataFrame:
     """Adds ``_rank``: the running number of a row among those of its keys, from 0.
 
+    ``df`` is evaluated three times: pass a table that is cheap to read.
+
     With ``size`` it adds the sum of the sizes before the row instead. Rows of a group are
     spread over hash buckets of about ``rows`` rows, each bucket is ordered in a task of its own,
     and the buckets' totals (one small row each) give the offsets. The order is by bucket, then
@@ -136,7 +133,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], tag: str, size: Col
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     marked = _null_safe_join(df.withColumn("_size", size), counts, keys)
     bucket = F.pmod(F.xxhash64(*order, F.lit(7)), F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)).cast("long"))
-    marked = stored(marked.withColumn("_bucket", bucket).drop("_n"), tag)
+    marked = marked.withColumn("_bucket", bucket).drop("_n")
     totals = marked.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

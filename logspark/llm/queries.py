@@ -55,3 +55,98 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f"""
+
+
+@query("op9_warc", WARC)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+REPEATS = f"""
+WITH w AS (SELECT doc_id, {words_sql("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM s),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM k WHERE c > 1 GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(g.gone), 0) AS n_removed,
+    CASE WHEN g.gone IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(g.gone, i)), lambda i: w.w[i]) END AS kept
+  FROM w LEFT JOIN gone g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept"""
+
+
+@query("op2_substring_dedup", REPEATS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+VECTORS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+          WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{REACH},
+n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(l.component, e.vec_id) AS component_id,
+       coalesce(l.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least l ON e.vec_id = l.node LEFT JOIN n ON n.a = e.vec_id"""
+
+
+@query("op8_embedding_near_dedup", VECTORS)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.vector_join import vector_components
+
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op7_pii_pseudonyms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.pseudonyms import DEMO_KEY, pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, DEMO_KEY, count_col="n_changed").select("doc_id", "n_changed", "text")
+
+
+@query("op3_pfair_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("row.doc_id", "row.source", "mix_offset", "mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
