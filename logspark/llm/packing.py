@@ -3,9 +3,9 @@
 The lengths of all pieces form a histogram of at most ``length`` numbers, however many pieces
 there are. A configuration says how many pieces of each length share a sequence. The linear
 program "fewest sequences whose configurations cover the histogram" is solved by multiplicative
-weights: lengths carry prices, a knapsack dynamic program finds the configuration worth most at
-these prices, and prices of lengths it covers fall. The averaged solution is rounded down; what
-it leaves open is packed best-fit, longest first, again on counts. The plan is a few thousand
+weights: lengths carry prices, a knapsack dynamic program finds the configurations worth most at
+these prices, and prices of lengths they cover fall. The solution is rounded down; what it leaves
+open is packed best-fit, longest first, again on counts. The plan is a few thousand
 rows of (length, first rank, sequence, offset); each piece finds its place by its rank among the
 pieces of its length, so placing is one broadcast lookup and no task holds a length whole.
 """
@@ -13,8 +13,9 @@ pieces of its length, so placing is one broadcast lookup and no task holds a len
 from __future__ import annotations
 
 import math
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,14 @@ from logspark.llm.common import prepare, ranked, stored
 
 LENGTH = 1024
 END_ID = 2
-#: Rounds of multiplicative weights.
-ROUNDS = 400
+#: Rounds of multiplicative weights, lengths served in a round, share of its cover that a
+#: configuration gets in a step, and how fast the worth of covered lengths falls.
+ROUNDS, BATCH, STEP, SHARPNESS = 600, 32, 0.1, 50.0
+#: Scales at which the solution is rounded down.
+SCALES = (1.0, 0.6, 0.3, 0.1)
 #: Encoded words remembered per Python worker.
 PIECES_KEPT = 1 << 20
 
-# Single blanks and single line ends between visible characters split a text at borders that the
-# byte-level pre-tokeniser has as well; any other white space sends the text to the tokeniser whole.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]$")
-
-
 class Encoder:
     """ids of byte-level BPE texts; words met before come from a bounded table."""
 
@@ -45,24 +44,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit numbers."""
-        if not text or _UNEVEN.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        head = [first] + [w if w[0] == "\n" else " " + w for w in rest]
+        """ids as unsigned 32-bit numbers in the machine's byte order.
+
+        Single blanks and single line ends between visible characters are borders for the
+        byte-level pre-tokeniser too, so such texts are looked up word by word; any other white
+        space sends the text to the tokeniser whole.
+        """
+        words = text.replace("\n", " \n").split(" ")
+        seen_chars = sum(map(len, text.split()))
+        if not text or "" in words or "\n" in words or seen_chars != len(text) - text.count(" ") - text.count("\n"):
+            return self._encode(text)
+        words[1:] = [w if w[0] == "\n" else " " + w for w in words[1:]]
         seen = self.seen
-        try:
-            return b"".join(map(seen.__getitem__, head))
-        except KeyError:
-            if len(seen) > PIECES_KEPT:
-                seen.clear()
-            new = list(set(head).difference(seen))
-            seen.update(zip(new, self._encode(new), strict=True))
-            return b"".join(map(seen.__getitem__, head))
+        if len(seen) > PIECES_KEPT:
+            seen.clear()
+        for w in set(words).difference(seen):
+            seen[w] = self._encode(w)
+        return b"".join(map(seen.__getitem__, words))
 
 
 def cut(total: int, length: int) -> list[tuple[int, int]]:
@@ -77,6 +79,7 @@ def _pieces(path: str, end_id: int, length: int, keep_ids: bool):
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -92,64 +95,82 @@ def _pieces(path: str, end_id: int, length: int, keep_ids: bool):
     return run
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, float]:
-    """Pieces of each length worth most within ``room``, by unbounded-knapsack dynamic programming."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    for cap in range(int(lengths[0]), room + 1):
-        fits = np.searchsorted(lengths, cap, "right")
-        worth = best[cap - lengths[:fits]] + price[:fits]
+def knapsack(price: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Worth of the best filling of every space up to ``room``, and its last piece (0: an idle token).
+
+    ``price[n]`` is the worth of one piece of length n, minus infinity where there is none.
+    """
+    best, pick, sums = np.zeros(room + 1), np.zeros(room + 1, np.int64), np.empty(room)
+    for space in range(1, room + 1):
+        worth = np.add(best[:space][::-1], price[1 : space + 1], out=sums[:space])
         j = int(worth.argmax())
-        if worth[j] > best[cap - 1]:
-            best[cap], pick[cap] = worth[j], j
-        else:
-            best[cap] = best[cap - 1]
-    out, cap = np.zeros(len(lengths), np.int64), room
-    while cap > 0:
-        if pick[cap] < 0:
-            cap -= 1
+        if worth[j] > best[space - 1]:
+            best[space], pick[space] = worth[j], j + 1
         else:
-            out[pick[cap]] += 1
-            cap -= int(lengths[pick[cap]])
-    return out, float(best[room])
+            best[space] = best[space - 1]
+    return best, pick
+
 
+def filling(space: int, pick: np.ndarray) -> list[int]:
+    """The pieces of the best filling of ``space``."""
+    out = []
+    while space > 0:
+        n = int(pick[space])
+        if n:
+            out.append(n)
+        space -= n or 1
+    return out
 
-def fractional_cover(lengths: np.ndarray, need: np.ndarray, room: int, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, covering ``need`` up to the accuracy of the rounds."""
-    score, uses = np.zeros(len(need)), {}
-    total = float(need.sum())
-    eta = math.sqrt(math.log(len(need) + 1) / rounds)
+
+def fractional_cover(need: np.ndarray, room: int, rounds: int) -> dict[tuple[int, ...], float]:
+    """Configurations and how often each is used, so that lengths are covered about once each.
+
+    A token of a length is worth exp(-SHARPNESS * share covered); one knapsack table per round
+    prices the best configuration around each of the ``BATCH`` lengths covered least, and each of
+    these is used for ``STEP`` of what it could cover.
+    """
+    have = np.flatnonzero(need > 0)
+    done, uses = np.zeros(len(need)), {}
     for _ in range(rounds):
-        weight = np.exp(-eta * (score - score.min()))
-        price = weight / weight.sum() / need  # worth of one piece of the length
-        config, worth = best_configuration(price, lengths, room)
-        share = config / need
-        step = 1 / worth  # sequences this configuration would need alone to cover the weighted lengths
-        key = config.tobytes()
-        uses[key] = uses.get(key, 0.0) + step / rounds
-        score += np.minimum(share * step, 4.0) - 1
-    covered = sum(np.frombuffer(k, np.int64) * u for k, u in uses.items())
-    scale = min(1.0, total / max(1.0, float(covered.sum())))
-    return [(np.frombuffer(k, np.int64), u * scale) for k, u in uses.items()]
+        price = np.full(len(need), -np.inf)
+        price[have] = have * np.exp(-SHARPNESS * (done[have] - done[have].min()))
+        _, pick = knapsack(price, room)
+        for n in have[np.argsort(done[have], kind="stable")[:BATCH]].tolist():
+            config = tuple(sorted([n, *filling(room - n, pick)], reverse=True))
+            at, many = np.unique(config, return_counts=True)
+            step = float((need[at] / many).min()) * STEP
+            done[at] += step * many / need[at]
+            uses[config] = uses.get(config, 0.0) + step
+    scale = float(np.quantile(done[have], 0.9))  # above it lie short fillers that many configurations share
+    return {config: n / scale for config, n in uses.items()}
 
 
 def pack_histogram(hist: dict[int, int], room: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, longest first; number of such sequences), holding every piece once."""
-    left = {n: c for n, c in hist.items() if c > 0}
-    plan: list[tuple[list[int], int]] = []
-    if room in left:
-        plan.append(([room], left.pop(room)))
-    if not left:
+    """(lengths of one sequence, longest first; number of such sequences), holding every piece once.
+
+    Full configurations are rounded down, at several scales; the plan with the fewest sequences,
+    with what is left packed best-fit, is taken.
+    """
+    need = np.zeros(room + 1, np.int64)
+    for n, c in hist.items():
+        need[n] = c
+    plan = [([room], int(need[room]))] if need[room] else []
+    need[room] = 0
+    if not need.any():
         return plan
-    lengths = np.array(sorted(left), np.int64)
-    need = np.array([left[n] for n in lengths.tolist()], np.float64)
-    rest = need.astype(np.int64)
-    for config, uses in sorted(fractional_cover(lengths, need, room, rounds), key=lambda x: -x[1]):
-        at = np.flatnonzero(config)
-        times = int(min(math.floor(uses), (rest[at] // config[at]).min())) if len(at) else 0
-        if times > 0:
-            rest[at] -= times * config[at]
-            plan.append(([int(lengths[i]) for i in at[::-1] for _ in range(config[i])], times))
-    return plan + best_fit(dict(zip(lengths.tolist(), rest.tolist(), strict=True)), room)
+    uses = sorted(fractional_cover(need.astype(np.float64), room, rounds).items(), key=lambda x: (-x[1], x[0]))
+    plans = []
+    for scale in SCALES:
+        left, out = need.copy(), []
+        for config, n in uses:
+            if sum(config) == room and (times := math.floor(n * scale)) > 0:
+                at, many = np.unique(config, return_counts=True)
+                times = int(min(times, (left[at] // many).min()))
+                if times > 0:
+                    left[at] -= times * many
+                    out.append((list(config), times))
+        plans.append(out + best_fit(dict(enumerate(left.tolist())), room))
+    return plan + min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def best_fit(left: dict[int, int], room: int) -> list[tuple[list[int], int]]:
