@@ -150,3 +150,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("row.doc_id", "row.source", "mix_offset", "mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logspark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
