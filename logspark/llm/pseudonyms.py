@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logspark.llm.common import prepare
+from logspark.llm.common import free_name, prepare
 from logspark.llm.spans import matches_of, parts_of, replaced
 
 ROUNDS = 10
@@ -167,11 +167,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool
     prepare(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     some = text.rlike(_QUICK)
-    parts, found = parts_of(text, ANY), matches_of(text, ANY)
-    out = docs.withColumn("_found", F.when(some, found)).withColumn("_parts", F.when(F.size("_found") > 0, parts))
-    new = F.transform("_found", lambda m: pseudonym(m, key, invert))
-    out = out.withColumn("_new", F.when(F.size("_found") > 0, new))
-    told = F.when(F.size("_found") > 0, replaced(F.col("_parts"), F.col("_new"), lambda m: m)).otherwise(text)
-    changed = F.coalesce(F.size(F.filter(F.zip_with("_found", "_new", lambda x, y: x != y), lambda x: x)), F.lit(0)).cast("long")
-    out = out.withColumn(count_col, F.when(F.size("_found") > 0, changed).otherwise(F.lit(0).cast("long"))) if count_col else out
-    return out.withColumn(text_col, told).drop("_found", "_parts", "_new")
+    found, parts, new = (free_name(docs, x) for x in ("found", "parts", "new"))
+    out = docs.withColumn(found, F.when(some, matches_of(text, ANY)))
+    any_found = F.size(found) > 0
+    out = out.withColumn(parts, F.when(any_found, parts_of(text, ANY)))
+    out = out.withColumn(new, F.when(any_found, F.transform(found, lambda m: pseudonym(m, key, invert))))
+    told = F.when(any_found, replaced(F.col(parts), F.col(new), lambda m: m)).otherwise(text)
+    if count_col:
+        changed = F.size(F.filter(F.zip_with(found, new, lambda x, y: x != y), lambda x: x)).cast("long")
+        out = out.withColumn(count_col, F.when(any_found, changed).otherwise(F.lit(0).cast("long")))
+    return out.withColumn(text_col, told).drop(found, parts, new)
