@@ -67,6 +67,16 @@ class Encoder:
         return b"".join(map(seen.__getitem__, words))
 
 
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's encoder, whose table of words lives on from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
+
+
 def cut(total: int, length: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document; only its first piece may be shorter."""
     head = total % length or min(total, length)
@@ -80,7 +90,7 @@ def _pieces(path: str, end_id: int, length: int, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert sys.byteorder == "little" and array("I").itemsize == 4
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
