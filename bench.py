@@ -6,10 +6,10 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
-from logspark.session import local_session
+from logspark.session import checkpoint_dir, local_session
 from registry.core import END, GAP, START
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -56,7 +56,7 @@ def stored_tables(spark) -> dict:
     from logspark.operators.sessions import sessionize, stamp_sessions
     from logspark.sources import adapters
 
-    root = tempfile.mkdtemp(prefix="bench-")
+    root = f"{checkpoint_dir(spark)}/bench-{uuid.uuid4().hex}"
     logs, web = adapters.logs(spark, SF_DIR), adapters.web_events(spark, SF_DIR)
     made = {
         "logs": logs,

@@ -11,14 +11,17 @@ def parse(raw: Column) -> Column:
     """A whole text as one JSON value, NULL otherwise.
 
     Spark's parser stops after the first value, so the text is parsed as the head of a
-    two-element array; anything behind the value then breaks the array.
+    two-element array; anything behind the value then breaks the array. A text that closes the
+    array itself (it holds ``,1]``) must also be one element of an array of its own.
     """
     pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",1]")))
     exactly_two = (
         F.try_variant_get(pair, "$[1]", "int").eqNullSafe(F.lit(1))
         & F.try_variant_get(pair, "$[2]", "variant").isNull()
     )
-    return F.when(exactly_two, F.try_variant_get(pair, "$[0]", "variant"))
+    alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))).eqNullSafe(F.lit(1))
+    whole = exactly_two & (~raw.rlike(r",\s*1\s*\]") | alone)
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def parse_fields(raw: Column) -> Column:

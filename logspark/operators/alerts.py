@@ -14,6 +14,7 @@ answered by one pass over it.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -61,12 +62,18 @@ def entries_of(condition: dict) -> list[dict]:
             "comparator": s["comparator"],
             "value": float(s["value"]),
             "severity": s.get("severity", "alert"),
-            "text": f"{float(s['value']):g}",
+            "text": plain_number(float(s["value"])),
         }
         for s in steps
     ]
 
 
+def plain_number(value: float) -> str:
+    """The shortest exact decimal, without an exponent."""
+    text = format(Decimal(repr(value)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def known_metric(metric: str) -> bool:
     site = metric.removeprefix(SITE_METRIC)
     if metric.startswith(SITE_METRIC):
@@ -311,8 +318,10 @@ def severity_history(series: DataFrame, keys: list[str], entries: list[dict]) ->
     )
 
 
-def rule_history(events: DataFrame, limit: int = 200) -> DataFrame:
-    """The newest firings of every rule."""
+def rule_history(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """The firings of every rule, of each the newest ``limit`` if it is given."""
+    if limit is None:
+        return events
     newest = W.partitionBy("rule_id").orderBy(F.col("ts").desc(), "severity")
     return events.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= limit).drop("_nth")
 

@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from logspark.plans.ranges import first_rows
 from logspark.functions.levels import anomaly_severity
 from logspark.operators.rollups import SITE_METRIC
 
@@ -150,6 +151,6 @@ def anomalies_on(volume: DataFrame, z: float = 3.0) -> DataFrame:
     return detect(series, ["_all"], F.lit("volume"), z).drop("_all")
 
 
-def stored_anomalies(anomalies: DataFrame, start: datetime, end: datetime, limit: int = 500) -> DataFrame:
+def stored_anomalies(anomalies: DataFrame, start: datetime, end: datetime, limit: int | None = None) -> DataFrame:
     rows = anomalies.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end)))
-    return rows.orderBy(F.col("ts").desc(), "metric", "method").limit(limit)
+    return first_rows(rows.orderBy(F.col("ts").desc(), "metric", "method"), limit)

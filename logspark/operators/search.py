@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.functions.json import FIELDS, as_json
 from logspark.functions.text import contains_ci
-from logspark.plans.ranges import clamp, in_log_range
+from logspark.plans.ranges import first_rows, in_log_range
 
-MAX_PAGE = 1000
-MAX_EXPORT = 10_000
 PAGE_COLUMNS = [
     "ts", "insert_ts", "source_host", "service", "level", "message", "fingerprint",
     "trace_id", "span_id", "attributes", "geo_country", "raw_len", "protocol",
@@ -26,15 +24,14 @@ def _newest(df: DataFrame) -> list[Column]:
 
 def search_logs(
     logs: DataFrame, predicate: Column, start: datetime, end: datetime,
-    limit: int = 100, offset: int = 0, promoted: tuple[str, ...] = (),
+    limit: int | None = 100, offset: int = 0, promoted: tuple[str, ...] = (),
 ) -> DataFrame:
     """The newest page of matches with the total and a flag for more rows beyond it."""
-    limit = clamp(limit, 1, MAX_PAGE)
     matches = logs.filter(predicate & in_log_range(F.col("ts"), start, end))
-    page = matches.orderBy(*_newest(matches)).offset(offset).limit(limit).select(*PAGE_COLUMNS, *promoted)
+    page = first_rows(matches.orderBy(*_newest(matches)).offset(offset), limit).select(*PAGE_COLUMNS, *promoted)
     total = matches.agg(F.count(F.lit(1))).scalar()
     return page.withColumn("total_matched", total).withColumn(
-        "truncated", F.col("total_matched") > F.lit(offset + limit)
+        "truncated", F.lit(False) if limit is None else F.col("total_matched") > F.lit(offset + limit)
     )
 
 
@@ -44,13 +41,9 @@ def count_logs(logs: DataFrame, predicate: Column, start: datetime, end: datetim
     )
 
 
-def recent_messages(logs: DataFrame, text: str = "", limit: int = 100) -> DataFrame:
+def recent_messages(logs: DataFrame, text: str = "", limit: int | None = 100) -> DataFrame:
     rows = logs if not text.strip() else logs.filter(F.ilike("message", F.lit(f"%{text.strip()}%")))
-    return (
-        rows.orderBy(*_newest(rows))
-        .limit(clamp(limit, 1, MAX_PAGE))
-        .select("ts", "service", "level", "message")
-    )
+    return first_rows(rows.orderBy(*_newest(rows)), limit).select("ts", "service", "level", "message")
 
 
 def list_services(registry: DataFrame, text: str = "", limit: int = 100) -> DataFrame:
@@ -65,10 +58,10 @@ def list_services(registry: DataFrame, text: str = "", limit: int = 100) -> Data
     )
 
 
-def query_all(all_tiers: DataFrame, condition: str, start: datetime, end: datetime, limit: int = 100) -> DataFrame:
-    """Rows of both tiers under a SQL condition, newest first, at most 1,000."""
+def query_all(all_tiers: DataFrame, condition: str, start: datetime, end: datetime, limit: int | None = None) -> DataFrame:
+    """Rows of both tiers under a SQL condition, newest first."""
     rows = all_tiers.filter(F.expr(condition) & in_log_range(F.col("ts"), start, end))
-    return rows.orderBy(*_newest(rows)).limit(clamp(limit, 1, MAX_PAGE))
+    return first_rows(rows.orderBy(*_newest(rows)), limit)
 
 
 def level_counts(rollup: DataFrame, now: datetime, hours: int = 1) -> DataFrame:
@@ -158,10 +151,10 @@ def top_services_by_rollup(rollup: DataFrame, limit: int = 20) -> DataFrame:
     )
 
 
-def attribute_paths(rows: DataFrame, key: str, depth: int = 6) -> DataFrame:
+def attribute_paths(rows: DataFrame, key: str) -> DataFrame:
     """Attribute leaves as (key, path, value) rows; arrays stay JSON text.
 
-    Objects deeper than ``depth`` levels are kept as JSON text at that level.
+    One level of nesting is unfolded at a time until no object is left.
     """
     level = rows.select(
         key,
@@ -169,7 +162,7 @@ def attribute_paths(rows: DataFrame, key: str, depth: int = 6) -> DataFrame:
         F.try_parse_json("attributes").alias("v"),
     ).filter(F.schema_of_variant("v").startswith("OBJECT"))
     done = None
-    for _ in range(depth):
+    while True:
         members = level.select(
             key, "path", F.explode(F.try_variant_get("v", "$", FIELDS)).alias("name", "member")
         ).select(
@@ -181,21 +174,23 @@ def attribute_paths(rows: DataFrame, key: str, depth: int = 6) -> DataFrame:
         leaves = members.filter(~deeper).select(key, "path", as_json(F.col("v")).alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
         level = members.filter(deeper)
-    rest = level.select(key, "path", as_json(F.col("v")).alias("value"))
-    return done.unionByName(rest)
+        if level.isEmpty():
+            return done
 
 
 def flatten_attributes(
     logs: DataFrame, predicate: Column, start: datetime, end: datetime,
-    limit: int = MAX_EXPORT, key: str = "event_key", depth: int = 6,
+    limit: int | None = None, key: str = "event_key",
 ) -> DataFrame:
     """The newest matches with one ``attr.<dot.path>`` column per attribute leaf.
 
-    The column list comes from the at most 10,000 exported rows, so it is bounded by them.
+    A table this wide is for exports: its columns are the different paths of the exported rows,
+    which go to the driver. ``attribute_paths`` gives the same leaves as rows for any number of
+    paths.
     """
     matches = logs.filter(predicate & in_log_range(F.col("ts"), start, end))
-    page = matches.orderBy(*_newest(matches)).limit(clamp(limit, 1, MAX_EXPORT))
-    paths = attribute_paths(page, key, depth)
+    page = first_rows(matches.orderBy(*_newest(matches)), limit)
+    paths = attribute_paths(page, key)
     names = [r["path"] for r in paths.select("path").distinct().orderBy("path").collect()]
     if not names:
         return page.drop("attributes")

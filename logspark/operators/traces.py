@@ -7,15 +7,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.operators.rollups import attribute, duration_ms
-from logspark.plans.ranges import clamp, in_log_range
+from logspark.plans.ranges import first_rows, in_log_range
 
-MAX_TRACES = 500
-MAX_SPANS = 2000
-MAX_CORRELATED = 200
 
 
 def list_traces(
-    logs: DataFrame, start: datetime, end: datetime, predicate: Column | None = None, limit: int = 50
+    logs: DataFrame, start: datetime, end: datetime, predicate: Column | None = None, limit: int | None = None
 ) -> DataFrame:
     """One row per trace, newest first. ``service`` and ``root_name`` are alphabetic minima.
 
@@ -41,17 +38,17 @@ def list_traces(
             F.min("message").alias("root_name"),
         )
         .orderBy(F.col("start_ts").desc(), "trace_id")
-        .limit(clamp(limit, 1, MAX_TRACES))
+        .transform(first_rows, limit)
     )
 
 
-def trace_spans(logs: DataFrame, trace_id: str, limit: int = MAX_SPANS) -> DataFrame:
+def trace_spans(logs: DataFrame, trace_id: str, limit: int | None = None) -> DataFrame:
     """Spans of one trace in start order with the span fields lifted."""
     keys = [c for c in ("event_key",) if c in logs.columns]
     return (
         logs.filter((F.col("protocol") == "otlp_span") & (F.col("trace_id") == trace_id))
         .orderBy("ts", *keys)
-        .limit(limit)
+        .transform(first_rows, limit)
         .select(
             "ts", "service", "level", F.col("message").alias("name"), "span_id",
             attribute("parent_span_id").alias("parent_span_id"),
@@ -63,15 +60,15 @@ def trace_spans(logs: DataFrame, trace_id: str, limit: int = MAX_SPANS) -> DataF
     )
 
 
-def correlate_trace(web: DataFrame, logs: DataFrame, trace_id: str, limit: int = MAX_CORRELATED) -> DataFrame:
-    """Web events and logs that share a trace id, each at most ``limit`` rows."""
+def correlate_trace(web: DataFrame, logs: DataFrame, trace_id: str, limit: int | None = None) -> DataFrame:
+    """Web events and logs that share a trace id, of each the first ``limit`` rows if it is given."""
     if not trace_id or len(trace_id) > 64:
         raise ValueError("bad trace id")
     text = F.lit(None).cast("string")
 
     def first(rows: DataFrame) -> DataFrame:
         keys = [c for c in ("event_key",) if c in rows.columns]
-        return rows.filter(F.col("trace_id") == trace_id).orderBy("ts", *keys).limit(limit)
+        return first_rows(rows.filter(F.col("trace_id") == trace_id).orderBy("ts", *keys), limit)
 
     events = first(web).select(
         F.lit("web_event").alias("kind"), "ts", "site_id", "event", "name", "path", "country",

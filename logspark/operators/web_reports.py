@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logspark.functions.text import clean_label, glob_like
 from logspark.functions.timestamps import bucket
-from logspark.plans.ranges import clamp, in_log_range, in_web_range, web_width
+from logspark.plans.ranges import first_rows, in_log_range, in_web_range, web_width
 from logspark.plans.skew import HOT_ROWS, copy_to_slices, hot_keys, slice_rows, splits_of
 
 CHIPS = ["path", "country", "region", "city", "device", "browser", "os", "source", "medium"]
@@ -164,7 +164,7 @@ def _top_by(rows: DataFrame, value: Column, pageviews: Column, session: Column,
             F.countDistinct(session).alias("sessions"),
         )
         .orderBy(F.col("pageviews").desc(), "dim_value")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -173,7 +173,6 @@ def breakdown(
     limit: int = 10, **scope,
 ) -> DataFrame:
     """Page views, visitors and sessions of the leading values of one of 16 dimensions."""
-    limit = clamp(limit, 1, 100)
     if by in EVENT_DIMENSIONS:
         rows = events_in(events, start, end, **scope)
         return _top_by(rows, EVENT_DIMENSIONS[by](), views(), real_session(), limit)
@@ -191,7 +190,7 @@ def top_values(by: str, start: datetime, end: datetime, events: DataFrame, site:
     rows = events.filter(in_log_range(F.col("ts"), start, end) & human())
     if site is not None:
         rows = rows.filter(F.col("site_id") == site)
-    return _top_by(rows, EVENT_DIMENSIONS[by](), views(), real_session(), clamp(limit, 1, 50))
+    return _top_by(rows, EVENT_DIMENSIONS[by](), views(), real_session(), limit)
 
 
 def realtime(events: DataFrame, now: datetime, minutes: int = 5, limit: int = 10, **scope) -> DataFrame:
@@ -206,7 +205,7 @@ def realtime(events: DataFrame, now: datetime, minutes: int = 5, limit: int = 10
         .groupBy(F.coalesce("path", F.lit("(none)")).alias("value"))
         .agg(F.count(F.lit(1)).alias("hits"))
         .orderBy(F.col("hits").desc(), "value")
-        .limit(limit)
+        .transform(first_rows, limit)
         .select(F.lit("page").alias("kind"), "value", "hits")
     )
     return visitors.unionByName(pages)
@@ -294,7 +293,7 @@ def web_errors(events: DataFrame, start: datetime, end: datetime, limit: int = 5
         )
         .agg(F.count(F.lit(1)).alias("hits"), F.max("ts").alias("last_seen"))
         .orderBy(F.col("hits").desc(), F.col("last_seen").desc(), "name", "path")
-        .limit(clamp(limit, 1, 500))
+        .transform(first_rows, limit)
     )
 
 
@@ -325,7 +324,7 @@ def _session_list(rows: DataFrame, label: Column, key: str, limit: int) -> DataF
             F.round(mean_flag(F.col("is_bounce")), 4).alias("bounce_rate"),
         )
         .orderBy(F.col("sessions").desc(), key)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -333,13 +332,12 @@ def sources(sessions: DataFrame, start: datetime, end: datetime, *, events: Data
     """Sessions, visitors and bounce rate per medium with the daily series."""
     rows = sessions_in(sessions, start, end, events=events, **scope)
     label = clean_label(F.col("medium"), "direct")
-    totals = _session_list(rows, label, "medium", clamp(limit, 1, 50))
+    totals = _session_list(rows, label, "medium", limit)
     return _with_daily(totals, rows, F.to_date("start_ts"), label, "medium", F.count(F.lit(1)))
 
 
 def pages(events: DataFrame, sessions: DataFrame, start: datetime, end: datetime, limit: int = 10, **scope) -> DataFrame:
     """Entry, top and exit pages with their daily series, told apart by ``kind``."""
-    limit = clamp(limit, 1, 50)
     visit_rows = sessions_in(sessions, start, end, events=events, **scope)
     view_rows = events_in(events, start, end, **scope).filter(F.col("event") == "pageview")
     empty = F.lit(None)
@@ -359,7 +357,7 @@ def pages(events: DataFrame, sessions: DataFrame, start: datetime, end: datetime
         view_rows.groupBy(label.alias("page"))
         .agg(F.count(F.lit(1)).alias("pageviews"), F.countDistinct(real_session()).alias("sessions"))
         .orderBy(F.col("pageviews").desc(), "page")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
     top = _with_daily(totals, view_rows, F.to_date("ts"), label, "page", F.count(F.lit(1))).select(
         F.lit("top").alias("kind"), "page", "sessions", empty.cast("long").alias("visitors"),
@@ -384,7 +382,7 @@ def links(events: DataFrame, kind: str, start: datetime, end: datetime, limit: i
         .groupBy("host", "path")
         .agg(F.count(F.lit(1)).alias("hits"))
         .orderBy(F.col("hits").desc(), "host", "path")
-        .limit(clamp(limit, 1, 100))
+        .transform(first_rows, limit)
     )
 
 
@@ -394,7 +392,7 @@ def custom_events(events: DataFrame, start: datetime, end: datetime, limit: int
         rows.groupBy("name")
         .agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("visitor_id").alias("visitors"))
         .orderBy(F.col("hits").desc(), "name")
-        .limit(clamp(limit, 1, 100))
+        .transform(first_rows, limit)
     )
 
 
@@ -535,19 +533,19 @@ SESSION_LIST = [
 ]
 
 
-def list_sessions(sessions: DataFrame, start: datetime, end: datetime, *, events: DataFrame | None = None, limit: int = 50, **scope) -> DataFrame:
+def list_sessions(sessions: DataFrame, start: datetime, end: datetime, *, events: DataFrame | None = None, limit: int | None = None, **scope) -> DataFrame:
     rows = sessions_in(sessions, start, end, events=events, **scope)
     return (
-        rows.orderBy(F.col("start_ts").desc(), "session_id").limit(clamp(limit, 1, 200)).select(*SESSION_LIST)
+        first_rows(rows.orderBy(F.col("start_ts").desc(), "session_id"), limit).select(*SESSION_LIST)
     )
 
 
-def session_events(events: DataFrame, session_id: int, limit: int = 500) -> DataFrame:
+def session_events(events: DataFrame, session_id: int, limit: int | None = None) -> DataFrame:
     keys = [c for c in ("event_key",) if c in events.columns]
     return (
         events.filter(F.col("session_id") == F.lit(session_id).cast("long"))
         .orderBy("ts", *keys)
-        .limit(limit)
+        .transform(first_rows, limit)
         .select("ts", "event", "name", "path", "value", "source", "medium", "country", "city", "device", "trace_id")
     )
 

@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SPLITS = 4_096
+#: A key is hot from this share of all rows on, so there are at most 10,000 hot keys.
+HOT_SHARE = 10_000
 
 
 def splits_of(n: Column, hot_rows: int = HOT_ROWS) -> Column:
     """Slices for a key with ``n`` rows: one up to ``hot_rows``."""
-    return F.greatest(F.least(F.ceil(n / hot_rows), F.lit(MAX_SPLITS)), F.lit(1)).cast("int")
+    return F.greatest(F.ceil(n / hot_rows), F.lit(1)).cast("int")
 
 
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of slices each is cut into.
 
-    ``counts`` has the keys and ``n``. At most the 10,000 heaviest keys are returned, so the
-    result may be broadcast; a lighter key simply stays in slice 0.
+    ``counts`` has the keys and ``n``. A hot key also holds more than one in ``HOT_SHARE`` of all
+    rows, so there are fewer than ``HOT_SHARE`` of them and the result may be broadcast; what is
+    lighter fits a task and stays in slice 0.
     """
-    return (
-        counts.filter(F.col("n") > hot_rows)
-        .orderBy(F.col("n").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, splits_of(F.col("n"), hot_rows).alias("_splits"))
-    )
+    least = F.greatest(F.lit(hot_rows), counts.agg(F.sum("n") / HOT_SHARE).scalar())
+    return counts.filter(F.col("n") > least).select(*keys, splits_of(F.col("n"), hot_rows).alias("_splits"))
 
 
 def slice_rows(rows: DataFrame, hot: DataFrame, keys: list[str], slice_by: Column) -> DataFrame:
-    """Adds ``_slice``: 0 for ordinary keys, a stable slice number for rows of hot keys."""
+    """Adds ``_slice``: 0 for ordinary keys, a stable slice number for rows of hot keys.
+
+    A row with a NULL in its key joins nothing, so such rows take any slice and spread out.
+    """
     number = F.pmod(F.xxhash64(slice_by), F.col("_splits")).cast("int")
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    anywhere = F.pmod(F.xxhash64(slice_by), F.lit(1 << 20)).cast("int")
     return (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(number))
+        .withColumn("_slice", F.when(no_key, anywhere).when(F.col("_splits").isNull(), F.lit(0)).otherwise(number))
         .drop("_splits")
     )
 

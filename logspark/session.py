@@ -32,7 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared checkpoint folder of the cluster; ``fallback`` only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the cluster, else one in the warehouse; never a machine's own folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or fallback
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"

@@ -10,7 +10,7 @@ from logspark import schemas
 from logspark.functions import json as J
 from logspark.functions.text import blank_to_null, strip_space
 from logspark.operators.retention import safe_partition_name, safe_site_name
-from logspark.plans.ranges import clamp
+from logspark.plans.ranges import first_rows
 
 ARCHIVE_PARTITIONS = ["date", "hour", "service_part"]
 WEB_ARCHIVE_PARTITIONS = ["date", "site"]
@@ -123,7 +123,7 @@ def _sliced(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def cold_footprint(
-    archive: DataFrame, start: str | None = None, end: str | None = None, limit: int = 120
+    archive: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Files, rows and bytes per archive date, newest dates first.
 
@@ -142,7 +142,7 @@ def cold_footprint(
         per_file = per_file.filter(F.col("date") >= start)
     if end is not None:
         per_file = per_file.filter(F.col("date") <= end)
-    return (
+    per_date = (
         per_file.groupBy("date")
         .agg(
             F.count(F.lit(1)).alias("files"),
@@ -150,8 +150,8 @@ def cold_footprint(
             F.sum("size").alias("bytes"),
         )
         .orderBy(F.col("date").desc())
-        .limit(limit)
     )
+    return first_rows(per_date, limit)
 
 
 def store_state(
@@ -184,8 +184,8 @@ EXPORT_SESSIONS = [
 ]
 
 
-def export_rows(rows: DataFrame, view: str, limit: int = 5000) -> DataFrame:
-    """The oldest ``limit`` (1 to 20,000) events or sessions with the export's columns."""
+def export_rows(rows: DataFrame, view: str, limit: int | None = None) -> DataFrame:
+    """Events or sessions, oldest first, with the export's columns; the oldest ``limit`` if it is given."""
     if view == "events":
         columns, order = EXPORT_EVENTS, ["ts"]
         keys = [c for c in ("event_key",) if c in rows.columns]
@@ -194,19 +194,18 @@ def export_rows(rows: DataFrame, view: str, limit: int = 5000) -> DataFrame:
         columns, order, keys = EXPORT_SESSIONS, ["start_ts", "session_id"], []
     else:
         raise ValueError("view must be events or sessions")
-    return rows.orderBy(*order, *keys).limit(clamp(limit, 1, 20_000)).select(*columns)
+    return first_rows(rows.orderBy(*order, *keys), limit).select(*columns)
 
 
-def export_csv(rows: DataFrame, view: str, path: str, limit: int = 5000) -> None:
-    """Write ``export_rows`` as one CSV file with a header; NULL is an empty cell."""
+def export_csv(rows: DataFrame, view: str, path: str, limit: int | None = None) -> None:
+    """Write ``export_rows`` as CSV files with headers, in order of their names; NULL is an empty cell."""
     times = ["ts"] if view == "events" else ["start_ts", "end_ts"]
     out = export_rows(rows, view, limit)
     stamped = out.withColumns(
         {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in times}
     )
     (
-        stamped.coalesce(1)
-        .write.mode("overwrite")
+        stamped.write.mode("overwrite")
         .option("header", True)
         .option("nullValue", "")
         .option("emptyValue", "")

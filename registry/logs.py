@@ -109,14 +109,14 @@ def e4(spark, d):
 
 
 @check("E5_query_all", f"""WITH {LOGS} SELECT event_key, ts, service, level FROM logs
-WHERE duration_ms > 50 AND level = 'info' AND {RANGE} ORDER BY ts DESC, event_key DESC LIMIT 1000""")
+WHERE duration_ms > 50 AND level = 'info' AND {RANGE}""")
 def e5(spark, d):
     logs = A.logs(spark, d)
     cut = F.lit(START + timedelta(days=15))
     hot, cold = logs.filter(F.col("ts") >= cut), logs.filter(F.col("ts") < cut)
     both = tiers.union_tiers(hot, cold, {"event_key": logs.schema["event_key"].dataType})
     condition = "CAST(get_json_object(attributes, '$.duration_ms') AS DOUBLE) > 50 AND level = 'info'"
-    return E.query_all(both, condition, START, END, 1000).select("event_key", "ts", "service", "level")
+    return E.query_all(both, condition, START, END).select("event_key", "ts", "service", "level")
 
 
 @check("E6_level_counts", f"WITH {LOGS}, {R1M} SELECT level, CAST(sum(n) AS BIGINT) AS n FROM r1m WHERE bucket >= TIMESTAMP '2024-01-01' GROUP BY 1")
@@ -322,15 +322,15 @@ def f16(spark, d):
 
 @check("G1_list_traces", f"""WITH {LOGS} SELECT trace_id, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS span_count,
   count(*) FILTER (WHERE level='error') AS error_count, max(duration_ms) AS duration_ms, min(service) AS service, min(message) AS root_name
-FROM logs WHERE protocol='otlp_span' AND {RANGE} GROUP BY 1 ORDER BY start_ts DESC, trace_id LIMIT 500""")
+FROM logs WHERE protocol='otlp_span' AND {RANGE} GROUP BY 1""")
 def g1(spark, d):
-    return G.list_traces(A.logs(spark, d), START, END, limit=500)
+    return G.list_traces(A.logs(spark, d), START, END)
 
 
 
 @check("G2_trace_spans", f"""WITH {LOGS}, t AS (SELECT trace_id FROM logs WHERE protocol='otlp_span' GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 1)
 SELECT ts, service, level, message AS name, span_id, 'p' || (k % 3) AS parent_span_id, 'SPAN_KIND_SERVER' AS span_kind,
-  'STATUS_CODE_OK' AS status_code, duration_ms FROM logs WHERE protocol='otlp_span' AND trace_id IN (SELECT trace_id FROM t) ORDER BY ts, event_key LIMIT 2000""")
+  'STATUS_CODE_OK' AS status_code, duration_ms FROM logs WHERE protocol='otlp_span' AND trace_id IN (SELECT trace_id FROM t)""")
 def g2(spark, d):
     logs = A.logs(spark, d)
     busiest = logs.filter("protocol = 'otlp_span'").groupBy("trace_id").count().orderBy(F.desc("count"), "trace_id").first()
@@ -338,8 +338,8 @@ def g2(spark, d):
 
 
 @check("G3_correlate_trace", f"""WITH {LOGS}, t AS (SELECT trace_id FROM logs GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 1),
-w AS (SELECT * FROM (WITH {WEB} SELECT * FROM web) WHERE trace_id IN (SELECT trace_id FROM t) ORDER BY ts, event_key LIMIT 200),
-l AS (SELECT * FROM logs WHERE trace_id IN (SELECT trace_id FROM t) ORDER BY ts, event_key LIMIT 200)
+w AS (SELECT * FROM (WITH {WEB} SELECT * FROM web) WHERE trace_id IN (SELECT trace_id FROM t)),
+l AS (SELECT * FROM logs WHERE trace_id IN (SELECT trace_id FROM t))
 SELECT 'web_event' AS kind, ts, site_id, event, name, path, country, device, NULL AS service, NULL AS level, NULL AS message FROM w
 UNION ALL SELECT 'log', ts, NULL, NULL, NULL, NULL, NULL, NULL, service, level, message FROM l""")
 def g3(spark, d):

@@ -320,7 +320,7 @@ def h15(spark, d):
 
 
 @check("H16_session_events", f"""WITH {WS}, t AS (SELECT session_id FROM ws ORDER BY events DESC, session_id LIMIT 1)
-SELECT ts, event, name, path, round(value, 6) AS value, source, medium, country, city, device, trace_id FROM we WHERE session_id IN (SELECT session_id FROM t) ORDER BY ts, event_key LIMIT 500""")
+SELECT ts, event, name, path, round(value, 6) AS value, source, medium, country, city, device, trace_id FROM we WHERE session_id IN (SELECT session_id FROM t) """)
 def h16(spark, d):
     top = visits(spark, d).orderBy(F.desc("events"), "session_id").first()["session_id"]
     return R.session_events(stamped(spark, d), top).withColumn("value", F.round("value", 6))
