@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from logspark.functions.text import glob_regex
 
 MAX_NAME = 96
-MAX_CAP_STEPS = 48
 
 
 def safe_partition_name(name: Column) -> Column:
@@ -48,11 +47,12 @@ def compact(logs: DataFrame, archive_path: str, hot_path: str, cutoff, **options
     stay.write.mode("overwrite").parquet(hot_path)
 
 
-def hot_cap_steps(logs: DataFrame, cap_bytes: int, max_steps: int = MAX_CAP_STEPS) -> DataFrame:
+def hot_cap_steps(logs: DataFrame, cap_bytes: int, max_steps: int | None = None) -> DataFrame:
     """Hour steps that must leave the hot table, oldest first, to bring it under a byte cap.
 
     Steps are hours counted from the oldest row; empty hours take no step. Rows are summed per
-    hour before the running total, so the window sees one row per hour.
+    hour before the running total, so the window sees one row per hour. Without ``max_steps``
+    as many steps are taken as the cap needs.
     """
     origin = logs.agg(F.min(F.unix_micros("ts"))).scalar()
     hour = F.floor((F.unix_micros("ts") - F.col("_origin")) / 3_600_000_000)
@@ -74,13 +74,14 @@ def hot_cap_steps(logs: DataFrame, cap_bytes: int, max_steps: int = MAX_CAP_STEP
         }
     )
     cutoff = F.timestamp_micros(F.col("_origin") + (F.col("step") + 1) * 3_600_000_000)
-    return ranked.filter((F.col("left_bytes") > cap_bytes) & (F.col("nth") <= max_steps)).select(
+    over = F.col("left_bytes") > cap_bytes
+    return ranked.filter(over if max_steps is None else over & (F.col("nth") <= max_steps)).select(
         F.col("step").cast("long"), cutoff.alias("cutoff"), "rows", "bytes",
         (F.col("left_bytes") - F.col("bytes")).alias("bytes_after"),
     )
 
 
-def enforce_hot_cap(logs: DataFrame, cap_bytes: int, max_steps: int = MAX_CAP_STEPS) -> DataFrame:
+def enforce_hot_cap(logs: DataFrame, cap_bytes: int, max_steps: int | None = None) -> DataFrame:
     """One row: the cutoff below which rows move to the archive, with rows and bytes moved."""
     return hot_cap_steps(logs, cap_bytes, max_steps).agg(
         F.max("cutoff").alias("cutoff"),

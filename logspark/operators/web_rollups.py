@@ -29,7 +29,9 @@ def daily_values(events: DataFrame, sessions: DataFrame) -> DataFrame:
     session, then per visitor (a session has one visitor): every step shrinks before it is
     shuffled, and no row is copied per distinct column.
     """
-    bounced = sessions.filter("is_bounce").select("session_id", F.lit(True).alias("bounced"))
+    bounced = sessions.filter("is_bounce").select("session_id", F.lit(0).alias("_spread"), F.lit(True).alias("bounced"))
+    # events outside sessions join nothing: they spread over all tasks instead of meeting in one
+    spread = F.when(F.col("session_id").isNull(), F.pmod(F.xxhash64("day", "site_id", "visitor_id", *DIMENSIONS), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
     labels = [clean_label(F.col(d), "(none)").alias(d) for d in DIMENSIONS]
     folded = (
         events.filter(human())
@@ -44,7 +46,8 @@ def daily_values(events: DataFrame, sessions: DataFrame) -> DataFrame:
                 F.when(F.col("event") == "engagement", F.coalesce("value", F.lit(0.0))).otherwise(0.0)
             ).alias("engaged_ms"),
         )
-        .join(bounced, "session_id", "left")
+        .withColumn("_spread", spread)
+        .join(bounced, ["session_id", "_spread"], "left")
     )
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("dim_value")) for d in DIMENSIONS])
     stacked = folded.select(
