@@ -122,11 +122,48 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
 
 
-@query("op5_quality_rules")
+def js_sql(p: str, q: str) -> str:
+    """One term of twice the Jensen-Shannon divergence in bits."""
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)"
+
+
+QUALITY = f"""
+WITH k AS (SELECT lang AS known FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 64),
+d AS (SELECT doc_id, coalesce(text, '') AS t, k.known FROM documents LEFT JOIN k ON documents.lang = k.known),
+w AS (SELECT *, {words_sql("t")} AS w FROM d),
+c AS (SELECT *, len(w) AS n, length(array_to_string(w, '')) AS wc, length(t) AS ch,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS sy, length(regexp_replace(t, '\\P{{Ll}}', '', 'g')) AS lo,
+  length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS up, length(regexp_replace(t, '\\P{{Nd}}', '', 'g')) AS di,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w),
+s AS (SELECT *, list_transform([lo, up, di, sy, ch - wc, wc - lo - up - di - sy], lambda x: x / greatest(ch, 1)) AS p FROM c),
+r AS (SELECT known, count(*) AS m, sum(n) AS tokens, {", ".join(f"sum(p[{i}]) AS a{i}" for i in range(1, 7))} FROM s WHERE n >= 50 GROUP BY known),
+refs AS (
+  SELECT known, tokens, [{", ".join(f"a{i} / m" for i in range(1, 7))}] AS q FROM r WHERE known IS NOT NULL
+  UNION ALL SELECT NULL, sum(tokens), [{", ".join(f"sum(a{i}) / sum(m)" for i in range(1, 7))}] FROM r HAVING sum(m) > 0),
+u AS (SELECT known, word, count(*) AS c FROM (SELECT known, unnest(list_filter(w, lambda x: length(x) <= 5)) AS word FROM s WHERE n >= 50) GROUP BY ALL),
+u2 AS (SELECT known, word, c FROM u WHERE known IS NOT NULL UNION ALL SELECT NULL, word, sum(c) FROM u GROUP BY word),
+top AS (SELECT known, word, c FROM u2 QUALIFY row_number() OVER (PARTITION BY known ORDER BY c DESC, word) <= 12),
+x AS (SELECT s.*, own.known AS ref, coalesce(own.q, pool.q) AS q, coalesce(own.tokens, pool.tokens) AS tokens
+  FROM s LEFT JOIN refs own ON s.known = own.known LEFT JOIN refs pool ON pool.known IS NULL),
+cd AS (SELECT doc_id, sqrt(greatest(list_sum(list_transform(range(1, 7), lambda i: {js_sql("p[i]", "q[i]")})) / 2, 0)) AS cd FROM x WHERE q IS NOT NULL),
+f AS (SELECT x.doc_id, n, tokens, len(list_filter(w, lambda y: y = word)) AS k, c FROM x JOIN top ON top.known IS NOT DISTINCT FROM x.ref WHERE n >= 100),
+g AS (SELECT doc_id, k / n AS a, c / tokens AS b FROM f UNION ALL SELECT doc_id, 1 - sum(k) / any_value(n), 1 - sum(c) / any_value(tokens) FROM f GROUP BY doc_id),
+wd AS (SELECT doc_id, sqrt(greatest(sum({js_sql("a", "b")}) / 2, 0)) AS wd FROM g GROUP BY doc_id),
+t3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM s)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS rep FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t3 WHERE c > 1) GROUP BY doc_id),
+z AS (SELECT x.doc_id, x.n, wc, sy, len(lines) - len(list_distinct(lines)) AS dl, coalesce(rep, 0) AS rep, cd, wd
+  FROM x LEFT JOIN rep ON x.doc_id = rep.doc_id LEFT JOIN cd ON x.doc_id = cd.doc_id LEFT JOIN wd ON x.doc_id = wd.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(wc AS BIGINT) AS word_chars, CAST(sy AS BIGINT) AS n_symbols, CAST(dl AS BIGINT) AS n_dup_lines,
+  CAST(rep AS BIGINT) AS n_repeat_words, (n < 50 OR 100 * rep > 50 * n) AS base_failed,
+  NOT (n < 50 OR 100 * rep > 50 * n) AND NOT coalesce(cd > 0.30, false) AND NOT coalesce(wd > 0.40, false) AS kept
+FROM z"""
+
+
+@query("op5_quality_rules", QUALITY)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 @query("op6_secret_scans")
