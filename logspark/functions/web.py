@@ -8,9 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from logspark.functions.text import ascii_lower
 
-MAX_PATH = 1024
-MAX_QUERY = 512
-MAX_SOURCE = 128
 
 # Campaign parameters moved from the query to the utm map.
 UTM_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
@@ -100,7 +97,7 @@ def any_of(words: list[str]) -> str:
 
 def split_url_utm(url: Column) -> Column:
     """Struct (path, query, utm): the query keeps no ``utm_*`` pair, utm is NULL when empty."""
-    path = F.substring(F.substring_index(url, "?", 1), 1, MAX_PATH)
+    path = F.substring_index(url, "?", 1)
     query = F.when(F.contains(url, F.lit("?")), F.regexp_replace(url, r"(?s)^[^?]*\?", ""))
     pairs = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: p != "")
     keyed = F.transform(
@@ -114,7 +111,7 @@ def split_url_utm(url: Column) -> Column:
         ),
     )
     kept = F.filter(keyed, lambda e: ~F.startswith(e["key"], F.lit("utm_")))
-    query_out = F.substring(F.array_join(F.transform(kept, lambda e: e["pair"]), "&"), 1, MAX_QUERY)
+    query_out = F.array_join(F.transform(kept, lambda e: e["pair"]), "&")
 
     def last_of(key: str) -> Column:
         hits = F.filter(keyed, lambda e: (e["key"] == key) & (e["value"] != ""))
@@ -150,7 +147,7 @@ def classify_referrer(referrer: Column, utm: Column, own_host: Column) -> Column
     own = ascii_lower(F.coalesce(own_host, F.lit("")))
     direct = (F.coalesce(referrer, F.lit("")) == "") | ((own != "") & (host == own))
 
-    source = F.when(tag.isNotNull(), F.substring(tag, 1, MAX_SOURCE)).when(direct, "direct")
+    source = F.when(tag.isNotNull(), tag).when(direct, "direct")
     kind = F.when(
         tag.isNotNull(), F.when(medium.isin(UTM_MEDIUMS), medium).otherwise("campaign")
     ).when(direct, "direct")
@@ -159,7 +156,7 @@ def classify_referrer(referrer: Column, utm: Column, own_host: Column) -> Column
             source = source.when(F.contains(host, F.lit(fragment)), label)
         kind = kind.when(host.rlike(any_of(list(hosts))), name)
     return F.struct(
-        source.otherwise(F.substring(host, 1, MAX_SOURCE)).alias("source"),
+        source.otherwise(host).alias("source"),
         kind.otherwise("referral").alias("medium"),
     )
 

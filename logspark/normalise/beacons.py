@@ -20,7 +20,6 @@ from logspark.functions.json import get, items
 MAX_BEACON_BYTES = 16_384
 MAX_EVENTS = 20
 MAX_SITE, MAX_NAME, MAX_URL, MAX_REFERRER, MAX_PROPS = 64, 128, 2048, 2048, 4096
-MAX_AGENT = 512
 DAY_MS, HOUR_MS = 86_400_000.0, 3_600_000.0
 KINDS = ["pageview", "custom", "outbound", "download", "engagement", "vital", "error"]
 _NAME = r"^[A-Za-z0-9_\-.: /]+$"
@@ -106,7 +105,7 @@ def explode_beacons(
     """
     env = raw.withColumns({"_v": J.parse(F.col("raw"))})
     v = F.col("_v")
-    agent = F.substring(F.coalesce(_text(v, "ua"), F.lit("")), 1, MAX_AGENT)
+    agent = F.coalesce(_text(v, "ua"), F.lit(""))
     env = env.select(
         "receive_ts",
         F.trim("source_addr").alias("ip"),
@@ -161,7 +160,7 @@ def explode_beacons(
         "hostname": F.col("hostname"),
         "path": F.col("url.path"),
         "query": F.col("url.query"),
-        "referrer": F.substring("referrer", 1, MAX_REFERRER),
+        "referrer": F.col("referrer"),
         "source": F.col("via.source"),
         "medium": F.col("via.medium"),
         "country": F.col("country"),

@@ -15,7 +15,6 @@ from logspark.functions.levels import json_number_level, level_of_word
 from logspark.functions.text import ascii_lower, blank_to_null, message_fingerprint, strip_space
 from logspark.functions.timestamps import epoch_ts, flexible_ts
 
-MAX_MESSAGE = 2048
 # Field names with a meaning of their own.
 TS_KEYS = ["ts", "timestamp", "time", "@timestamp"]
 LEVEL_KEYS = ["level", "severity", "loglevel", "lvl"]
@@ -144,7 +143,7 @@ def log_rows(
         "source_host": F.coalesce(text("host", inner_keys=("host", "hostname")), F.col("source_addr")),
         "service": text(*SERVICE_KEYS),
         "level": level_of(F.col("level_value"), F.col("level_word")),
-        "message": F.coalesce("message_text", F.substring("body", 1, MAX_MESSAGE)),
+        "message": F.coalesce("message_text", "body"),
         "fingerprint": text("fingerprint"),
         "trace_id": text(*TRACE_KEYS),
         "span_id": text(*SPAN_KEYS),

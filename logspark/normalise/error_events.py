@@ -19,7 +19,6 @@ from logspark.functions.json import get, items
 
 MAX_FRAMES = 100
 MAX_STACK = 8_192
-MAX_TITLE = 300
 # Event members kept under the ``sentry`` attribute.
 CONTEXT_FIELDS = [
     "event_id", "user", "request", "tags", "extra", "environment", "release", "dist",
@@ -129,7 +128,7 @@ def normalise_error_events(
         F.when(found & (value == ""), kind)
         .when(found, F.concat(kind, F.lit(": "), value))
         .when(plain == "", "Unknown error")
-        .otherwise(F.substring(plain, 1, MAX_TITLE))
+        .otherwise(plain)
     )
     stack = F.when(found & (frames != ""), F.concat(kind, F.lit(": "), value, F.lit("\n"), frames)).otherwise(frames)
     df = df.withColumns({"title": title, "stack": stack, "kind": F.when(found, kind), "value": value})

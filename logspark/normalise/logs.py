@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logspark.functions import json as J
 from logspark.functions.levels import level_from_text, syslog_level
 from logspark.functions.timestamps import rfc3339_ts
-from logspark.normalise.common import MAX_MESSAGE, Promoted, as_input, log_rows
+from logspark.normalise.common import Promoted, as_input, log_rows
 
 SYSLOG_PROTOCOLS = ["syslog_udp", "syslog_tcp"]
 # Facility names by number.
@@ -55,7 +55,7 @@ def _decoded(raw: DataFrame) -> DataFrame:
 
 
 def _text_fields() -> Column:
-    return J.object_of({"level": level_from_text(F.col("body")), "msg": F.substring("body", 1, MAX_MESSAGE)})
+    return J.object_of({"level": level_from_text(F.col("body")), "msg": F.col("body")})
 
 
 def _iso(ts: Column) -> Column:

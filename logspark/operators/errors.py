@@ -11,7 +11,6 @@ from logspark.functions.text import message_fingerprint, variant_hash
 from logspark.functions.timestamps import bucket
 from logspark.operators.rollups import attribute
 
-TITLE_CHARS = 200
 SAMPLES = 3
 SAMPLES_TYPE = "array<struct<variant_hash:string,first_seen:timestamp,stack:string>>"
 GROUP_COLUMNS = [
@@ -45,7 +44,7 @@ def fold_error_groups(batch: DataFrame, samples: int = SAMPLES, key: str = "even
         F.col("level").isin("error", "fatal") & (F.coalesce("fingerprint", F.lit("")) != "")
     ).select(
         "fingerprint", "service", "level", "ts", key,
-        F.substring("message", 1, TITLE_CHARS).alias("title"),
+        F.col("message").alias("title"),
         attribute("stack").alias("stack"),
         attribute("exception_type").alias("exception_type"),
     )

@@ -30,7 +30,7 @@ def chip_filter(chips: dict[str, str] | None) -> Column:
     """Exact matches on the nine filterable dimensions, all of which must hold."""
     keep = F.lit(True)
     for name in CHIPS:
-        value = (chips or {}).get(name, "").strip()[:128]
+        value = (chips or {}).get(name, "").strip()
         if value:
             keep = keep & (F.col(name) == value)
     return keep

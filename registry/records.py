@@ -190,8 +190,8 @@ _TEXT_LEVEL = """CASE WHEN regexp_matches(lower(text), 'error|exception|tracebac
   WHEN contains(lower(text), 'debug') THEN 'debug' ELSE 'info' END"""
 
 
-@check("B8_normalise_text", f"""SELECT 'doc' AS kind, doc_id AS event_key, {_TEXT_LEVEL} AS level, md5(substr(text, 1, 2048)) AS h, octet_length(encode(text)) AS raw_len FROM documents
-UNION ALL SELECT 'conv', conv_id * 1000 + turn, {_TEXT_LEVEL}, md5(substr(text, 1, 2048)), octet_length(encode(text)) FROM conversations""")
+@check("B8_normalise_text", f"""SELECT 'doc' AS kind, doc_id AS event_key, {_TEXT_LEVEL} AS level, md5(text) AS h, octet_length(encode(text)) AS raw_len FROM documents
+UNION ALL SELECT 'conv', conv_id * 1000 + turn, {_TEXT_LEVEL}, md5(text), octet_length(encode(text)) FROM conversations""")
 def b8(spark, d):
     docs = raw(A.table(spark, d, "documents").withColumn("event_key", c("doc_id")), c("text"))
     conv = raw(A.table(spark, d, "conversations").withColumn("event_key", c("conv_id") * 1000 + c("turn")), c("text"))
