@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -52,9 +53,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: its cleaner waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps: its cleaner waits for the driver's garbage collection.
+
+    Listeners hold the plan of a step that has just ended for a moment, hence the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

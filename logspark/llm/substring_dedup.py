@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logspark.llm.common import WordHasher, mix, prepare, stored
+from logspark.llm.common import WordHasher, mix, prepare, release, stored
 
 WINDOW = 35
 #: Covers: period and members, such that all differences modulo the period occur.
@@ -79,9 +79,10 @@ def _rows(rid: list[int], at: list[np.ndarray], key: list[np.ndarray], check: li
     every = np.concatenate([ask, told])
     sure = np.zeros(len(every), bool)
     sure[len(ask) :] = True
-    with np.errstate(over="ignore"):  # settled rows travel under keys of their own, which spread them
-        out = np.where(sure, mix(rids[every].view(np.uint64) * _B2 + pos[every].astype(np.uint64)), keys[every])
-    return pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(checks[every].view(np.int32)), pa.array(rids[every]), pa.array(pos[every]), pa.array(sure)], schema=_FOUND)
+    with np.errstate(over="ignore"):  # settled rows travel under a key per document, which spreads them
+        out = np.where(sure, mix(rids[every].view(np.uint64) * _B2), keys[every])
+        checks = np.where(sure, np.uint32(0), checks[every])
+    return pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(rids[every]), pa.array(pos[every]), pa.array(sure)], schema=_FOUND)
 
 
 def _anchors(window: int, period: int) -> Callable:
@@ -153,6 +154,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(poss, pa.int32())], schema=schema)
 
 
+def _with_row_id(docs: DataFrame) -> DataFrame:
+    """Adds ``rid``: the id, or a hash of id and text where the id is null or repeated."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL")
+    again = stored(again.select(F.col("doc_id").alias("again")), "repeated-ids")
+    plain = F.col("doc_id").isNotNull() & F.col("again").isNull()
+    marked = docs.join(again, docs["doc_id"] == again["again"], "left")
+    return marked.withColumn("rid", F.when(plain, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))).drop("again")
+
+
 def _met_again(found: DataFrame, tag: str) -> DataFrame:
     """Per row id the positions whose hash occurs at least twice."""
     rows = found.repartition("key").sortWithinPartitions("key", "check", "sure").mapInArrow(_repeated, "rid long, pos int")
@@ -198,10 +208,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         raise ValueError("the window is shorter than the period of the cover")
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = _with_row_id(docs)
     marked = _met_again(docs.select("rid", "text").mapInArrow(_anchors(window, period), _KIND), "anchors")
+    release(docs.sparkSession)  # nothing holds the anchors' shuffle any more
     near = docs.select("rid", "text").join(marked, "rid").select("rid", "text", "marks")
     repeats = _met_again(near.mapInArrow(_windows(window, period), _KIND), "windows")
+    del near
+    release(docs.sparkSession)
     rows = docs.join(repeats, "rid", "left").select("doc_id", "text", "marks")
     out = rows.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
