@@ -101,7 +101,7 @@ def test_pseudonyms_keep_formats_link_and_invert(sp, texts):
     got = {r["doc_id"]: r for r in out.collect()}
     for i, v in enumerate(VALUES.values()):
         t = got[i]["text"]
-        new = t[len("é before ") : len("é before ") + len(v)]
+        new = t.removeprefix("é before ").partition("***")[0]
         assert new != v and t == f"é before {new}*** and {new}\nafter" and got[i]["n_changed"] == 2
         assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", v) or "." in v
     assert luhn(got[0]["text"][9:25]) and got[None]["text"] == got[0]["text"][9:25]
