@@ -6,11 +6,18 @@ compared by the logarithm of their likelihood ratio; a token at least ``MIN_RATI
 span of kind ``markov`` unless it touches a base span. The models are trained from labelled
 samples of bounded size: values that the patterns found are random strings, other long tokens of
 letters are ordinary identifiers.
+
+Keys need not be written like those that the patterns find. A token of more than one of small
+letters, capitals and digits is also held against an even model over its own alphabet, and the
+better ratio counts. What ordinary tokens of letters can't teach says little there: a digit after a
+letter is never rarer than ``DIGIT``, and digits among themselves, ``/`` and ``+`` say nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,6 +40,10 @@ MIN_RATIO = math.log(1e6)
 SAMPLE_DOCS = 2_000
 #: Weight of an even distribution in the smoothing of each row of a model.
 EVEN = 8.0
+#: Least probability of a given digit after a letter in ordinary identifiers.
+DIGIT = 1 / (len(ALPHABET) * EVEN)
+#: Alphabets of tokens: small letters, capitals and digits, two or three of them, with and without marks.
+ALPHABETS = 8
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -91,28 +102,68 @@ def log_ratios(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[float]:
-    """The ratio table from at most ``sample`` documents with base spans and as many others.
+def surprises(ordinary: dict[str, int]) -> list[float]:
+    """-log P(second | first) under ordinary strings, row by row; 0 where they can't tell.
+
+    Letters are counted without case, with backoff to the second character alone; a capital
+    follows a small letter once in ``EVEN`` times, and any other character every second time.
+    """
+    pairs, heads, tails = Counter(), Counter(), Counter()
+    for (a, b), n in ordinary.items():
+        a, b = a.lower(), b.lower()
+        pairs[a, b] += n
+        heads[a] += n
+        tails[b] += n
+    size, total, out = len(set(ALPHABET.lower())), sum(tails.values()), []
+    for first in ALPHABET:
+        for second in ALPHABET:
+            a, b = first.lower(), second.lower()
+            p = (pairs[a, b] + EVEN * (tails[b] + EVEN / size) / (total + EVEN)) / (heads[a] + EVEN)
+            if second.isalpha():
+                capital = 1 / EVEN if first.islower() else 0.5
+                p *= capital if second.isupper() else 1 - capital
+            silent = (a.isdigit() and b.isdigit()) or "/" in a + b or "+" in a + b
+            out.append(0.0 if silent else -math.log(max(p, DIGIT) if b.isdigit() else p))
+    return out
+
+
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[float], list[float]]:
+    """The ratio table and the surprises from at most ``sample`` texts with base spans and as many others.
 
-    The samples are the documents of smallest text hash. Without a base span the random model is
+    The samples are the different texts of smallest hash. Without a base span the random model is
     even.
     """
     order = F.xxhash64("text")
     hit = base_spans(docs.filter(" OR ".join(f"text RLIKE '{_QUICK[k]}'" for k in KINDS[:3])).select("text")).filter(F.size("base") > 0)
-    hit = hit.select("base", order.alias("o")).orderBy("o").limit(sample).select(F.explode("base.value").alias("value"))
-    plain = docs.select("text", order.alias("o")).orderBy("o").limit(sample)
+    hit = hit.select(F.col("base.value").alias("values"), order.alias("o")).groupBy("o").agg(F.first("values").alias("values"))
+    hit = hit.orderBy("o").limit(sample).select(F.explode("values").alias("value"))
+    least = docs.select(order.alias("o")).distinct().orderBy("o").limit(sample)
+    plain = docs.select("text", order.alias("o")).join(F.broadcast(least), "o", "left_semi").groupBy("o").agg(F.first("text").alias("text"))
     word = "(?<![A-Za-z0-9_+/-])[A-Za-z_-]{6,}(?![A-Za-z0-9_+/-])"
     plain = plain.select(F.explode(matches_of(F.col("text"), word)).alias("value"))
-    counts = [{r["pair"]: r["n"] for r in _pairs(x).collect()} for x in (hit, plain)]  # at most the square of the alphabet each
-    return log_ratios(*counts)
+    random, ordinary = ({r["pair"]: r["n"] for r in _pairs(x).collect()} for x in (hit, plain))  # at most the square of the alphabet each
+    return log_ratios(random, ordinary), surprises(ordinary)
 
 
-def ratio_of(value: Column, table: list[float]) -> Column:
-    """Sum of the table over neighbouring characters of a value of the alphabet."""
+def _over_pairs(value: Column, table: list[float], change: Callable[[Column], Column]) -> Column:
+    """Sum of the changed table values over neighbouring characters of a value of the alphabet."""
     values = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded once, when planned
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
     steps = F.sequence(F.lit(1), F.char_length(value) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(values, place(i) * len(ALPHABET) + place(i + 1)))
+    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + change(F.get(values, place(i) * len(ALPHABET) + place(i + 1))))
+
+
+def ratio_of(value: Column, table: list[float]) -> Column:
+    """Log ratio under the random model that the patterns' values taught."""
+    return _over_pairs(value, table, lambda x: x)
+
+
+def even_ratio_of(value: Column, table: list[float]) -> Column:
+    """Log ratio under an even model over the value's own alphabet; null for one kind of characters."""
+    kinds = [value.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]")]
+    size = 26 * kinds[0] + 26 * kinds[1] + 10 * kinds[2] + 2 * value.rlike("[_/+-]").cast("int")
+    ratio = _over_pairs(value, table, lambda x: F.when(x > 0, x - F.log(size.cast("double"))).otherwise(0.0))
+    return F.when(kinds[0] + kinds[1] + kinds[2] > 1, ratio - math.log(ALPHABETS))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -126,9 +177,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = train(rows, sample)
+    table, surprise = train(rows, sample)
     out = candidates(base_spans(rows))
-    random = F.filter("tokens", lambda t: ratio_of(t["value"], table) >= min_ratio)
+    random = F.filter("tokens", lambda t: F.greatest(ratio_of(t["value"], table), even_ratio_of(t["value"], surprise)) >= min_ratio)
     out = out.withColumn("_markov", random)
     out = out.withColumn("found", F.sort_array(F.concat("base", "_markov")))
     name = lambda s: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["start"], s["end"])

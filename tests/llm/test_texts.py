@@ -82,6 +82,18 @@ def test_markov_models_find_random_strings_only(sp, texts):
     assert all(r["n_markov"] == 0 for i, r in got.items() if i < 100)
 
 
+def test_markov_models_find_other_alphabets_and_count_copies_once(sp, texts):
+    plain = "quick_brown_fox_jumped configuration_parameters internationalisation ordinary_identifier_name parameterNameOfTheService2 "
+    # a copy group that would fill both samples, and other texts that must teach too
+    rows = [(i, plain + "token=aaaaaaaaaaaa") for i in range(300)] + [(1000 + i, plain + f"{i} token={hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(20)]
+    rows += [(2000, "see K7QX2MZ4W9RJ5TVB3NHC and kq7x2mz4w9rj5tvb3nhc " + plain)]
+    got = {r["doc_id"]: r for r in scan(texts(rows), sample=22).collect()}
+    assert [s["value"] for s in got[2000]["found"] if s["kind"] == 3] == ["K7QX2MZ4W9RJ5TVB3NHC", "kq7x2mz4w9rj5tvb3nhc"]
+    assert all(r["n_markov"] == 0 for i, r in got.items() if i != 2000)
+    again = {r["doc_id"]: r["spans"] for r in scan(texts([r for r in rows if not 0 < r[0] < 300]), sample=22).collect()}
+    assert again == {i: got[i]["spans"] for i in again}  # copies change nothing
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
