@@ -1,8 +1,6 @@
 """Forecasts of many series in parallel.
 
-``forecast_trend`` and ``forecast_seasonal`` are single Catalyst plans. ``forecast_smoothing``
-fits exponential smoothing per series in a grouped pandas function; a group is one series cut to
-its newest buckets.
+Every forecast is one Catalyst plan; ``forecast_smoothing`` fits exponential smoothing by a scan.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from logspark.operators.anomaly import latest_points
 
 MIN_POINTS = 4
-MAX_HORIZON = 200
 DAY_SECONDS = 86_400
 
 
@@ -125,90 +122,160 @@ def forecast_seasonal(
     )
 
 
-def _smooth(y, alpha: float, beta: float):
-    """One pass of trend smoothing: final level, final slope and one-step errors."""
-    import numpy as np
-
-    level, slope = y[0], (y[1] - y[0]) if beta > 0 else 0.0
-    errors = np.empty(len(y) - 1)
-    for t in range(1, len(y)):
-        guess = level + slope
-        errors[t - 1] = y[t] - guess
-        level = guess + alpha * errors[t - 1]
-        slope += alpha * beta * errors[t - 1]
-    return level, slope, errors
-
-
-def _deseasonalise(y, periods):
-    import numpy as np
-
-    index, rest, seasons = np.arange(len(y)), np.asarray(y, float), []
-    for period in periods:
-        line = np.polyval(np.polyfit(index, rest, 1), index)
-        phase = index % period
-        means = np.bincount(phase, weights=rest - line, minlength=period) / np.bincount(phase, minlength=period)
-        seasons.append(means)
-        rest = rest - means[phase]
-    return rest, seasons
-
-
-def smooth_forecast(y, horizon: int, level: float, periods: list[int]):
-    """Predicted, lower and upper arrays and the model's name for one series."""
-    import numpy as np
-
-    rest, seasons = _deseasonalise(y, periods)
-    best = None
-    for alpha in np.linspace(0.05, 0.95, 10):
-        for beta in (0.0, 0.05, 0.2, 0.5):
-            last, slope, errors = _smooth(rest, alpha, beta)
-            n = len(errors)
-            score = n * np.log(max(float(np.mean(errors**2)), 1e-12)) + 2 * (3 if beta > 0 else 1)
-            if best is None or score < best[0]:
-                best = (score, alpha, beta, last, slope, errors)
-    _, alpha, beta, last, slope, errors = best
-    h = np.arange(1, horizon + 1)
-    center = last + slope * h
-    for period, means in zip(periods, seasons):
-        center = center + means[(len(y) - 1 + h) % period]
-    gains = alpha * (1 + beta * np.arange(1, horizon))
-    growth = np.concatenate([[1.0], 1.0 + np.cumsum(gains**2)])
-    half = spread(level) * np.sqrt(np.mean(errors**2) * growth)
-    name = "smoothing" if not periods else "seasonal-smoothing(" + ",".join(map(str, periods)) + ")"
-    return center, center - half, center + half, name
+# -- exponential smoothing -----------------------------------------------------
+#
+# With level l and slope s, a point y gives guess = l + s, e = y - guess, l' = guess + alpha e and
+# s' = s + alpha beta e. That is an affine map, (l', s') = A (l, s) + y b, with A and b fixed by (alpha, beta).
+# So the states of a series are a scan: the state after t points is the sum of A^(t - i) b y_i, which
+# is gathered by doubling (each step adds what lies 2^j points back, times A^(2^j)) inside blocks of
+# BLOCK points; the blocks' totals are scanned the same way, with A^BLOCK. No step runs point by point,
+# no row or task holds a long series, and every (alpha, beta) of the grid is a pair of columns.
+
+BLOCK = 64
+#: (alpha, beta) tried, beta 0 being a level without slope.
+GRID = [(round(0.05 + 0.1 * i, 2), beta) for i in range(10) for beta in (0.0, 0.05, 0.2, 0.5)]
+
+
+def _step(alpha: float, beta: float) -> list[list[float]]:
+    return [[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]]
+
+
+def _times(p: list[list[float]], q: list[list[float]]) -> list[list[float]]:
+    return [[sum(p[i][k] * q[k][j] for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+
+
+def _power(p: list[list[float]], n: int) -> list[list[float]]:
+    out = [[1.0, 0.0], [0.0, 1.0]]
+    while n:
+        if n & 1:
+            out = _times(out, p)
+        p, n = _times(p, p), n >> 1
+    return out
+
+
+def _scan(rows: DataFrame, keys: list[str], steps: list[list[list[float]]], levels: int) -> DataFrame:
+    """Columns l0, s0, l1, s1, ... by ``i`` (0, 1, ...) replaced by their running sums, each step back times the matrix."""
+    place = [*keys, "_block"]
+    rows = rows.withColumns({"_block": F.floor(F.col("i") / BLOCK).cast("long"), "_at": F.pmod(F.col("i"), F.lit(BLOCK)).cast("int")})
+    by_index = W.partitionBy(*place).orderBy("i")
+    back = 1
+    while back < BLOCK:
+        lags = {f"_{c}{n}": F.lag(f"{c}{n}", back, 0.0).over(by_index) for n in range(len(steps)) for c in "ls"}
+        rows, sums = rows.withColumns(lags), {}
+        for n, step in enumerate(steps):
+            p = _power(step, back)
+            for c, (x, y) in zip("ls", p):
+                sums[f"{c}{n}"] = F.col(f"{c}{n}") + F.lit(x) * F.col(f"_l{n}") + F.lit(y) * F.col(f"_s{n}")
+        rows = rows.withColumns(sums).drop(*lags)
+        back *= 2
+    if levels <= 1:
+        return rows.drop("_block", "_at")
+    totals = rows.filter(F.col("_at") == BLOCK - 1).select(*keys, F.col("_block").alias("i"), *_names(steps))
+    before = _scan(totals, keys, [_power(step, BLOCK) for step in steps], levels - 1)
+    before = before.select(*keys, (F.col("i") + 1).alias("_block"), *[F.col(c).alias(f"_{c}") for c in _names(steps)])
+    # A^(place in the block + 1) for every place: a table of BLOCK rows.
+    powers = [[at, *[v for step in steps for line in _power(step, at + 1) for v in line]] for at in range(BLOCK)]
+    names = [f"_p{n}{k}" for n in range(len(steps)) for k in range(4)]
+    table = rows.sparkSession.createDataFrame(powers, "_at int, " + ", ".join(f"{c} double" for c in names))
+    rows = rows.join(before, place, "left").join(F.broadcast(table), "_at")
+    sums = {}
+    for n in range(len(steps)):
+        for c, (x, y) in zip("ls", ((0, 1), (2, 3))):
+            more = F.col(f"_p{n}{x}") * F.col(f"_l{n}") + F.col(f"_p{n}{y}") * F.col(f"_s{n}")
+            sums[f"{c}{n}"] = F.col(f"{c}{n}") + F.coalesce(more, F.lit(0.0))
+    return rows.withColumns(sums).drop("_block", "_at", *names, *[f"_{c}" for c in _names(steps)])
+
+
+def _names(steps: list) -> list[str]:
+    return [f"{c}{n}" for n in range(len(steps)) for c in "ls"]
+
+
+def smooth_states(rows: DataFrame, keys: list[str], grid: list[tuple[float, float]], points: int) -> DataFrame:
+    """``rows`` (keys, i from 0, y, ahead: the next y) with level l<n> and slope s<n> after each point, and its error e<n>.
+
+    Smoothing starts at the first point, with the first step as slope where beta > 0; the first point has no error.
+    ``points`` is the length of the longest series.
+    """
+    levels = 1
+    while BLOCK**levels < points:
+        levels += 1
+    first, start = F.col("i") == 0, {}
+    for n, (alpha, beta) in enumerate(grid):
+        slope = F.coalesce(F.col("ahead") - F.col("y"), F.lit(0.0)) if beta > 0 else F.lit(0.0)
+        start[f"l{n}"] = F.when(first, F.col("y")).otherwise(F.lit(alpha) * F.col("y"))
+        start[f"s{n}"] = F.when(first, slope).otherwise(F.lit(alpha * beta) * F.col("y"))
+    states = _scan(rows.withColumns(start), keys, [_step(*pair) for pair in grid], levels)
+    # l = (1 - alpha) guess + alpha y, so e = y - guess = (y - l) / (1 - alpha)
+    return states.withColumns({f"e{n}": F.when(~first, (F.col("y") - F.col(f"l{n}")) / F.lit(1 - alpha)) for n, (alpha, _) in enumerate(grid)})
+
+
+def deseasonalise(rows: DataFrame, keys: list[str], interval_seconds: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """``rows`` (keys, i, n, y) with the seasons taken off y, and (period, table of keys, phase, season).
+
+    A daily season where the series covers two days, then a weekly one where it covers fourteen: mean
+    deviations of each phase from the straight line of least squares.
+    """
+    daily, seasons = DAY_SECONDS // max(interval_seconds, 1), []
+    for period, needed in ((daily, 2 * daily), (7 * daily, 14 * daily)):
+        if daily < 2:
+            break
+        long_enough = F.col("n") >= needed
+        fits = rows.filter(long_enough).groupBy(*keys).agg(
+            F.regr_slope("y", "i").alias("_slope"), F.regr_intercept("y", "i").alias("_start")
+        )
+        phase = F.pmod(F.col("i"), F.lit(period)).alias("phase")
+        off = F.col("y") - (F.col("_start") + F.col("_slope") * F.col("i"))
+        season = rows.join(fits, keys).groupBy(*keys, phase).agg(F.avg(off).alias("season"))
+        seasons.append((period, season))
+        rows = rows.withColumn("phase", phase).join(season, [*keys, "phase"], "left")
+        rows = rows.withColumn("y", F.col("y") - F.coalesce("season", F.lit(0.0))).drop("phase", "season")
+    return rows, seasons
 
 
 def forecast_smoothing(
     series: DataFrame, keys: list[str], horizon: int, interval_seconds: int,
-    level: float = 0.95, points: int = 120,
+    level: float = 0.95, points: int = 120, grid: list[tuple[float, float]] = GRID,
 ) -> DataFrame:
-    """Exponential smoothing per series, with daily and weekly seasons where two cycles exist.
+    """Exponential smoothing per series, with daily and weekly seasons where the series covers them twice.
 
-    Series with fewer than four points give no rows.
+    The pair of the grid with the least information criterion wins (the first of equals). Rows (keys,
+    h, ts, predicted, lower, upper, model); series with fewer than four points give none.
     """
     check_request(horizon, level)
-    kept = latest_points(series, keys, points).select(*keys, "ts", F.col("value").cast("double").alias("value"))
-    key_types = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("ts")
-        if len(pdf) < MIN_POINTS:
-            return pd.DataFrame(columns=[*keys, "h", "ts", "predicted", "lower", "upper", "model"])
-        periods = seasonal_periods(len(pdf), interval_seconds)
-        center, low, high, name = smooth_forecast(pdf["value"].to_numpy(), horizon, level, periods)
-        step = pd.to_timedelta(max(interval_seconds, 1), unit="s")
-        steps = range(1, horizon + 1)
-        out = pd.DataFrame(
-            {
-                "h": list(steps),
-                "ts": [pdf["ts"].iloc[-1] + step * i for i in steps],
-                "predicted": center, "lower": low, "upper": high, "model": name,
-            }
+    by_time = W.partitionBy(*keys).orderBy("ts")
+    size = W.partitionBy(*keys)
+    rows = latest_points(series.select(*keys, "ts", F.col("value").cast("double").alias("y")), keys, points)
+    rows = rows.select(*keys, "ts", "y", (F.row_number().over(by_time) - 1).alias("i"), F.count(F.lit(1)).over(size).alias("n"))
+    rows, seasons = deseasonalise(rows.filter(F.col("n") >= MIN_POINTS), keys, interval_seconds)
+    rows = rows.withColumn("ahead", F.lead("y").over(W.partitionBy(*keys).orderBy("i")))
+    states = smooth_states(rows, keys, grid, points)
+    last = F.col("i") == F.col("n") - 1
+    sums = [F.first("n").alias("n"), F.max("ts").alias("last_ts")]
+    for k in range(len(grid)):
+        sums += [F.avg(F.col(f"e{k}") * F.col(f"e{k}")).alias(f"q{k}"), *[F.max(F.when(last, F.col(f"{c}{k}"))).alias(f"{c}{k}") for c in "ls"]]
+    tried = [
+        F.struct(
+            ((F.col("n") - 1) * F.log(F.greatest(F.col(f"q{k}"), F.lit(1e-12))) + (6 if beta > 0 else 2)).alias("score"), F.lit(k).alias("k"),
+            F.lit(alpha).alias("alpha"), F.lit(beta).alias("beta"), F.col(f"q{k}").alias("q"), F.col(f"l{k}").alias("level"), F.col(f"s{k}").alias("slope"),
         )
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "h", "ts", "predicted", "lower", "upper", "model"]]
-
-    schema = f"{key_types}, h int, ts timestamp, predicted double, lower double, upper double, model string"
-    return kept.groupBy(*keys).applyInPandas(run, schema)
+        for k, (alpha, beta) in enumerate(grid)
+    ]
+    best = states.groupBy(*keys).agg(*sums).select(*keys, "n", "last_ts", F.array_min(F.array(*tried)).alias("best")).select(*keys, "n", "last_ts", "best.*")
+    out = best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    center, names = F.col("level") + F.col("slope") * F.col("h"), []
+    for i, (period, season) in enumerate(seasons):
+        here = season.select(*keys, F.col("phase").alias("_phase"), F.col("season").alias(f"season{i}"))
+        out = out.withColumn("_phase", F.pmod(F.col("n") - 1 + F.col("h"), F.lit(period))).join(here, [*keys, "_phase"], "left").drop("_phase")
+        center = center + F.coalesce(F.col(f"season{i}"), F.lit(0.0))
+        names.append(F.when(F.col(f"season{i}").isNotNull(), str(period)))
+    model = F.lit("smoothing")
+    if names:
+        model = F.when(F.coalesce(*names).isNull(), model).otherwise(F.concat(F.lit("seasonal-smoothing("), F.concat_ws(",", *names), F.lit(")")))
+    # errors add up as 1 + the sum over j < h of (alpha (1 + beta j))^2
+    m, beta = F.col("h") - 1, F.col("beta")
+    growth = 1 + F.col("alpha") * F.col("alpha") * (m + beta * m * (m + 1) + beta * beta * m * (m + 1) * (2 * m + 1) / 6)
+    half = F.lit(spread(level)) * F.sqrt(F.col("q") * growth)
+    return out.select(
+        *keys, "h", (F.col("last_ts") + F.make_interval(secs=F.col("h") * F.lit(max(interval_seconds, 1)))).alias("ts"),
+        center.alias("predicted"), (center - half).alias("lower"), (center + half).alias("upper"), model.alias("model"),
+    )

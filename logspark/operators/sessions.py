@@ -86,6 +86,8 @@ def numbered(slot_rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
 def visits(numbered_slots: DataFrame) -> DataFrame:
     """Visits (site, visitor, g) folded from their slots, with and without page views."""
     return numbered_slots.groupBy(*VISITOR, "g").agg(
+        F.min("first_s").alias("first_s"),
+        F.max("last_s").alias("last_s"),
         F.max("end_ts").alias("end_ts"),
         F.min("start_ts").alias("start_ts"),
         F.min("first_event").alias("first_event"),
@@ -101,6 +103,21 @@ def visits(numbered_slots: DataFrame) -> DataFrame:
     )
 
 
+def combine_visits(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """Visits that lie within the gap of each other made one; the others stay as they are.
+
+    New events never split a visit, they only lengthen or join some. So a visit's row, whose
+    columns are all least, greatest or summed values, stands for its events, and old visits
+    plus the visits cut from new events give the visits of all events.
+    """
+    by_start = W.partitionBy(*VISITOR).orderBy("first_s", "last_s")
+    reach = F.max("last_s").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("first_s") - reach > gap_seconds), 1).otherwise(0)
+    marked = rows.withColumn("is_new", opens)
+    running = by_start.rowsBetween(W.unboundedPreceding, 0)
+    return visits(marked.withColumn("g", F.sum("is_new").over(running)))
+
+
 def session_rows(visit_rows: DataFrame) -> DataFrame:
     """Session rows; visits without a page view are not sessions."""
     wall = ms_between(F.col("start_ts"), F.col("end_ts"))
@@ -171,9 +188,10 @@ def stamp_sessions(
 def restitch(
     events: DataFrame, sessions: DataFrame, fresh: DataFrame, gap_seconds: int = GAP_SECONDS
 ) -> DataFrame:
-    """Sessions after late events: the full history of every touched visitor is cut again.
+    """Sessions after late events where only session rows were kept: touched visitors are cut again.
 
-    ``events`` is the whole history including ``fresh``. Running it twice changes nothing.
+    ``visit_store`` keeps visits instead and needs no history. ``events`` is the whole history
+    including ``fresh``. Running it twice changes nothing.
     Only slots are matched to the touched visitors, never raw events.
     """
     touched = eligible(fresh).select(*VISITOR).distinct()

@@ -18,11 +18,11 @@ from pyspark.sql.streaming import DataStreamWriter
 from logspark.normalise.common import Promoted
 from logspark.normalise.logs import normalise
 from logspark.normalise.shippers import MAX_CHUNKED_BYTES, MAX_CHUNKS
-from logspark.operators import alerts, errors, sessions
+from logspark.operators import alerts, errors, sessions, visit_store
 from logspark.operators.rollups import duration_ms, percentiles
 from logspark.operators.web_reports import human
 from logspark.operators.web_rollups import web_rollup_daily, web_rollup_minute
-from logspark.sources.tiers import commit_batch
+from logspark.sources.tiers import append_once, commit_batch
 
 WIDTHS = {"1m": "1 minute", "1h": "1 hour"}
 LOG_LATENESS = "10 minutes"
@@ -128,25 +128,62 @@ def session_count_stream(web: DataFrame, gap: str = "30 minutes", lateness: str
 
 def session_stream(
     web: DataFrame, events_path: str, sessions_path: str, checkpoint: str,
-    gap_seconds: int = sessions.GAP_SECONDS,
+    gap_seconds: int = sessions.GAP_SECONDS, buckets: int = visit_store.BUCKETS,
 ) -> DataStreamWriter:
-    """Appends each batch's events and recuts the sessions of the visitors it touches."""
+    """Appends each batch's events and brings the visits they touch up to date.
+
+    ``visit_store.read_sessions(spark, sessions_path)`` gives the session rows.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        append_once(batch, events_path, batch_id)
+        rows = batch.sparkSession.read.parquet(f"{events_path}/batch_id={batch_id}")
+        visit_store.apply_batch(rows, sessions_path, batch_id, gap_seconds, buckets)
+
+    return _per_batch(web, step, checkpoint)
+
+
+def web_rollup_stream(
+    web: DataFrame, root: str, checkpoint: str, gap_seconds: int = sessions.GAP_SECONDS,
+    buckets: int = visit_store.BUCKETS, top: int = 100,
+) -> DataStreamWriter:
+    """Web rollups that late events correct: a batch rebuilds the days it makes dirty, and no others.
+
+    Under ``root``: ``events`` by day and batch, ``visits`` (a visit store), ``minute`` and ``daily`` by
+    ``part_day``, and ``dirty``, the days each batch rebuilt. A batch's dirty days are those of its events
+    and those of every visit that its events lengthen or join. A batch that is run again writes the same files.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
-        history = spark.read.parquet(events_path).filter(F.col("batch_id") <= batch_id)
-        fresh = history.filter(F.col("batch_id") == batch_id)
-        old = read_snapshot(spark, sessions_path, batch_id)
-        if old is None:
-            rows = sessions.sessionize(history, gap_seconds)
-        else:
-            rows = sessions.restitch(history, old, fresh, gap_seconds)
-        write_snapshot(rows, sessions_path, batch_id)
+        days = batch.withColumns({"part_day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+        (
+            days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("part_day", "batch_id").parquet(f"{root}/events")
+        )
+        events = spark.read.schema(days.schema).parquet(f"{root}/events").filter(F.col("batch_id") <= batch_id)
+        fresh = events.filter(F.col("batch_id") == batch_id)
+        changed, _ = visit_store.apply_batch(fresh, f"{root}/visits", batch_id, gap_seconds, buckets)
+        first, last = (visit_store.day_of(F.col(c)) for c in ("first_s", "last_s"))
+        dirty = changed.select(F.explode(F.sequence(first, last)).alias("day")).union(fresh.select("part_day")).distinct()
+        dirty.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/dirty/batch={batch_id}")
+        rebuild_days(spark, root, [r["day"] for r in dirty.collect()], batch_id, gap_seconds, top)
 
     return _per_batch(web, step, checkpoint)
 
 
+def rebuild_days(spark: SparkSession, root: str, days: list, batch_id: int, gap_seconds: int = sessions.GAP_SECONDS, top: int = 100) -> None:
+    """Replaces the rollups of these days (dates) by those of the events and visits up to a batch."""
+    if not days:
+        return
+    events = spark.read.parquet(f"{root}/events").filter(F.col("part_day").isin(days) & (F.col("batch_id") <= batch_id))
+    visits = visit_store.read_visits(spark, f"{root}/visits", batch_id + 1, min(days), max(days))
+    if visits is None:
+        visits = visit_store.cut(events.limit(0), gap_seconds)
+    stamped = visit_store.stamp_from_visits(events.drop("part_day", "batch_id"), visits, gap_seconds)
+    write_days(stamped, sessions.session_rows(visits), f"{root}/minute", f"{root}/daily", top)
+
+
 def recompute_days(
     stamped: DataFrame, session_rows: DataFrame, minute_path: str, daily_path: str, first_day, last_day,
     top: int = 100,
@@ -154,9 +191,14 @@ def recompute_days(
     """Rebuilds the web rollups of whole days, so late events are counted exactly once."""
     day = F.to_date("ts")
     rows = stamped.filter(day.between(F.lit(first_day), F.lit(last_day)))
+    write_days(rows, session_rows, minute_path, daily_path, top)
+
+
+def write_days(stamped: DataFrame, session_rows: DataFrame, minute_path: str, daily_path: str, top: int = 100) -> None:
+    """The rollups of all days of ``stamped`` in place of those days' old ones."""
     for fresh, path, column in (
-        (web_rollup_minute(rows), minute_path, "bucket"),
-        (web_rollup_daily(rows, session_rows, top), daily_path, "day"),
+        (web_rollup_minute(stamped), minute_path, "bucket"),
+        (web_rollup_daily(stamped, session_rows, top), daily_path, "day"),
     ):
         (
             fresh.withColumn("part_day", F.to_date(column))

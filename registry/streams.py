@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logspark.operators.errors import GROUP_COLUMNS
+from logspark.operators.visit_store import read_sessions
 from logspark.sources import adapters as A, tiers
 from logspark.streaming import jobs as S
 from registry import records as R
 from registry.core import EV, GAP, LOGS, R1H, WEB, check, sql_sessions
 from registry.logs import sql_fold
 from registry.series import _scratch
-from registry.web import _ALL
+from registry.web import _ALL, sql_daily
 
 
 class _Streamed:
@@ -79,12 +80,36 @@ def r4(spark, d):
     return settle(spark, S.session_count_stream(A.web_events(_Streamed(spark), d).drop("utm"), "12 hours"), "visits")
 
 
+def in_batches(spark, df: DataFrame, path: str, batches: int = 5) -> DataFrame:
+    """All rows of ``df`` as a stream of ``batches`` files, one to a micro-batch, rows of all times in each."""
+    df.repartition(batches, F.xxhash64("event_key")).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @check("R4_session_stream", f"WITH {sql_sessions()} SELECT {_ALL} FROM ws")
 def r4b(spark, d):
     root = _scratch(spark, "sessions")
-    web = A.web_events(_Streamed(spark), d).drop("utm")
-    drain(S.session_stream(web, f"{root}/events", f"{root}/sessions", f"{root}/cp", GAP))
-    return S.read_snapshot(spark, f"{root}/sessions")
+    web = in_batches(spark, A.web_events(spark, d).drop("utm"), f"{root}/in")
+    drain(S.session_stream(web, f"{root}/events", f"{root}/sessions", f"{root}/cp", GAP, buckets=4))
+    return read_sessions(spark, f"{root}/sessions")
+
+
+def late_rollups(spark, d):
+    root = _scratch(spark, "late")
+    web = in_batches(spark, A.web_events(spark, d).drop("utm"), f"{root}/in", 3)
+    drain(S.web_rollup_stream(web, root, f"{root}/cp", GAP, buckets=4, top=5))
+    return root
+
+
+@check("R5_late_daily_rollup", sql_daily(5))
+def r5(spark, d):
+    return spark.read.parquet(f"{late_rollups(spark, d)}/daily").drop("part_day")
+
+
+@check("R5_late_minute_rollup", f"""WITH {WEB} SELECT date_trunc('minute', ts) AS bucket, site_id, count(*) FILTER (WHERE event='pageview') AS pageviews, count(*) AS events
+FROM web WHERE NOT is_bot GROUP BY 1, 2""")
+def r5b(spark, d):
+    return spark.read.parquet(f"{late_rollups(spark, d)}/minute").drop("part_day")
 
 
 _FOLD, _ = sql_fold("true")

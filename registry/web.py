@@ -6,9 +6,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from logspark.operators import sessions as S, web_reports as R, web_rollups as WR
+from logspark.operators import sessions as S, visit_store as V, web_reports as R, web_rollups as WR
 from logspark.sources import adapters as A
 from registry.core import END, GAP, HUMAN, SES_RANGE, START, WEB, WEB_RANGE, check, sql_sessions
+from registry.series import _scratch
 
 WS = sql_sessions()
 _EV = f"{WEB_RANGE} AND {HUMAN}"
@@ -80,6 +81,16 @@ def h2(spark, d):
     return S.restitch(events, S.sessionize(events.filter(~late), GAP), events.filter(late), GAP)
 
 
+@check("H2_visit_batches", f"WITH {WS} SELECT {_ALL} FROM ws")
+def h2b(spark, d):
+    events = A.web_events(spark, d)
+    late = (F.col("ts") >= F.lit(START + timedelta(days=20))) | (F.col("event_key") % 5 == 0)
+    root = _scratch(spark, "visits")
+    for version, part in enumerate((~late, late)):
+        V.apply_batch(events.filter(part).drop("utm"), root, version, GAP, buckets=8)
+    return V.read_sessions(spark, root)
+
+
 @check("H19_repair_sessions", f"""WITH {WS} SELECT session_id, entry_path, exit_path, engaged_ms, is_bounce, device, browser, os, region, city FROM ws
 WHERE NOT (start_ts >= TIMESTAMP '2024-01-24' AND visitor_id % 9 = 0)""")
 def h19(spark, d):

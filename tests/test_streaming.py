@@ -4,7 +4,7 @@ from conftest import T0
 from pyspark.sql import functions as F
 
 from logspark import schemas
-from logspark.operators import errors as C, sessions as S, web_reports as R, web_rollups as WR
+from logspark.operators import errors as C, sessions as S, visit_store as V, web_reports as R, web_rollups as WR
 from logspark.sources import tiers as T
 from logspark.streaming import jobs as J
 
@@ -63,9 +63,9 @@ def test_session_stream_recuts_late_events(spark, web, tmp_path):
     land(df, str(tmp_path / "in"), ["event_key < 3", "event_key = 3"])
     ev, ses = str(tmp_path / "ev"), str(tmp_path / "ses")
     drain(J.session_stream(stream(spark, df, str(tmp_path / "in")), ev, ses, str(tmp_path / "cp")))
-    got, want = J.read_snapshot(spark, ses), S.sessionize(df)
+    got, want = V.read_sessions(spark, ses), S.sessionize(df)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    assert J.read_snapshot(spark, ses, below=1).count() == 3
+    assert V.read_sessions(spark, ses, below=1).count() == 3
 
 
 def test_recompute_days_counts_late_events_once(spark, web, tmp_path):
