@@ -129,7 +129,7 @@ def forecast_seasonal(
 # So the states of a series are a scan: the state after t points is the sum of A^(t - i) b y_i, which
 # is gathered by doubling (each step adds what lies 2^j points back, times A^(2^j)) inside blocks of
 # BLOCK points; the blocks' totals are scanned the same way, with A^BLOCK. No step runs point by point,
-# no row or task holds a long series, and every (alpha, beta) of the grid is a pair of columns.
+# no row or task holds a long series, and the pairs (alpha, beta) of the grid are the elements of arrays.
 
 BLOCK = 64
 #: (alpha, beta) tried, beta 0 being a level without slope.
@@ -153,45 +153,44 @@ def _power(p: list[list[float]], n: int) -> list[list[float]]:
     return out
 
 
+def _moved(state: str, before: tuple[Column, Column], by: tuple[Column, Column]) -> Column:
+    """Array ``state`` plus, pair by pair, a matrix line times an earlier level and slope; as it is where there is none."""
+    sums = F.transform(F.col(state), lambda v, n: v + F.get(by[0], n) * F.get(before[0], n) + F.get(by[1], n) * F.get(before[1], n))
+    return F.when(before[0].isNull(), F.col(state)).otherwise(sums)
+
+
 def _scan(rows: DataFrame, keys: list[str], steps: list[list[list[float]]], levels: int) -> DataFrame:
-    """Columns l0, s0, l1, s1, ... by ``i`` (0, 1, ...) replaced by their running sums, each step back times the matrix."""
+    """Arrays l and s by ``i`` (0, 1, ...) replaced by their running sums, each step back times the pair's matrix."""
     place = [*keys, "_block"]
     rows = rows.withColumns({"_block": F.floor(F.col("i") / BLOCK).cast("long"), "_at": F.pmod(F.col("i"), F.lit(BLOCK)).cast("int")})
     by_index = W.partitionBy(*place).orderBy("i")
     back = 1
     while back < BLOCK:
-        lags = {f"_{c}{n}": F.lag(f"{c}{n}", back, 0.0).over(by_index) for n in range(len(steps)) for c in "ls"}
-        rows, sums = rows.withColumns(lags), {}
-        for n, step in enumerate(steps):
-            p = _power(step, back)
-            for c, (x, y) in zip("ls", p):
-                sums[f"{c}{n}"] = F.col(f"{c}{n}") + F.lit(x) * F.col(f"_l{n}") + F.lit(y) * F.col(f"_s{n}")
-        rows = rows.withColumns(sums).drop(*lags)
+        powers = [_power(step, back) for step in steps]
+        line = [[F.lit([p[x][y] for p in powers]) for y in (0, 1)] for x in (0, 1)]
+        rows = rows.withColumns({"_l": F.lag("l", back).over(by_index), "_s": F.lag("s", back).over(by_index)})
+        before = (F.col("_l"), F.col("_s"))
+        rows = rows.withColumns({"l": _moved("l", before, line[0]), "s": _moved("s", before, line[1])}).drop("_l", "_s")
         back *= 2
     if levels <= 1:
         return rows.drop("_block", "_at")
-    totals = rows.filter(F.col("_at") == BLOCK - 1).select(*keys, F.col("_block").alias("i"), *_names(steps))
+    totals = rows.filter(F.col("_at") == BLOCK - 1).select(*keys, F.col("_block").alias("i"), "l", "s")
     before = _scan(totals, keys, [_power(step, BLOCK) for step in steps], levels - 1)
-    before = before.select(*keys, (F.col("i") + 1).alias("_block"), *[F.col(c).alias(f"_{c}") for c in _names(steps)])
+    before = before.select(*keys, (F.col("i") + 1).alias("_block"), F.col("l").alias("_l"), F.col("s").alias("_s"))
     # A^(place in the block + 1) for every place: a table of BLOCK rows.
-    powers = [[at, *[v for step in steps for line in _power(step, at + 1) for v in line]] for at in range(BLOCK)]
-    names = [f"_p{n}{k}" for n in range(len(steps)) for k in range(4)]
-    table = rows.sparkSession.createDataFrame(powers, "_at int, " + ", ".join(f"{c} double" for c in names))
+    powers = [[_power(step, at + 1) for step in steps] for at in range(BLOCK)]
+    table = rows.sparkSession.createDataFrame(
+        [(at, *[[p[x][y] for p in powers[at]] for x in (0, 1) for y in (0, 1)]) for at in range(BLOCK)],
+        "_at int, _a array<double>, _b array<double>, _c array<double>, _d array<double>",
+    )
     rows = rows.join(before, place, "left").join(F.broadcast(table), "_at")
-    sums = {}
-    for n in range(len(steps)):
-        for c, (x, y) in zip("ls", ((0, 1), (2, 3))):
-            more = F.col(f"_p{n}{x}") * F.col(f"_l{n}") + F.col(f"_p{n}{y}") * F.col(f"_s{n}")
-            sums[f"{c}{n}"] = F.col(f"{c}{n}") + F.coalesce(more, F.lit(0.0))
-    return rows.withColumns(sums).drop("_block", "_at", *names, *[f"_{c}" for c in _names(steps)])
-
-
-def _names(steps: list) -> list[str]:
-    return [f"{c}{n}" for n in range(len(steps)) for c in "ls"]
+    start = (F.col("_l"), F.col("_s"))
+    rows = rows.withColumns({"l": _moved("l", start, (F.col("_a"), F.col("_b"))), "s": _moved("s", start, (F.col("_c"), F.col("_d")))})
+    return rows.drop("_block", "_at", "_l", "_s", "_a", "_b", "_c", "_d")
 
 
 def smooth_states(rows: DataFrame, keys: list[str], grid: list[tuple[float, float]], points: int) -> DataFrame:
-    """``rows`` (keys, i from 0, y, ahead: the next y) with level l<n> and slope s<n> after each point, and its error e<n>.
+    """``rows`` (keys, i from 0, y, ahead: the next y) with arrays l, s and e: level, slope and error after each point, by pair.
 
     Smoothing starts at the first point, with the first step as slope where beta > 0; the first point has no error.
     ``points`` is the length of the longest series.
@@ -199,14 +198,14 @@ def smooth_states(rows: DataFrame, keys: list[str], grid: list[tuple[float, floa
     levels = 1
     while BLOCK**levels < points:
         levels += 1
-    first, start = F.col("i") == 0, {}
-    for n, (alpha, beta) in enumerate(grid):
-        slope = F.coalesce(F.col("ahead") - F.col("y"), F.lit(0.0)) if beta > 0 else F.lit(0.0)
-        start[f"l{n}"] = F.when(first, F.col("y")).otherwise(F.lit(alpha) * F.col("y"))
-        start[f"s{n}"] = F.when(first, slope).otherwise(F.lit(alpha * beta) * F.col("y"))
-    states = _scan(rows.withColumns(start), keys, [_step(*pair) for pair in grid], levels)
+    first, step = F.col("i") == 0, F.coalesce(F.col("ahead") - F.col("y"), F.lit(0.0))
+    gains, sloped = [F.lit([a for a, _ in grid]), F.lit([a * b for a, b in grid])], F.lit([float(b > 0) for _, b in grid])
+    scaled = [F.transform(g, lambda v: v * F.col("y")) for g in gains]
+    starts = [F.array_repeat("y", len(grid)), F.transform(sloped, lambda v: v * step)]
+    rows = rows.withColumns({c: F.when(first, at).otherwise(then) for c, at, then in zip("ls", starts, scaled)})
+    states = _scan(rows, keys, [_step(*pair) for pair in grid], levels)
     # l = (1 - alpha) guess + alpha y, so e = y - guess = (y - l) / (1 - alpha)
-    return states.withColumns({f"e{n}": F.when(~first, (F.col("y") - F.col(f"l{n}")) / F.lit(1 - alpha)) for n, (alpha, _) in enumerate(grid)})
+    return states.withColumn("e", F.when(~first, F.zip_with("l", gains[0], lambda l, a: (F.col("y") - l) / (1 - a))))
 
 
 def deseasonalise(rows: DataFrame, keys: list[str], interval_seconds: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
@@ -242,40 +241,41 @@ def forecast_smoothing(
     h, ts, predicted, lower, upper, model); series with fewer than four points give none.
     """
     check_request(horizon, level)
+    names, keys = keys, [f"_key{j}" for j in range(len(keys))]  # no clash with working columns
     by_time = W.partitionBy(*keys).orderBy("ts")
     size = W.partitionBy(*keys)
-    rows = latest_points(series.select(*keys, "ts", F.col("value").cast("double").alias("y")), keys, points)
+    series = series.select(*[F.col(name).alias(k) for name, k in zip(names, keys)], "ts", F.col("value").cast("double").alias("y"))
+    rows = latest_points(series, keys, points)
     rows = rows.select(*keys, "ts", "y", (F.row_number().over(by_time) - 1).alias("i"), F.count(F.lit(1)).over(size).alias("n"))
     rows, seasons = deseasonalise(rows.filter(F.col("n") >= MIN_POINTS), keys, interval_seconds)
     rows = rows.withColumn("ahead", F.lead("y").over(W.partitionBy(*keys).orderBy("i")))
     states = smooth_states(rows, keys, grid, points)
+    each = F.posexplode(F.arrays_zip("l", "s", F.coalesce("e", F.array_repeat(F.lit(None).cast("double"), len(grid))).alias("e")))
+    tried = states.select(*keys, "ts", "i", "n", each.alias("k", "at"))
     last = F.col("i") == F.col("n") - 1
-    sums = [F.first("n").alias("n"), F.max("ts").alias("last_ts")]
-    for k in range(len(grid)):
-        sums += [F.avg(F.col(f"e{k}") * F.col(f"e{k}")).alias(f"q{k}"), *[F.max(F.when(last, F.col(f"{c}{k}"))).alias(f"{c}{k}") for c in "ls"]]
-    tried = [
-        F.struct(
-            ((F.col("n") - 1) * F.log(F.greatest(F.col(f"q{k}"), F.lit(1e-12))) + (6 if beta > 0 else 2)).alias("score"), F.lit(k).alias("k"),
-            F.lit(alpha).alias("alpha"), F.lit(beta).alias("beta"), F.col(f"q{k}").alias("q"), F.col(f"l{k}").alias("level"), F.col(f"s{k}").alias("slope"),
-        )
-        for k, (alpha, beta) in enumerate(grid)
-    ]
-    best = states.groupBy(*keys).agg(*sums).select(*keys, "n", "last_ts", F.array_min(F.array(*tried)).alias("best")).select(*keys, "n", "last_ts", "best.*")
+    tried = tried.groupBy(*keys, "k").agg(
+        F.first("n").alias("n"), F.max("ts").alias("last_ts"), F.avg(F.col("at.e") * F.col("at.e")).alias("q"),
+        F.max(F.when(last, F.col("at.l"))).alias("level"), F.max(F.when(last, F.col("at.s"))).alias("slope"),
+    )
+    cost = F.get(F.lit([6 if beta > 0 else 2 for _, beta in grid]), F.col("k"))
+    score = (F.col("n") - 1) * F.log(F.greatest(F.col("q"), F.lit(1e-12))) + cost
+    pair = [F.get(F.lit([p[x] for p in grid]), F.col("k")).alias(name) for x, name in enumerate(("alpha", "beta"))]
+    best = tried.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), "k", "n", "last_ts", "q", "level", "slope", *pair)).alias("best")).select(*keys, "best.*")
     out = best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    center, names = F.col("level") + F.col("slope") * F.col("h"), []
+    center, periods = F.col("level") + F.col("slope") * F.col("h"), []
     for i, (period, season) in enumerate(seasons):
         here = season.select(*keys, F.col("phase").alias("_phase"), F.col("season").alias(f"season{i}"))
         out = out.withColumn("_phase", F.pmod(F.col("n") - 1 + F.col("h"), F.lit(period))).join(here, [*keys, "_phase"], "left").drop("_phase")
         center = center + F.coalesce(F.col(f"season{i}"), F.lit(0.0))
-        names.append(F.when(F.col(f"season{i}").isNotNull(), str(period)))
+        periods.append(F.when(F.col(f"season{i}").isNotNull(), str(period)))
     model = F.lit("smoothing")
-    if names:
-        model = F.when(F.coalesce(*names).isNull(), model).otherwise(F.concat(F.lit("seasonal-smoothing("), F.concat_ws(",", *names), F.lit(")")))
+    if periods:
+        model = F.when(F.coalesce(*periods).isNull(), model).otherwise(F.concat(F.lit("seasonal-smoothing("), F.concat_ws(",", *periods), F.lit(")")))
     # errors add up as 1 + the sum over j < h of (alpha (1 + beta j))^2
     m, beta = F.col("h") - 1, F.col("beta")
     growth = 1 + F.col("alpha") * F.col("alpha") * (m + beta * m * (m + 1) + beta * beta * m * (m + 1) * (2 * m + 1) / 6)
     half = F.lit(spread(level)) * F.sqrt(F.col("q") * growth)
     return out.select(
-        *keys, "h", (F.col("last_ts") + F.make_interval(secs=F.col("h") * F.lit(max(interval_seconds, 1)))).alias("ts"),
+        *[F.col(k).alias(name) for name, k in zip(names, keys)], "h", (F.col("last_ts") + F.make_interval(secs=F.col("h") * F.lit(max(interval_seconds, 1)))).alias("ts"),
         center.alias("predicted"), (center - half).alias("lower"), (center + half).alias("upper"), model.alias("model"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from logspark.operators import alerts as J, anomaly as N, forecast as P, retention as K, rollups as U, sessions as S, search as E
 from logspark.operators.web_rollups import web_rollup_minute
@@ -119,9 +119,32 @@ def i8(spark, d):
     return _rounded(P.forecast_trend(daily_orders(spark, d), ["k"], 14, 86_400))
 
 
-@check("I8_forecast_smoothing")
+GRID_SQL = """g AS (SELECT p, round(0.05 + 0.1 * (p // 4), 2) AS alpha, [0.0, 0.05, 0.2, 0.5][p % 4 + 1]::DOUBLE AS beta FROM range(40) AS r(p)),
+st AS (
+  SELECT a.k, p, alpha::DOUBLE AS alpha, beta, 0 AS i, a.v AS l, CASE WHEN beta > 0 THEN b.v - a.v ELSE 0 END AS s, 0::DOUBLE AS sq FROM z a JOIN z b ON a.k = b.k AND a.i = 0 AND b.i = 1, g
+  UNION ALL
+  SELECT st.k, p, alpha, beta, st.i + 1, l + s + alpha * (z.v - l - s), s + alpha * beta * (z.v - l - s), sq + (z.v - l - s) * (z.v - l - s) FROM st JOIN z ON z.k = st.k AND z.i = st.i + 1),
+c AS (SELECT k, count(*) AS n, max(ts) AS last_ts FROM z GROUP BY 1),
+best AS (SELECT st.*, n, last_ts, sq / (n - 1) AS q FROM st JOIN c ON st.k = c.k AND st.i = n - 1 WHERE n >= 4
+  QUALIFY row_number() OVER (PARTITION BY st.k ORDER BY (n - 1) * ln(greatest(sq / (n - 1), 1e-12)) + CASE WHEN beta > 0 THEN 6 ELSE 2 END, p) = 1),
+f AS (SELECT *, l + s * h AS level, 1.959963984540054 * sqrt(q * (1 + alpha * alpha * ((h - 1) + beta * (h - 1) * h + beta * beta * (h - 1) * h * (2 * h - 1) / 6))) AS half FROM best, range(1, {h}) AS r(h))"""
+
+
+@check("I8_forecast_smoothing", f"""WITH RECURSIVE {_DAILY}, {_IDX.format(points=120)}, z AS (SELECT * FROM y), {GRID_SQL.format(h=15)}
+SELECT k, h, last_ts + to_days(CAST(h AS INTEGER)) AS ts, round(level, 2) AS predicted, round(level - half, 2) AS lower, round(level + half, 2) AS upper, 'smoothing' AS model FROM f""")
 def i8s(spark, d):
-    return P.forecast_smoothing(daily_orders(spark, d), ["k"], 14, 86_400)
+    return _rounded(P.forecast_smoothing(daily_orders(spark, d), ["k"], 14, 86_400))
+
+
+@check("I8_smoothing_states", f"""WITH RECURSIVE {_DAILY}, {_IDX.format(points=1000)},
+st AS (SELECT a.k, 0 AS i, a.v AS l, b.v - a.v AS s, NULL::DOUBLE AS e FROM y a JOIN y b ON a.k = b.k AND a.i = 0 AND b.i = 1
+  UNION ALL SELECT st.k, y.i, l + s + 0.25 * (y.v - l - s), s + 0.05 * (y.v - l - s), y.v - l - s FROM st JOIN y ON y.k = st.k AND y.i = st.i + 1)
+SELECT k, CAST(i AS BIGINT) AS i, round(l, 3) AS level, round(s, 3) AS slope, round(e, 3) AS error FROM st""")
+def i8t(spark, d):
+    by_time = Window.partitionBy("k").orderBy("ts")
+    rows = N.latest_points(daily_orders(spark, d), ["k"], 1000).select("k", (F.row_number().over(by_time) - 1).alias("i"), F.col("value").alias("y"), F.lead("value").over(by_time).alias("ahead"))
+    states = P.smooth_states(rows, ["k"], [(0.25, 0.2)], 1000)
+    return states.select("k", "i", *[F.round(F.get(c, F.lit(0)), 3).alias(name) for c, name in (("l", "level"), ("s", "slope"), ("e", "error"))])
 
 
 @check("I9_forecast_seasonal", f"""WITH {_DAILY}, {_IDX.format(points=364)}, h AS (SELECT unnest(range(1, 15)) AS h),
@@ -133,10 +156,19 @@ def i9(spark, d):
     return _rounded(P.forecast_seasonal(daily_orders(spark, d), ["k"], 14, 86_400, 7, points=364))
 
 
-@check("I9_forecast_seasonal_smoothing")
+@check("I9_forecast_seasonal_smoothing", f"""WITH RECURSIVE {LOGS}, {_HOURLY}, r AS (SELECT service AS k, ts, v, row_number() OVER (PARTITION BY service ORDER BY ts DESC) AS r FROM h),
+y AS (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM r WHERE r <= 720),
+f1 AS (SELECT k, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM y WHERE n >= 48 GROUP BY 1), s1 AS (SELECT k, i % 24 AS p, avg(v - (a + b * i)) AS m FROM y JOIN f1 USING (k) GROUP BY 1, 2),
+y2 AS (SELECT y.k, ts, v - coalesce(m, 0) AS v, i, n FROM y LEFT JOIN s1 ON s1.k = y.k AND s1.p = i % 24),
+f2 AS (SELECT k, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM y2 WHERE n >= 336 GROUP BY 1), s2 AS (SELECT k, i % 168 AS p, avg(v - (a + b * i)) AS m FROM y2 JOIN f2 USING (k) GROUP BY 1, 2),
+z AS (SELECT y2.k, ts, v - coalesce(m, 0) AS v, i FROM y2 LEFT JOIN s2 ON s2.k = y2.k AND s2.p = i % 168), {GRID_SQL.format(h=25)}, o AS (
+SELECT f.k AS service, h, last_ts + to_hours(CAST(h AS INTEGER)) AS ts, level + coalesce(s1.m, 0) + coalesce(s2.m, 0) AS center, half,
+  CASE WHEN s1.m IS NULL THEN 'smoothing' WHEN s2.m IS NULL THEN 'seasonal-smoothing(24)' ELSE 'seasonal-smoothing(24,168)' END AS model
+FROM f LEFT JOIN s1 ON s1.k = f.k AND s1.p = (n - 1 + h) % 24 LEFT JOIN s2 ON s2.k = f.k AND s2.p = (n - 1 + h) % 168)
+SELECT service, h, ts, round(center, 4) AS predicted, round(center - half, 4) AS lower, round(center + half, 4) AS upper, model FROM o""")
 def i9s(spark, d):
-    series = hourly(spark, d)
-    return P.forecast_smoothing(series, ["service"], 24, 3600, points=720)
+    out = P.forecast_smoothing(hourly(spark, d), ["service"], 24, 3600, points=720)
+    return out.withColumns({c: F.round(c, 4) for c in ("predicted", "lower", "upper")})
 
 
 @check("I10_series_choice", f"""WITH {LOGS}, t AS (SELECT service, date_trunc('hour', ts) AS ts, count(*) AS value FROM logs WHERE level <> 'info' GROUP BY 1, 2)

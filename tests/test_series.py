@@ -1,3 +1,4 @@
+import random
 import math
 import statistics
 from datetime import timedelta
@@ -76,6 +77,57 @@ def test_seasonal_keeps_amplitude(spark):
     assert P.forecast_seasonal(data, ["k"], 2, 900, 97).count() == 0
 
 
+def plain_smoothing(y, interval, horizon, z):
+    """Seasons off, every pair of the grid point by point, the best pair carried on."""
+    rest, seasons = list(map(float, y)), []
+    for period in P.seasonal_periods(len(y), interval):
+        n, mx = len(rest), (len(rest) - 1) / 2
+        slope = sum((i - mx) * v for i, v in enumerate(rest)) / sum((i - mx) ** 2 for i in range(n))
+        off = [v - (sum(rest) / n + slope * (i - mx)) for i, v in enumerate(rest)]
+        means = [sum(off[f::period]) / len(off[f::period]) for f in range(period)]
+        seasons.append((period, means))
+        rest = [v - means[i % period] for i, v in enumerate(rest)]
+    best = None
+    for alpha, beta in P.GRID:
+        level, slope, errors = rest[0], rest[1] - rest[0] if beta else 0.0, []
+        for v in rest[1:]:
+            e = v - level - slope
+            level, slope = level + slope + alpha * e, slope + alpha * beta * e
+            errors.append(e)
+        q = sum(e * e for e in errors) / len(errors)
+        score = len(errors) * math.log(max(q, 1e-12)) + (6 if beta else 2)
+        if best is None or score < best[0] - 1e-9:
+            best = (score, alpha, beta, level, slope, q)
+    _, alpha, beta, level, slope, q = best
+    out = []
+    for h in range(1, horizon + 1):
+        center = level + slope * h + sum(m[(len(y) - 1 + h) % p] for p, m in seasons)
+        half = z * math.sqrt(q * (1 + sum((alpha * (1 + beta * j)) ** 2 for j in range(1, h))))
+        out.append((center, center - half, center + half))
+    return out
+
+
+@pytest.mark.parametrize("length,interval", [(4, 60), (65, 86_400), (700, 7200), (4500, 60)])
+def test_smoothing_equals_a_loop_over_points(spark, length, interval):
+    rnd = random.Random(length)
+    y = [round(50 + 0.3 * i + 9 * math.sin(i / 3) + rnd.gauss(0, 4), 3) for i in range(length)]
+    got = P.forecast_smoothing(series(spark, y, minutes=interval / 60), ["k"], 5, interval, points=length).orderBy("h").collect()
+    want = plain_smoothing(y, interval, 5, P.spread(0.95))
+    assert len(got) == 5
+    for r, w in zip(got, want):
+        assert [r["predicted"], r["lower"], r["upper"]] == pytest.approx(w, rel=1e-6, abs=1e-6)
+    assert got[0]["model"] == ("seasonal-smoothing(" + ",".join(map(str, P.seasonal_periods(length, interval))) + ")" if P.seasonal_periods(length, interval) else "smoothing")
+
+
+def test_smoothing_of_long_series_needs_no_task_for_a_series(spark):
+    rows = spark.range(1000).selectExpr("'a' AS k", "id AS i", "double(id % 7) AS y", "double((id + 1) % 7) AS ahead")
+    states = P.smooth_states(rows, ["k"], [(0.25, 0.2)], 1000)
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and "Python" not in plan and "Pandas" not in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_block" in line for line in windows)
+
+
 # -- rollups and alerts --------------------------------------------------------
 
 
