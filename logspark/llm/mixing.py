@@ -23,6 +23,10 @@ from logspark.llm.common import prepare, ranked
 #: Characters of a block, and slots of a period (more where there are more sources).
 BLOCK_CHARS = 1 << 18
 PERIOD = 1_000
+#: Characters ordered by one task.
+BUCKET_CHARS = 1 << 22
+#: Target weights of the registered query and of the pipeline; sources that aren't named weigh as the smallest one.
+TARGETS = {"src0": 6.0, "src1": 4.0, "src2": 3.0, "src3": 1.5, "src4": 1.0}
 
 
 def period_shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
@@ -82,8 +86,8 @@ def plan(blocks: dict[str | None, int], weights: dict[str | None, float], period
 _PLAN = "plan_source string, mix_phase int, first_block long, last_block long, first_slot long, share long, slots array<int>"
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row ``row`` (a struct of all columns of ``docs``) and its place in the mix.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """Per row ``row`` (a struct of the columns of ``docs`` named by ``carry``, all without it) and its place in the mix.
 
     Columns besides ``row``: mix_source, mix_offset (characters of its source before it), mix_block, mix_phase,
     mix_release, mix_deadline, mix_slot. The order of the mix is mix_slot, then mix_offset, then
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     spark = prepare(docs.sparkSession)
     size = F.greatest(F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)), F.lit(1)).cast("long")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("mix_source"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("mix_source"),
         F.xxhash64(F.col(f"`{id_col}`")).alias("mix_hash"), F.xxhash64(F.col(f"`{text_col}`")).alias("mix_tie"), size.alias("mix_size"),
     )
     totals = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.sum("mix_size").alias("n")).collect()}  # a row per source
@@ -104,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     default = min(weights.values()) if weights else 1.0
     each = {s: (weights or {}).get(s, default) for s in blocks}
     table = spark.createDataFrame(plan(blocks, each, max(period, 4 * len(blocks))), _PLAN)
-    placed = ranked(rows, ["mix_source"], ["mix_hash", "mix_tie"], size=F.col("mix_size"))
+    placed = ranked(rows, ["mix_source"], ["mix_hash", "mix_tie"], size=F.col("mix_size"), per=BUCKET_CHARS)
     placed = placed.withColumnRenamed("_rank", "mix_offset").withColumn("mix_block", F.floor(F.col("mix_offset") / block_chars).cast("long"))
     on = F.col("mix_source").eqNullSafe(F.col("plan_source")) & F.col("mix_block").between(F.col("first_block"), F.col("last_block"))
     out = placed.join(F.broadcast(table), on)

@@ -128,8 +128,7 @@ def js_sql(p: str, q: str) -> str:
 
 
 QUALITY = f"""
-WITH k AS (SELECT lang AS known FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 64),
-d AS (SELECT doc_id, coalesce(text, '') AS t, k.known FROM documents LEFT JOIN k ON documents.lang = k.known),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang AS known FROM documents),
 w AS (SELECT *, {words_sql("t")} AS w FROM d),
 c AS (SELECT *, len(w) AS n, length(array_to_string(w, '')) AS wc, length(t) AS ch,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS sy, length(regexp_replace(t, '\\P{{Ll}}', '', 'g')) AS lo,
@@ -185,8 +184,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logspark.llm.mixing import mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("row.doc_id", "row.source", "mix_offset", "mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
+    from logspark.llm.mixing import TARGETS
+
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, TARGETS, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "mix_offset", "mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
 
 
 @query("op1_toxicity")
