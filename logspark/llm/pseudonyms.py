@@ -9,8 +9,9 @@ and a keyed Feistel network permutes the value within the numbers of its own for
 * IPv4 addresses: the two halves
 * dates from 1900 to 2099 as yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy: the day among 17 * 4,297 days
 
+A card may stand in a longer run of digit groups, next to an order number or a security code.
 Separators stay where they are. Equal values get equal pseudonyms in every document, and whoever
-holds the key can invert them (``invert=True``). Mail addresses have no fixed format: they become
+holds the key can invert them (``invert=True``; of a run with several overlapping candidates, the same ones are found again). Mail addresses have no fixed format: they become
 ``u`` and 16 keyed hex digits at ``pseudonym.invalid``, linked but not invertible.
 """
 
@@ -32,10 +33,16 @@ ADDRESS = "(?<![0-9A-Za-z.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\\.[0-9
 DATE = f"{_ODD}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_END}"
 SOCIAL = f"{_ODD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}"
 PHONE = f"(?:\\+1[ .-]?|{_ODD})(?:\\([2-9][0-9]{{2}}\\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{_END}"
-CARD = f"{_ODD}[0-9](?:[ -]?[0-9]){{12,18}}{_END}"
+# A run of digit groups, all parted by the same sign or by none, of 13 digits or more; a card may be a part of it.
+_RUN = "(?<![0-9A-Za-z.])(?<![0-9][-/])"
+CARD = (
+    f"{_RUN}(?:(?=[0-9](?: ?[0-9]){{12}})[0-9]+(?: [0-9]+)*(?![0-9A-Za-z]|[-./][0-9])"
+    f"|(?=[0-9](?:-?[0-9]){{12}})[0-9]+(?:-[0-9]+)*(?![0-9A-Za-z]|[./][0-9]))"
+)
 PATTERNS = {"mail": MAIL, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(PATTERNS.values())
-_QUICK = "@|[0-9]{4}|[0-9]\\.[0-9]"
+#: Holds in every text with a match.
+_QUICK = "@|[0-9]{4}|[0-9]\\.[0-9]|[0-9](?:[ -]?[0-9]){12}"
 
 
 def _digits(m: Column) -> Column:
@@ -90,6 +97,7 @@ def _put(m: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str, invert: bool) -> Column:
+    """One card number with a right check digit."""
     d = _digits(m)
     body = F.substring(d, F.lit(1), F.char_length(d) - 1)
     size = F.char_length(body)
@@ -98,7 +106,44 @@ def _card(m: Column, key: str, invert: bool) -> Column:
     # eighteen digits fit a long, and so do the halves' sums
     mixed = F.lpad(feistel(body.cast("long"), power(left), power(size - left), "card", key, invert).cast("string"), size, F.lit("0"))
     check = F.pmod(10 - F.pmod(luhn_sum(mixed, 0), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(F.pmod(luhn_sum(d, 1), F.lit(10)) == 0, _put(m, F.concat(mixed, check))).otherwise(m)
+    return _put(m, F.concat(mixed, check))
+
+
+#: Printed cards: sizes of their groups, as text and in a run.
+_SHAPES = "^(?:4,4,4,4|4,6,[45]|1[3-9])$"
+_SHAPED = "(?<![0-9])(?:[0-9]{4}([ -])(?:[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{6}\\1[0-9]{4,5})|[0-9]{13,19})(?![0-9])"
+
+
+def _cards(m: Column, key: str, invert: bool) -> Column:
+    """A run of digit groups with the card numbers in it changed.
+
+    A card begins and ends with a group, has 13 to 19 digits and a right check digit. In a run with
+    groups of the sizes of printed cards only such groups count; of others the first and longest.
+    """
+    sign = F.regexp_extract(m, "[ -]", 0)
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+
+    def is_card(i: Column, n: Column) -> Column:
+        part = F.slice(groups, i + 1, n)
+        d = F.array_join(part, "")
+        shape = F.array_join(F.transform(part, lambda g: F.char_length(g).cast("string")), ",")
+        fits = (i + n <= F.size(groups)) & F.char_length(d).between(13, 19) & (shape.rlike(_SHAPES) | ~m.rlike(_SHAPED))
+        return F.when(fits, F.pmod(luhn_sum(d, 1), F.lit(10)) == 0).otherwise(False)
+
+    def groups_of_card(i: Column) -> Column:
+        return F.coalesce(F.get(F.filter(F.sequence(F.lit(19), F.lit(1)), lambda n: is_card(i, n)), F.lit(0)), F.lit(0))
+
+    places = F.sequence(F.lit(0), F.size(groups) - 1)
+    found = F.transform(places, lambda i: F.struct(i.alias("i"), groups_of_card(i).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+
+    def step(s: Column, g: Column) -> Column:
+        size = F.greatest(g["n"], F.lit(1))
+        text = F.call_function("array_join", F.slice(groups, g["i"] + 1, size), sign)
+        new = F.when(g["n"] > 0, _card(text, key, invert)).otherwise(text)
+        return F.when(g["i"] < s["next"], s).otherwise(F.struct(F.concat(s["out"], F.array(new)).alias("out"), (g["i"] + size).alias("next")))
+
+    return F.call_function("array_join", F.aggregate(found, start, step, lambda s: s["out"]), sign)
 
 
 def _phone(m: Column, key: str, invert: bool) -> Column:
@@ -155,7 +200,7 @@ def pseudonym(m: Column, key: str, invert: bool = False) -> Column:
     """The pseudonym of one match of ``ANY``; what fails its validator stays."""
     mail = m if invert else _mail(m, key)
     out = F.when(F.contains(m, F.lit("@")), mail).when(_whole(m, "address"), _address(m, key, invert)).when(_whole(m, "date"), _date(m, key, invert))
-    return out.when(_whole(m, "social"), _social(m, key, invert)).when(_whole(m, "phone"), _phone(m, key, invert)).otherwise(_card(m, key, invert))
+    return out.when(_whole(m, "social"), _social(m, key, invert)).when(_whole(m, "phone"), _phone(m, key, invert)).otherwise(_cards(m, key, invert))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", invert: bool = False, count_col: str | None = None) -> DataFrame:

@@ -129,6 +129,30 @@ def test_pseudonyms_keep_formats_link_and_invert(sp, texts):
     assert pseudonymise(df.limit(0), "k").collect() == []
 
 
+CARDS = {  # text and the card in it that has to go
+    "4111 1111 1111 1111 123": "4111 1111 1111 1111", "4111 1111 1111 1111 12/25": "4111 1111 1111 1111", "order 12 4111 1111 1111 1111": "4111 1111 1111 1111",
+    "4111-1111-1111-1111 123": "4111-1111-1111-1111", "41 11 11 11 11 11 11 11": "41 11 11 11 11 11 11 11", "3782 822463 10005": "3782 822463 10005",
+    "5500 0000 0000 0004 4111 1111 1111 1111": "4111 1111 1111 1111", "no 7 4111111111111111 8": "4111111111111111",
+}
+
+
+def test_cards_next_to_other_digits(sp, texts):
+    rows = list(enumerate(CARDS)) + [(100, "1 2023-02-30 000-12-3456 12345"), (101, "v1.4111111111111111"), (102, "4111 1111 1111 1112"), (103, "7 1987-02-28 8")]
+    out = pseudonymise(texts(rows), "k", count_col="n")
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    for i, (text, card) in enumerate(CARDS.items()):
+        assert card not in got[i] and re.sub("[0-9]", "0", got[i]) == re.sub("[0-9]", "0", text), got[i]
+        at = text.index(card)
+        assert luhn(re.sub("[^0-9]", "", got[i][at:at + len(card)]))
+    assert got[0].endswith(" 123") and got[1].endswith(" 12/25") and got[2].startswith("order 12 ") and got[7].startswith("no 7 ") and got[7].endswith(" 8")
+    assert [got[i] for i in (100, 101, 102)] == [t for i, t in rows if i in (100, 101, 102)]
+    assert got[103] != "7 1987-02-28 8" and got[103][0] == "7" and got[103][-1] == "8"
+    same = got[0][:19].replace(" ", "")
+    assert same == got[3][:19].replace("-", "") == got[7][5:21]  # one number, one pseudonym
+    back = {r["doc_id"]: r["text"] for r in pseudonymise(out.drop("n"), "k", invert=True).collect()}
+    assert back == dict(rows)
+
+
 def test_toxicity_on_held_out_documents(sp):
     d = "/root/testdata/sf0.1"
     docs, labels = (sp.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
