@@ -9,16 +9,16 @@ retried batch gives the same result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from logspark.normalise.common import Promoted
 from logspark.normalise.logs import normalise
 from logspark.normalise.shippers import MAX_CHUNKED_BYTES, MAX_CHUNKS
-from logspark.operators import alerts, errors, sessions, visit_store
+from logspark.operators import alerts, errors, realtime, sessions, visit_store
 from logspark.operators.rollups import duration_ms, percentiles
 from logspark.operators.web_reports import human
 from logspark.operators.web_rollups import web_rollup_daily, web_rollup_minute
@@ -112,6 +112,33 @@ def realtime_stream(web: DataFrame, lateness: str = WEB_LATENESS) -> DataFrame:
     )
 
 
+def realtime_exact_stream(web: DataFrame, root: str, checkpoint: str, width: int = realtime.WIDTH) -> DataStreamWriter:
+    """Exact visitors of the last ``width`` minutes by minute, corrected by late events.
+
+    Under ``root``: ``minutes`` (visitor minutes by day and batch) and ``live`` (rows by day of
+    ``as_of``). A batch adds its visitor minutes and rebuilds the days these reach, from the
+    minutes of those days and the days before them; run again, it writes the same files.
+    """
+
+    def keep(rows: DataFrame, path: str, *keys: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = realtime.visitor_minutes(batch).withColumns({"part_day": F.to_date("minute"), "batch_id": F.lit(batch_id)})
+        keep(fresh, f"{root}/minutes", "part_day", "batch_id")
+        minutes = batch.sparkSession.read.schema(fresh.schema).parquet(f"{root}/minutes").filter(F.col("batch_id") <= batch_id)
+        ends = F.array(*[F.to_date(F.col("minute") + F.make_interval(mins=F.lit(m))) for m in (1, width)])
+        reached = minutes.filter(F.col("batch_id") == batch_id).select(F.explode(ends).alias("day")).distinct()
+        days = [r["day"] for r in reached.collect()]  # a row per day
+        if not days:
+            return
+        near = minutes.filter(F.col("part_day").isin([*days, *[d - timedelta(days=1) for d in days]]))
+        live = realtime.sliding_visitors(near, width).withColumn("part_day", F.to_date("as_of"))
+        keep(live.filter(F.col("part_day").isin(days)), f"{root}/live", "part_day")
+
+    return _per_batch(web, step, checkpoint)
+
+
 def session_count_stream(web: DataFrame, gap: str = "30 minutes", lateness: str = WEB_LATENESS) -> DataFrame:
     """Event counts per visit window; full session rows come from ``session_stream``."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logspark.operators.errors import GROUP_COLUMNS
+from logspark.operators.realtime import sliding_visitors, visitor_minutes
 from logspark.operators.visit_store import read_sessions
 from logspark.sources import adapters as A, tiers
 from logspark.streaming import jobs as S
@@ -73,6 +74,23 @@ def r3(spark, d):
     return live.drop("visitors")  # an estimate, so left out of the comparison
 
 
+_LIVE = f"""WITH {WEB}, m AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS i FROM web WHERE NOT is_bot)
+SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE * (i + 1) AS as_of, site_id, count(DISTINCT visitor_id) AS visitors, count(*) AS events FROM m GROUP BY 1, 2"""
+
+
+@check("R3_sliding_visitors", _LIVE)
+def r3b(spark, d):
+    return sliding_visitors(visitor_minutes(A.web_events(spark, d)))
+
+
+@check("R3_exact_stream", _LIVE)
+def r3c(spark, d):
+    root = _scratch(spark, "live")
+    web = in_batches(spark, A.web_events(spark, d).drop("utm"), f"{root}/in", 3)
+    drain(S.realtime_exact_stream(web, root, f"{root}/cp"))
+    return spark.read.parquet(f"{root}/live").drop("part_day")
+
+
 @check("R4_session_windows", f"""WITH {WEB}, s AS (SELECT *, lag(ts) OVER w AS p FROM web WHERE NOT is_bot AND visitor_id <> 0 WINDOW w AS (PARTITION BY site_id, visitor_id ORDER BY ts, event_key)),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY site_id, visitor_id ORDER BY ts, event_key ROWS UNBOUNDED PRECEDING) AS g FROM s)
 SELECT site_id, visitor_id, min(ts) AS start_ts, max(ts) + INTERVAL 12 HOUR AS end_ts, count(*) AS events, count(*) FILTER (WHERE event='pageview') AS pageviews FROM g GROUP BY site_id, visitor_id, g""")

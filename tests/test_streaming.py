@@ -108,3 +108,23 @@ def test_chunk_stream(spark, tmp_path):
     land(df, str(tmp_path / "in"), ["msg_id in ('a','b')", "msg_id = 'z'", "msg_id = 'y'"])
     got = memory(spark, J.chunk_stream(stream(spark, df, str(tmp_path / "in"))), "chunks_s", "append")
     assert ("a", "AB") in {tuple(r) for r in got.collect()} and "b" not in {r["msg_id"] for r in got.collect()}
+
+
+def test_exact_visitors_follow_late_events(spark, web, tmp_path):
+    from logspark.operators.realtime import sliding_visitors, visitor_minutes
+
+    at = [0, 1, 4, 9, 10, 15.5, 837, 838, 840, 841, 845]  # T0 is 10:00, so 840 minutes later the day ends
+    df = web(*[{"v": v, "at": m + v / 4, "bot": v == 3} for m in at for v in (1, 2, 3)], {"v": 9, "at": 12}, {"v": 9, "at": 2})
+    seen = [(r["ts"], r["visitor_id"]) for r in df.collect() if not r["is_bot"]]
+    want = set()
+    for i in range(0, 900):
+        end = T0 + timedelta(minutes=i)
+        inside = [v for ts, v in seen if end - timedelta(minutes=5) <= ts < end]
+        if inside:
+            want.add((end, "s", len(set(inside)), len(inside)))
+    assert {tuple(r) for r in sliding_visitors(visitor_minutes(df)).collect()} == want
+    land(df, str(tmp_path / "in"), ["event_key % 3 = 1", "event_key % 3 = 0", "event_key % 3 = 2"])
+    for _ in range(2):
+        drain(J.realtime_exact_stream(stream(spark, df, str(tmp_path / "in")), str(tmp_path / "live"), str(tmp_path / "cp")))
+        got = spark.read.parquet(str(tmp_path / "live" / "live")).drop("part_day")
+        assert {tuple(r) for r in got.collect()} == want
