@@ -208,3 +208,81 @@ def ip_number(ip: Column) -> Column:
         valid = valid & n.between(0, 255)
     value = nums[0] * 16777216 + nums[1] * 65536 + nums[2] * 256 + nums[3]
     return F.when(valid, value)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ip6_halves(ip: Column) -> Column:
+    """IPv6 text as struct (high, low) of its 64-bit halves, NULL for anything else.
+
+    Groups may be shortened by ``::`` once, in either case of letters, and end in a dotted IPv4 part.
+    """
+
+    def without_dots(text: Column) -> Column:
+        def hexed(tail: Column) -> Column:
+            word = lambda n: F.lower(F.hex(n.cast("long")))
+            return F.concat(F.regexp_extract(text, "^(.*:)[0-9.]+$", 1), word(F.floor(tail / 65536)), F.lit(":"), word(F.pmod(tail, F.lit(65536))))
+
+        return F.when(F.contains(text, F.lit(".")), let(ip_number(F.regexp_extract(text, "([0-9.]+)$", 1)), hexed)).otherwise(text)
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+    def eight(sides: Column) -> Column:
+        """All eight groups, or an array of another length."""
+        def filled(x: Column) -> Column:
+            missing = 8 - F.size(x["l"]) - F.size(x["r"])
+            return F.when((F.size(sides) == 2) & (missing >= 1), F.concat(x["l"], F.array_repeat(F.lit("0"), missing), x["r"])).when(F.size(sides) == 1, x["l"])
+
+        return let(F.struct(groups(F.get(sides, F.lit(0))).alias("l"), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))).alias("r")), filled)
+
+    def halves(whole: Column) -> Column:
+        digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+        half = lambda d, start: F.conv(F.substring(d, start, 16), 16, -10).cast("long")
+        both = let(digits, lambda d: F.struct(half(d, 1).alias("high"), half(d, 17).alias("low")))
+        return F.when((F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), both)
+
+    text = F.lower(F.when(ip.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$") & ~F.contains(ip, F.lit(":::")), ip))
+    return let(text, lambda t: let(F.split(without_dots(t), "::", -1), lambda sides: let(eight(sides), halves)))
+
+
+def address_key(ip: Column) -> Column:
+    """Struct (family 4 or 6, high, low) of an address; IPv4 numbers stand in ``high``. NULL for other text."""
+
+    def key(x: Column) -> Column:
+        four = F.struct(F.lit(4).alias("family"), x["four"].alias("high"), F.lit(0).cast("long").alias("low"))
+        six = F.struct(F.lit(6).alias("family"), x["six"]["high"].alias("high"), x["six"]["low"].alias("low"))
+        return F.when(x["four"].isNotNull(), four).when(x["six"].isNotNull(), six)
+
+    return let(F.struct(let(ip, ip_number).alias("four"), ip6_halves(ip).alias("six")), key)
+
+
+def address_prefix(key: Column, bits: Column) -> tuple[Column, Column]:
+    """The first ``bits`` bits of an address key, as two numbers that are equal for equal prefixes."""
+
+    def first(value: Column, n: Column, width: int) -> Column:
+        shifted = F.call_function("shiftrightunsigned", value, (width - n).cast("int"))
+        return F.when(n <= 0, F.lit(0).cast("long")).when(n >= width, value).otherwise(shifted)
+
+    four = key["family"] == 4
+    return F.when(four, first(key["high"], bits, 32)).otherwise(first(key["high"], bits, 64)), first(key["low"], bits - 64, 64)
+
+
+def network(cidr: Column) -> Column:
+    """Struct (family, bits, p1, p2) of a block in CIDR text, a bare address being a block of one; NULL for other text."""
+
+    def block(x: Column) -> Column:
+        key, width = x["key"], F.when(x["key"]["family"] == 4, 32).otherwise(128)
+        bits = F.when(F.size(x["parts"]) == 1, width).when((F.size(x["parts"]) == 2) & F.get(x["parts"], F.lit(1)).rlike("^[0-9]{1,3}$"), F.get(x["parts"], F.lit(1)).cast("int"))
+
+        def prefix(n: Column) -> Column:
+            p1, p2 = address_prefix(key, n)
+            return F.when(key.isNotNull() & (n <= width), F.struct(key["family"].alias("family"), n.alias("bits"), p1.alias("p1"), p2.alias("p2")))
+
+        return let(bits, prefix)
+
+    parts = F.split(cidr, "/", -1)
+    return let(F.struct(parts.alias("parts"), address_key(F.trim(F.get(parts, F.lit(0)))).alias("key")), block)

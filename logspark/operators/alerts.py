@@ -26,7 +26,6 @@ COMPARATORS = (">", ">=", "<", "<=", "==", "=")
 WINDOW_SECONDS = 300
 COOLDOWN_SECONDS = 900
 EQUAL_WITHIN = 1e-9
-ANOMALY_LOOKBACK = 20
 KINDS = ("threshold", "count", "error_group_threshold", "anomaly")
 _RANKS = {"critical": 3, "high": 2, "medium": 1}
 
@@ -236,7 +235,7 @@ def escalate(rules: DataFrame, observed: DataFrame, state: DataFrame, now: datet
 
 
 def anomaly_firings(rules: DataFrame, anomalies: DataFrame, state: DataFrame, now: datetime) -> DataFrame:
-    """Anomaly rules: the newest of the last 20 findings that is severe enough, after the cooldown."""
+    """Anomaly rules: the newest finding of the window that is severe enough, after the cooldown."""
     wanted = rules.filter((F.col("kind") == "anomaly") & F.col("error").isNull())
     recent = wanted.join(anomalies.select("metric", F.col("ts").alias("seen"), "score",
                                           F.col("severity").alias("found")), "metric").filter(
@@ -244,9 +243,9 @@ def anomaly_firings(rules: DataFrame, anomalies: DataFrame, state: DataFrame, no
     )
     newest = W.partitionBy("rule_id").orderBy(F.col("seen").desc(), F.col("score").desc())
     severe = (
-        recent.withColumn("nth", F.row_number().over(newest))
-        .filter(F.col("nth") <= ANOMALY_LOOKBACK)
-        .filter(anomaly_rank(F.col("found")) >= anomaly_rank(F.col("min_severity")))
+        recent.filter(anomaly_rank(F.col("found")) >= anomaly_rank(F.col("min_severity")))
+        .withColumn("nth", F.row_number().over(newest))
+        .filter(F.col("nth") == 1)
         .groupBy("rule_id")
         .agg(F.min_by(F.struct("name", "metric", "window_secs", "cooldown_secs", "score", "found"), "nth").alias("a"))
         .select("rule_id", "a.*")

@@ -268,6 +268,40 @@ def b10b(spark, d):
     return _geo(spark, d, hot_rows=1)
 
 
+_SIX = """a AS (SELECT event_key, k, user_id % 4096 AS u, event_key % 4 AS form FROM ev)"""
+
+
+def _both_families(spark, d):
+    """Addresses of both families, IPv6 in several spellings, and nested networks."""
+    n, u, k = c("event_key") % 4, F.hex(c("user_id") % 4096), F.hex(c("k").cast("long"))
+    wide = F.concat(F.lit("2001:0DB8:"), F.lpad(k, 4, "0"), F.lit(":0000:0:0:0:"), u)
+    rows = ev(spark, d).select("event_key", F.when(n == 0, text("10.", c("k"), ".1.7")).when(n == 1, F.lower(text("2001:db8:", k, "::", u))).when(n == 2, wide).otherwise("2001:db8::zz").alias("addr"))
+    nations, suppliers = A.table(spark, d, "nation"), A.table(spark, d, "supplier")
+    key, sup = c("n_nationkey").cast("long"), c("s_suppkey").cast("long")
+    none = F.lit(None).cast("string")
+    networks = nations.select(text("10.", key, ".0.0/16").alias("cidr"), c("n_name").alias("country"), none.alias("region"), none.alias("city"))
+    networks = networks.unionByName(nations.select(F.lower(text("2001:db8:", F.hex(key), "::/48")).alias("cidr"), c("n_name").alias("country"), none.alias("region"), none.alias("city")))
+    small = suppliers.select(text("2001:DB8:", F.hex(sup % 25), "::", F.hex(sup * 16), "/124").alias("cidr"), text("S", sup % 7).alias("country"), text("R", sup).alias("region"), c("s_name").alias("city"))
+    rest = spark.createDataFrame([("2001:db8::/32", "six", None, None), ("not a network", "x", None, None), ("10.0.0.0/40", "x", None, None)], networks.schema)
+    return rows, networks.unionByName(small).unionByName(rest)
+
+
+@check("B10_geo_networks", f"""WITH {EV}, {_SIX} SELECT event_key,
+  CASE WHEN form IN (1, 2) AND s_suppkey IS NOT NULL THEN 'S' || (s_suppkey % 7) WHEN form <= 2 AND n_name IS NOT NULL THEN n_name WHEN form IN (1, 2) THEN 'six' END AS country,
+  CASE WHEN form IN (1, 2) AND s_suppkey IS NOT NULL THEN 'R' || s_suppkey END AS region, CASE WHEN form IN (1, 2) THEN s_name END AS city
+FROM a LEFT JOIN nation ON n_nationkey = k LEFT JOIN supplier ON s_suppkey = u // 16 AND s_suppkey % 25 = k""")
+def b10c(spark, d):
+    rows, networks = _both_families(spark, d)
+    return N.geo_enrich(rows, networks, "addr", c("event_key")).select("event_key", "country", "region", "city")
+
+
+@check("B29_flag_internal_networks", f"""WITH {EV}, {_SIX} SELECT event_key, CASE event_key % 3 WHEN 0 THEN form IN (1, 2) AND (k = 5 OR k = 6) WHEN 1 THEN form IN (1, 2) AND k < 16 AND u = 17 AND k = 3 OR form = 0 AND k < 8 ELSE false END AS is_internal FROM a""")
+def b29b(spark, d):
+    sites = spark.createDataFrame([("site-0", ["2001:db8:5::/48", "2001:db8:6:0::/64", "::/200"]), ("site-1", ["2001:DB8:3::11", "10.0.0.0/13", "1::2::3"]), ("site-2", None)], "id string, exclude_ips array<string>")
+    rows = _both_families(spark, d)[0].withColumn("site_id", F.concat(F.lit("site-"), s(c("event_key") % 3)))
+    return N.flag_internal(rows, sites, "addr", slice_by=c("event_key")).select("event_key", "is_internal")
+
+
 @check("B29_flag_internal", f"WITH {EV} SELECT event_key, CASE user_id % 3 WHEN 0 THEN k // 4 BETWEEN 0 AND 3 WHEN 1 THEN k // 4 = 5 AND user_id % 256 = 7 AND k % 200 = 20 ELSE false END AS is_internal FROM ev")
 def b29(spark, d):
     sites = spark.createDataFrame([("site-0", ["10.0.0.0/14", "bad"]), ("site-1", ["10.5.7.20"]), ("site-2", [])], "id string, exclude_ips array<string>")

@@ -213,3 +213,23 @@ def test_geo_narrowest_range_and_fallback(spark):
     rows = spark.createDataFrame([(1, "10.0.0.5", "ZZ"), (2, "10.9.0.1", "ZZ"), (3, "192.168.0.1", "ZZ"), (4, "bad", ""), (5, None, "FR")], "k int, ip string, cc string")
     out = {r["k"]: (r["country"], r["city"]) for r in N.geo_enrich(rows, ranges, "ip", F.col("k"), "cc").collect()}
     assert out == {1: ("ID", "Jakarta"), 2: ("US", None), 3: ("ZZ", None), 4: (None, None), 5: ("FR", None)}
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    from logspark.functions.web import address_key, network
+
+    good = ["::", "::1", "2001:db8::8:800:200C:417A", "1:2:3:4:5:6:7:8", "1::", "::ffff:192.0.2.33", "64:ff9b::1.2.3.4", "fe80::1:0:0", "10.1.2.3", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "1:2:3:4:5:6:7::"]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", "g::1", "12345::", "1.2.3", "::1.2.3", "::300.1.1.1", "1:2:3:4:5:6:7::8", "fe80::1%eth0", None]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "ip string").select("ip", address_key(F.col("ip")).alias("k")).collect()
+    for r in rows:
+        if r["ip"] not in good:
+            assert r["k"] is None, r
+            continue
+        n, k = int(ipaddress.ip_address(r["ip"])), r["k"]
+        assert (k["high"] if k["family"] == 4 else ((k["high"] % 2**64) << 64) | (k["low"] % 2**64)) == n
+    cidrs = ["2001:db8::/32", "::/0", "0.0.0.0/0", "10.0.0.0/8", "ffff::/1", "1::/64", "1::/65", "1::8000:0:0:1/127", "10.0.0.0/33", "::/129", "1::/x", "1::/1/2"]
+    found = {r["c"]: r["n"] for r in spark.createDataFrame([(t,) for t in cidrs], "c string").select("c", network(F.col("c")).alias("n")).collect()}
+    assert [c for c in cidrs if found[c] is None] == cidrs[8:]
+    assert found["::/0"]["p1"] == found["::/0"]["p2"] == 0 and found["10.0.0.0/8"]["p1"] == 10 and found["1::/65"]["p1"] == 1 << 48
