@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows per Arrow batch: texts may be long, so batches stay far below the default of 10,000 rows.
@@ -171,3 +172,28 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
         here = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         on = here if on is None else on & here
     return left.join(right, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def frequency_ranks(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
+    """``df`` with the place of each row in the order given, from 0, without one task for all rows.
+
+    Rows are dealt by ranges of the order and stored with their range; sizes of ranges (one small
+    row each) give the offsets.
+    """
+    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranks")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_part").alias("_range"), F.coalesce(before, F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    out = parts.withColumn("_inside", inside).join(offsets, F.col("_part") == F.col("_range"))
+    return out.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("int")).drop("_part", "_range", "_inside", "_offset")
+
+
+def file_order(df: DataFrame) -> Column:
+    """The place of a row in Parquet files as Spark numbers them, 0 for a table that isn't read from files."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return F.lit(0).cast("long")
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("long")
+    return F.coalesce(part, F.lit(0)) * (1 << 36) + F.col("_metadata.row_index")

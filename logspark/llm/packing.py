@@ -21,9 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from logspark.llm.common import prepare, ranked, stored
+from logspark.llm.common import frequency_ranks, prepare, ranked, stored
 
 LENGTH = 1024
 END_ID = 2
@@ -84,21 +84,21 @@ def cut(total: int, length: int) -> list[tuple[int, int]]:
     return [(s, (starts[i + 1] if i + 1 < len(starts) else total) - s) for i, s in enumerate(starts)]
 
 
-def _pieces(path: str, end_id: int, length: int, keep_ids: bool):
+def _pieces(path: str, end_id: int, length: int, keep_ids: bool, keep_order: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids + [("_order", pa.int64())] * keep_order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert sys.byteorder == "little" and array("I").itemsize == 4
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, *order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encode(text or "") + end
                 for i, (start, n) in enumerate(cut(len(ids) // 4, length)):
                     part = ids[4 * start : 4 * (start + n)]
                     row = (doc, i, start, n, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if keep_ids else row)
+                    rows.append((*row, *[np.frombuffer(part, "<u4").astype(np.int32)] * keep_ids, *order))
             cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -236,21 +236,31 @@ def _place(spots: dict[int, np.ndarray], keep: list[str]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, rounds: int = ROUNDS, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, rounds: int = ROUNDS, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and with ``keep_ids`` its ids.
 
     A document is its token ids and ``end_id``; a null text is an empty one (its end id alone).
     Longer documents are cut into pieces of ``length``, the first may be shorter. Every piece is
     placed exactly once; a sequence is filled from 0 without gaps. A row is a document, also where
     ids repeat or are null. Other columns are neither read nor returned; no rows give no rows.
+
+    With ``order`` (a long for each document) sequences are numbered from 0 by the least order in
+    them, so that a reader of ascending sequences meets the documents about in that order.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    pieces = stored(docs.mapInArrow(_pieces(tokenizer_path, end_id, length, keep_ids), kind), "pieces")
+    by = [] if order is None else [order.cast("long").alias("_order")]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *by)
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", _order long" * len(by)
+    pieces = stored(docs.mapInArrow(_pieces(tokenizer_path, end_id, length, keep_ids, bool(by)), kind), "pieces")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
     spots = places(pack_histogram(hist, length, rounds))
     lookup = {int(n): g[["rank", "many", "sequence", "offset"]].to_numpy(np.int64) for n, g in spots.groupby("length")}
     numbered = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32", "start"])
     out = numbered.mapInPandas(_place(lookup, [c for c in pieces.columns]), kind + ", sequence_id long, offset long")
+    if by:
+        out = stored(out, "placed")
+        firsts = out.groupBy(F.col("sequence_id").alias("_old")).agg(F.min("_order").alias("_first"))
+        names = frequency_ranks(firsts, [F.col("_first"), F.col("_old")], "_new").select("_old", "_new")
+        out = out.join(names, F.col("sequence_id") == F.col("_old"))
+        out = out.withColumn("sequence_id", F.col("_new").cast("long")).drop("_old", "_new", "_order")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logspark.llm.common import prepare, stored
+from logspark.llm.common import frequency_ranks, prepare, stored
 
 #: Words of a block, and of the context after it: one less than the longest phrase.
 BLOCK = 1 << 19
@@ -199,21 +199,6 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "own", "ids").mapInArrow(count, "block long, key long, c long")
 
 
-def frequency_ranks(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
-    """``df`` with the place of each row in the order given, from 0, without one task for all rows.
-
-    Rows are dealt by ranges of the order and stored with their range; sizes of ranges (one small
-    row each) give the offsets.
-    """
-    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "phrase-ranks")
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("_part").alias("_range"), F.coalesce(before, F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    out = parts.withColumn("_inside", inside).join(offsets, F.col("_part") == F.col("_range"))
-    return out.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("int")).drop("_part", "_range", "_inside", "_offset")
-
-
 def rewrite_words(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(block, own, ids) of the blocks: ids of frequent words, -1 for all others and between pieces."""
     entries = blocks.select("block", "lang", F.posexplode("words").alias("code", "word")).filter("code > 0")

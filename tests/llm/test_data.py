@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.llm.common import connected_components, ranked
-from logspark.llm.mixing import mix, mixed, period_shares, plan_period
+from logspark.llm.common import file_order
+from logspark.llm.mixing import TARGETS, mix, mixed, period_shares, plan_period
 from logspark.llm.packing import Encoder, best_fit, cut, pack, pack_histogram
 from logspark.llm.warc import DamagedRecord, encode_record, read_archives, read_records, warc_round_trip, write_archives
 
@@ -161,9 +162,43 @@ def test_pipeline_stages(sp):
         assert stage(sp, docs.limit(0), d).count() == 0
 
 
+def test_sequences_follow_the_order_of_the_mix(sp, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = sp.read.parquet(f"{d}/documents.parquet")
+    plain, mixed_up = f"{tmp_path}/plain", f"{tmp_path}/mixed"
+    docs.repartition(3).write.parquet(plain)
+    corpus_pipeline.source_mix(sp, docs, d).write.parquet(mixed_up)
+
+    def first_places(path):
+        rows = sp.read.parquet(path)
+        place = {r["doc_id"]: r["p"] for r in rows.select("doc_id", file_order(rows).alias("p")).collect()}
+        out = corpus_pipeline.packing(sp, rows, d).toPandas()
+        firsts = out.assign(p=out.doc_id.map(place)).groupby("sequence_id").p.min()
+        assert firsts.is_monotonic_increasing and firsts.index.tolist() == list(range(len(firsts)))
+        return out.sort_values(["doc_id", "piece"])
+
+    a, b = first_places(plain), first_places(mixed_up)
+    assert a[["doc_id", "piece", "start", "length", "ids_crc32", "offset"]].equals(b.reset_index(drop=True).set_index(a.index)[["doc_id", "piece", "start", "length", "ids_crc32", "offset"]])
+    assert a.sequence_id.tolist() != b.sequence_id.tolist()  # without the mix the numbers differ
+
+
+def test_mix_meets_unequal_targets_over_the_table(sp):
+    rows = mix(sp.read.parquet("/root/testdata/sf0.01/documents.parquet"), TARGETS, block_chars=2_000, period=100, carry=["doc_id", "source"]).toPandas()
+    first = rows[rows.mix_phase == 0]
+    blocks = first.groupby("mix_source").mix_block.max() + 1  # some blocks lie within one long document
+    period = TARGETS | {s: min(TARGETS.values()) for s in blocks.index if s not in TARGETS}
+    total = sum(period[s] for s in blocks.index)
+    slots = first.mix_slot.max() + 1
+    for s in blocks.index:
+        assert abs(blocks[s] - slots * period[s] / total) <= 0.05 * slots + 1
+    assert blocks["src0"] > 3 * blocks["src4"]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)

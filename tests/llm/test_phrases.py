@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from logspark.llm.phrases import LONGEST, block_rows, collocations, frequency_ranks, neighbours, tile_counts, word_slices
+from logspark.llm.common import frequency_ranks
+from logspark.llm.phrases import LONGEST, block_rows, collocations, neighbours, tile_counts, word_slices
 from pyspark.sql import functions as F
 
 
