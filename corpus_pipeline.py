@@ -1,13 +1,18 @@
-"""Corpus preparation: quality rules, near duplicates, personal data, source mix, packing."""
+"""Corpus preparation: quality rules, near duplicates, personal data, source mix, packing.
+
+Every stage takes null and empty texts (the quality rules reject them), null ids (kept as rows; near
+duplicates never drop them), repeated rows (one stays in the near-duplicate stage), very long texts
+(whole) and empty tables (which stay empty). All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.llm.common import stored, table
+from logspark.llm.common import file_order, stored, table
 from logspark.llm.jaccard_join import keep_one
-from logspark.llm.mixing import mixed
+from logspark.llm.mixing import TARGETS, mixed
 from logspark.llm.packing import pack
 from logspark.llm.pseudonyms import DEMO_KEY, pseudonymise
 from logspark.llm.quality import keep_good
@@ -29,13 +34,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, sources weighing the same."""
-    return mixed(docs)
+    """Documents in the order of the mix, by the target weights of sources; the files keep this order."""
+    return mixed(docs, weights=TARGETS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1,024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of documents in sequences of 1,024 tokens, numbered in the order of the mix."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), order=file_order(docs))
 
 
 #: (name, function) in order; each function takes (spark, docs, sf_dir).
