@@ -17,8 +17,8 @@ from logspark.functions.timestamps import epoch_ts, rfc3339_ts
 from logspark.normalise.common import Promoted, as_input, log_rows
 from logspark.functions.json import get, items
 
-MAX_FRAMES = 100
-MAX_STACK = 8_192
+#: Stands for no limit.
+LONGEST = (1 << 31) - 1
 # Event members kept under the ``sentry`` attribute.
 CONTEXT_FIELDS = [
     "event_id", "user", "request", "tags", "extra", "environment", "release", "dist",
@@ -62,8 +62,8 @@ def newest_first(stacktrace: Column) -> Column:
     return F.reverse(items(stacktrace, "frames"))
 
 
-def stack_text(stacktrace: Column, max_frames: int = MAX_FRAMES, max_bytes: int = MAX_STACK) -> Column:
-    """Frames newest first as ``module.function @ file:line``, application frames marked."""
+def stack_text(stacktrace: Column, max_frames: int | None = None, max_bytes: int | None = None) -> Column:
+    """Frames newest first as ``module.function @ file:line``, application frames marked; whole unless a length is given."""
 
     def line(f: Column) -> Column:
         function, module = _text(f, "?", "function"), _text(f, "", "module")
@@ -74,7 +74,9 @@ def stack_text(stacktrace: Column, max_frames: int = MAX_FRAMES, max_bytes: int
         return F.concat(what, F.lit(" @ "), file, F.lit(":"), F.coalesce(row, F.lit("?")), mark)
 
     lines = F.array_join(F.transform(newest_first(stacktrace), line), "\n")
-    return F.coalesce(truncate_stack(lines, max_frames, max_bytes)["stack"], F.lit(""))
+    if max_frames is not None or max_bytes is not None:
+        lines = truncate_stack(lines, max_frames or LONGEST, max_bytes or LONGEST)["stack"]
+    return F.coalesce(lines, F.lit(""))
 
 
 def fingerprint_frames(stacktrace: Column) -> Column:
@@ -101,7 +103,7 @@ def service_of(project: Column, names: dict[str, str]) -> Column:
 
 def normalise_error_events(
     raw: DataFrame, project: Column | None = None, projects: dict[str, str] | None = None,
-    max_frames: int = MAX_FRAMES, max_bytes: int = MAX_STACK,
+    max_frames: int | None = None, max_bytes: int | None = None,
     promoted: tuple[Promoted, ...] = (), drop_keys=(), keep=(),
 ) -> DataFrame:
     """JSON exception events to log rows; ``project`` names the sending application."""

@@ -17,6 +17,8 @@ from logspark.operators.rollups import SITE_METRIC
 POINTS = 120
 MIN_POINTS = 5
 DAY_MINUTES = 1440
+#: Minutes a cycle looks at: two days, which the seasonal detector needs, and one more.
+CYCLE_POINTS = 2 * DAY_MINUTES + 1
 FLAT = 1e-9
 NORMAL_QUARTILE = 0.6745
 
@@ -129,14 +131,14 @@ def total_volume(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy(F.col("bucket").alias("ts")).agg(F.sum("n").cast("double").alias("value"))
 
 
-def anomaly_cycle(rollup: DataFrame, points: int = POINTS, z: float = 3.0) -> DataFrame:
+def anomaly_cycle(rollup: DataFrame, points: int = CYCLE_POINTS, z: float = 3.0) -> DataFrame:
     """All detectors on the newest minutes of total volume."""
     series = total_volume(rollup).orderBy(F.col("ts").desc()).limit(points)
     one = series.withColumn("_all", F.lit(0))
     return detect(one, ["_all"], F.lit("volume"), z).drop("_all")
 
 
-def site_anomaly_cycle(web_rollup: DataFrame, points: int = POINTS, z: float = 3.0) -> DataFrame:
+def site_anomaly_cycle(web_rollup: DataFrame, points: int = CYCLE_POINTS, z: float = 3.0) -> DataFrame:
     """All detectors plus the drop warning on every site's page views."""
     series = web_rollup.groupBy("site_id", F.col("bucket").alias("ts")).agg(
         F.sum("pageviews").cast("double").alias("value")

@@ -27,6 +27,13 @@ sc AS (SELECT {key}, n.ts, 'mad' AS method, CASE WHEN mad >= 1e-9 THEN 0.6745 *
   UNION ALL SELECT {key}, n.ts, 'rate_of_change', CASE WHEN dmad >= 1e-9 THEN 0.6745 * (dlast - dmed) / dmad WHEN dsd >= 1e-9 THEN (dlast - dmean) / dsd END FROM n JOIN m USING ({key}) WHERE n >= 5)"""
 
 
+def sql_season(series: str, key: str, period: int = 1440) -> str:
+    """Scores of the newest point of every series against the point a season before it."""
+    return f"""sr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts DESC) AS i FROM {series}),
+sn AS (SELECT {key}, max(ts) AS ts, count(*) AS n, max(v) FILTER (WHERE i = 1) AS cur, max(v) FILTER (WHERE i = {period + 1}) AS prev, median(v) AS med FROM sr GROUP BY {key}),
+sea AS (SELECT {key}, ts, 'seasonal' AS method, (cur - prev) / abs(prev - med) AS score FROM sn WHERE n >= {2 * period} AND abs(prev - med) > 1e-9 AND abs(cur - prev) / abs(prev - med) > 3)"""
+
+
 def hourly(spark, d):
     return A.logs(spark, d).groupBy("service", F.date_trunc("hour", "ts").alias("ts")).agg(F.count("*").cast("double").alias("value"))
 
@@ -65,20 +72,20 @@ def i4(spark, d):
     return A.logs(spark, d).select("event_key", anomaly_severity(value / 20 - 3).alias("severity"))
 
 
-@check("I5_anomaly_cycle", f"""WITH {LOGS}, {R1M}, t AS (SELECT 0 AS a, bucket AS ts, sum(n)::DOUBLE AS v FROM r1m GROUP BY 2 ORDER BY 2 DESC LIMIT 120), {sql_scores('t', 'a')}
-SELECT ts, 'volume' AS metric, round(score, 6) AS score, method, {SEVERITY} AS severity FROM sc WHERE abs(score) >= 0.1""")
+@check("I5_anomaly_cycle", f"""WITH {LOGS}, {R1M}, t AS (SELECT 0 AS a, bucket AS ts, sum(n)::DOUBLE AS v FROM r1m GROUP BY 2 ORDER BY 2 DESC LIMIT 2881), {sql_scores('t', 'a')}, {sql_season('t', 'a')}
+SELECT ts, 'volume' AS metric, round(score, 6) AS score, method, {SEVERITY} AS severity FROM (SELECT ts, score, method FROM sc WHERE abs(score) >= 0.1 UNION ALL SELECT ts, score, method FROM sea)""")
 def i5(spark, d):
     return N.anomaly_cycle(U.rollup_logs(A.logs(spark, d), "1m"), z=0.1).withColumn("score", F.round("score", 6))
 
 
 _SITES = f"""wr AS (SELECT site_id, date_trunc('minute', ts) AS ts, count(*) FILTER (WHERE event='pageview')::DOUBLE AS v FROM web WHERE NOT is_bot GROUP BY 1, 2),
-l AS (SELECT site_id, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS i FROM wr) WHERE i <= 120)"""
+l AS (SELECT site_id, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS i FROM wr) WHERE i <= 2881)"""
 
 
-@check("I6_site_anomaly_cycle", f"""WITH {WEB}, {_SITES}, {sql_scores('l', 'site_id')}, p AS (SELECT site_id, max(ts) AS t, arg_max(v, ts) AS cur FROM l GROUP BY 1),
+@check("I6_site_anomaly_cycle", f"""WITH {WEB}, {_SITES}, {sql_scores('l', 'site_id')}, {sql_season('l', 'site_id')}, p AS (SELECT site_id, max(ts) AS t, arg_max(v, ts) AS cur FROM l GROUP BY 1),
 q AS (SELECT site_id, list_sort(list(v)) AS vs FROM l JOIN p USING (site_id) WHERE ts < t GROUP BY 1),
 w AS (SELECT site_id, t AS ts, vs[len(vs) // 2 + 1] AS usual, cur FROM p JOIN q USING (site_id))
-SELECT ts, 'web_pageviews:' || site_id AS metric, round(score, 6) AS score, method, {SEVERITY} AS severity FROM sc WHERE abs(score) >= 0.1
+SELECT ts, 'web_pageviews:' || site_id AS metric, round(score, 6) AS score, method, {SEVERITY} AS severity FROM (SELECT site_id, ts, score, method FROM sc WHERE abs(score) >= 0.1 UNION ALL SELECT site_id, ts, score, method FROM sea)
 UNION ALL SELECT ts, 'web_pageviews:' || site_id, round(CASE WHEN usual > 0 THEN (usual - cur) / usual ELSE 1.0 END, 6), 'mad', 'warning' FROM w WHERE cur < 0.3 * usual""")
 def i6(spark, d):
     return N.site_anomaly_cycle(web_rollup_minute(A.web_events(spark, d)), z=0.1).withColumn("score", F.round("score", 6))

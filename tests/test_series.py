@@ -128,6 +128,18 @@ def test_smoothing_of_long_series_needs_no_task_for_a_series(spark):
     assert windows and all("_block" in line for line in windows)
 
 
+def test_cycles_find_a_broken_season_by_default(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr(
+        "timestamp_micros((1705312800 + id * 60) * 1000000) AS bucket", f"case when id = {n - 1} then 200 when id % 1440 = {(n - 1) % 1440} then 150 else 100 + id % 3 end AS n", "'s' AS site_id")
+    found = {r["method"]: r["score"] for r in N.anomaly_cycle(rows).collect()}
+    assert "seasonal" not in found  # 50 more than a day before, where the usual deviation of that minute is 49
+    calm = rows.withColumn("n", F.when(F.col("n") == 200, 400).otherwise(F.col("n")))
+    assert {r["method"] for r in N.anomaly_cycle(calm).collect()} >= {"seasonal"}
+    sites = N.site_anomaly_cycle(calm.withColumnRenamed("n", "pageviews")).collect()
+    assert {(r["metric"], r["method"]) for r in sites} >= {("web_pageviews:s", "seasonal")}
+
+
 # -- rollups and alerts --------------------------------------------------------
 
 
