@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logspark.operators.errors import GROUP_COLUMNS
 from logspark.operators.realtime import sliding_visitors, visitor_minutes
 from logspark.operators.visit_store import read_sessions
 from logspark.sources import adapters as A, tiers
 from logspark.streaming import jobs as S
+from logspark.streaming.stateful import chunk_messages, severity_stream
 from registry import records as R
 from registry.core import EV, GAP, LOGS, R1H, WEB, check, sql_sessions
 from registry.logs import sql_fold
@@ -138,3 +139,51 @@ def r6(spark, d):
     root = _scratch(spark, "groups")
     drain(S.error_group_stream(A.logs(_Streamed(spark), d), f"{root}/groups", f"{root}/cp"))
     return S.read_snapshot(spark, f"{root}/groups").select(*[c for c in GROUP_COLUMNS[:9] if c != "exception_type"])
+
+
+_STEPS = [{"comparator": ">=", "value": 0.2, "severity": "warning"}, {"comparator": ">=", "value": 0.3, "severity": "critical"}]
+
+
+@check("R7_severity_stream", f"""WITH {LOGS}, h AS (SELECT CAST(substr(service, 5) AS BIGINT) AS rule_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, count(*) FILTER (WHERE level='error')::DOUBLE / count(*) AS value FROM logs GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN value >= 0.3 THEN 'critical' WHEN value >= 0.2 THEN 'warning' ELSE 'ok' END AS severity FROM h),
+b AS (SELECT *, coalesce(lag(severity) OVER (PARTITION BY rule_id ORDER BY ts), 'ok') AS before FROM s)
+SELECT rule_id, ts, round(value, 6) AS value, before, severity FROM b WHERE severity <> before""")
+def r7(spark, d):
+    """Ticks arrive out of order, in four batches; a last one moves the watermark past all others."""
+    root = _scratch(spark, "severity")
+    r = F.count_if(F.col("level") == "error") / F.count("*")
+    ticks = A.logs(spark, d).groupBy(F.substring("service", 5, 9).cast("long").alias("rule_id"), F.date_trunc("day", "ts").alias("ts")).agg(r.alias("value"))
+    last = spark.createDataFrame([(0, None, None)], "rule_id long, ts timestamp, value double").withColumn("ts", F.expr("TIMESTAMP '2030-01-01'"))
+    observed = in_batches(spark, ticks.withColumn("event_key", F.xxhash64("rule_id", "ts")), f"{root}/in", 4)
+    last.withColumn("event_key", F.lit(0).cast("long")).write.mode("append").parquet(f"{root}/in")
+    rules = [{"rule_id": i, "condition": {"type": "threshold", "thresholds": _STEPS}} for i in range(8)]
+    out = severity_stream(observed, rules, "400 days")
+    drain(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append"))
+    return spark.read.parquet(f"{root}/out").withColumn("value", F.round("value", 6))
+
+
+@check("R8_chunk_messages", """WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, l_orderkey, l_partkey, count(*) OVER w AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS seq FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
+p AS (SELECT *, seq = total - 1 AND total > 1 AND l_orderkey % 7 = 0 AS late FROM l WHERE NOT (total % 5 = 0 AND seq = 0)),
+g AS (SELECT msg_id, late, total, count(*) AS received, string_agg(l_partkey || ';', '' ORDER BY seq) AS payload FROM p GROUP BY 1, 2, 3)
+SELECT msg_id, CASE WHEN received = total THEN payload END AS payload, received = total AS complete, received, total FROM g""")
+def r8(spark, d):
+    """Parts of orders in time order over three batches: some never come, some too late."""
+    root = _scratch(spark, "messages")
+    per = Window.partitionBy("l_orderkey")
+    order = per.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    parts = A.table(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_orderkey").cast("string").alias("msg_id"), (F.row_number().over(order) - 1).alias("seq"),
+        F.count("*").over(per).cast("int").alias("total"), F.concat(F.col("l_partkey").cast("string"), F.lit(";")).alias("payload"),
+    ).filter("NOT (total % 5 = 0 AND seq = 0)")
+    late = F.expr("seq = total - 1 AND total > 1 AND l_orderkey % 7 = 0")
+    at = F.col("l_orderkey") % 3 * 3600 + F.col("seq") % 5 * F.lit(0.5) + F.when(late, 30).otherwise(0)
+    parts = parts.withColumn("receive_ts", F.expr("TIMESTAMP '2024-01-01'") + F.make_interval(secs=at.cast("decimal(18,6)")))
+    parts.cache()
+    for hour in range(3):
+        parts.filter(F.col("l_orderkey") % 3 == hour).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    parts.limit(1).withColumns({"msg_id": F.lit("end"), "receive_ts": F.expr("TIMESTAMP '2030-01-01'")}).write.mode("append").parquet(f"{root}/in")
+    parts.unpersist()
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = chunk_messages(stream, 5, "10 seconds").filter("msg_id <> 'end'")
+    drain(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append"))
+    return spark.read.parquet(f"{root}/out")
