@@ -31,8 +31,9 @@ HEX = "[0-9a-f]+"
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
-#: A candidate: so many characters that keys are written with, not part of a longer run.
-CANDIDATE = "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?![A-Za-z0-9_+/-])"
+#: A candidate: so many characters that keys are written with, a letter among them, not part of a longer run.
+#: A run without letters is a number (of a card, an order, a day), of which no model tells a random one.
+CANDIDATE = "(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
 #: Log-likelihood ratio from which a token is taken for random (about one in a million by chance).
 MIN_RATIO = math.log(1e6)

@@ -94,6 +94,15 @@ def test_markov_models_find_other_alphabets_and_count_copies_once(sp, texts):
     assert again == {i: got[i]["spans"] for i in again}  # copies change nothing
 
 
+def test_numbers_are_no_random_strings(sp, texts):
+    plain = "quick_brown_fox_jumped configuration_parameters internationalisation ordinary_identifier_name "
+    numbers = ["4111111111111111", "5500000000000004", "20240115-103000-000123", "1234567890123456789012", "+4915112345678901", "2024/01/15/10/30/00/12"]
+    rows = [(i, plain + f"token={hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(30)] + [(100 + i, f"{plain}{n} {plain}") for i, n in enumerate(numbers)]
+    rows += [(200, plain + "Zk3v9QxT7bLm2WqR8sYh1Nf4")]
+    got = {r["doc_id"]: r for r in scan(texts(rows)).collect()}
+    assert all(got[100 + i]["n_markov"] == 0 for i in range(len(numbers))) and got[200]["n_markov"] == 1
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
