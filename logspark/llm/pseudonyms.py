@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logspark.functions.web import let
 from logspark.llm.common import free_name, prepare
 from logspark.llm.spans import matches_of, parts_of, replaced
 
@@ -97,16 +98,18 @@ def _put(m: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str, invert: bool) -> Column:
-    """One card number with a right check digit."""
-    d = _digits(m)
-    body = F.substring(d, F.lit(1), F.char_length(d) - 1)
-    size = F.char_length(body)
-    left = F.floor(size / 2).cast("int")
+    """One card number with a right check digit; ``m`` is a bound value."""
     power = lambda n: F.rpad(F.lit("1"), n + 1, F.lit("0")).cast("long")
-    # eighteen digits fit a long, and so do the halves' sums
-    mixed = F.lpad(feistel(body.cast("long"), power(left), power(size - left), "card", key, invert).cast("string"), size, F.lit("0"))
-    check = F.pmod(10 - F.pmod(luhn_sum(mixed, 0), F.lit(10)), F.lit(10)).cast("string")
-    return _put(m, F.concat(mixed, check))
+
+    def mixed(body: Column) -> Column:
+        # eighteen digits fit a long, and so do the halves' sums
+        size, left = F.char_length(body), F.floor(F.char_length(body) / 2).cast("int")
+        return F.lpad(feistel(body.cast("long"), power(left), power(size - left), "card", key, invert).cast("string"), size, F.lit("0"))
+
+    def whole(digits: Column) -> Column:
+        return _put(m, F.concat(digits, F.pmod(10 - F.pmod(luhn_sum(digits, 0), F.lit(10)), F.lit(10)).cast("string")))
+
+    return let(_digits(m), lambda d: let(F.substring(d, F.lit(1), F.char_length(d) - 1), lambda body: let(mixed(body), whole)))
 
 
 #: Printed cards: sizes of their groups, as text and in a run.
@@ -120,30 +123,35 @@ def _cards(m: Column, key: str, invert: bool) -> Column:
     A card begins and ends with a group, has 13 to 19 digits and a right check digit. In a run with
     groups of the sizes of printed cards only such groups count; of others the first and longest.
     """
-    sign = F.regexp_extract(m, "[ -]", 0)
-    groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-
-    def is_card(i: Column, n: Column) -> Column:
-        part = F.slice(groups, i + 1, n)
-        d = F.array_join(part, "")
-        shape = F.array_join(F.transform(part, lambda g: F.char_length(g).cast("string")), ",")
-        fits = (i + n <= F.size(groups)) & F.char_length(d).between(13, 19) & (shape.rlike(_SHAPES) | ~m.rlike(_SHAPED))
-        return F.when(fits, F.pmod(luhn_sum(d, 1), F.lit(10)) == 0).otherwise(False)
-
-    def groups_of_card(i: Column) -> Column:
-        return F.coalesce(F.get(F.filter(F.sequence(F.lit(19), F.lit(1)), lambda n: is_card(i, n)), F.lit(0)), F.lit(0))
-
-    places = F.sequence(F.lit(0), F.size(groups) - 1)
-    found = F.transform(places, lambda i: F.struct(i.alias("i"), groups_of_card(i).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
-
-    def step(s: Column, g: Column) -> Column:
-        size = F.greatest(g["n"], F.lit(1))
-        text = F.call_function("array_join", F.slice(groups, g["i"] + 1, size), sign)
-        new = F.when(g["n"] > 0, _card(text, key, invert)).otherwise(text)
-        return F.when(g["i"] < s["next"], s).otherwise(F.struct(F.concat(s["out"], F.array(new)).alias("out"), (g["i"] + size).alias("next")))
-
-    return F.call_function("array_join", F.aggregate(found, start, step, lambda s: s["out"]), sign)
+
+    def run(x: Column) -> Column:
+        groups, sign, shaped = x["groups"], x["sign"], x["shaped"]
+
+        def is_card(i: Column, n: Column) -> Column:
+            def test(part: Column) -> Column:
+                shape = F.array_join(F.transform(part, lambda g: F.char_length(g).cast("string")), ",")
+                sum_of = let(F.array_join(part, ""), lambda d: F.when(F.char_length(d).between(13, 19), F.pmod(luhn_sum(d, 1), F.lit(10))))
+                return F.when(~shaped | shape.rlike(_SHAPES), F.coalesce(sum_of == 0, F.lit(False))).otherwise(False)
+
+            return let(F.slice(groups, i + 1, n), test)
+
+        def groups_of_card(i: Column) -> Column:
+            sizes = F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1))
+            return F.coalesce(F.get(F.filter(sizes, lambda n: is_card(i, n)), F.lit(0)), F.lit(0))
+
+        found = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.struct(i.alias("i"), groups_of_card(i).alias("n")))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+
+        def step(s: Column, g: Column) -> Column:
+            size = F.greatest(g["n"], F.lit(1))
+            text = F.call_function("array_join", F.slice(groups, g["i"] + 1, size), sign)
+            new = let(text, lambda t: F.when(g["n"] > 0, _card(t, key, invert)).otherwise(t))
+            return F.when(g["i"] < s["next"], s).otherwise(F.struct(F.concat(s["out"], F.array(new)).alias("out"), (g["i"] + size).alias("next")))
+
+        return F.call_function("array_join", F.aggregate(found, start, step, lambda s: s["out"]), sign)
+
+    facts = F.struct(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.regexp_extract(m, "[ -]", 0).alias("sign"), m.rlike(_SHAPED).alias("shaped"))
+    return let(facts, run)
 
 
 def _phone(m: Column, key: str, invert: bool) -> Column:
