@@ -122,8 +122,8 @@ def rule_table(spark: SparkSession, rules: list[dict], log_schema: T.StructType,
         c = r.get("condition") or {}
         kind = c.get("type", "")
         subject = {
-            "count": f"rows matching '{c.get('filter')}'",
-            "error_group_threshold": f"error group {c['fingerprint']}" if c.get("fingerprint") else "error-group events",
+            "count": f"count of {c.get('filter')}",
+            "error_group_threshold": f"events of group {c['fingerprint']}" if c.get("fingerprint") else "events of all error groups",
         }.get(kind, r.get("metric") or "")
         steps = [] if problems or kind == "anomaly" else entries_of(c)
         rows.append(
@@ -213,14 +213,10 @@ def escalate(rules: DataFrame, observed: DataFrame, state: DataFrame, now: datet
     )
     shown = F.format_string("%.3f", "value")
     window = F.col("window_secs").cast("string")
-    recovered = F.concat(
-        F.lit("RECOVERED: '"), F.col("name"), F.lit("' is back to normal (was '"), F.col("before"),
-        F.lit("'); "), F.col("subject"), F.lit(" = "), shown, F.lit(" over the last "), window, F.lit("s"),
-    )
+    measured = F.concat(F.col("subject"), F.lit(" was "), shown, F.lit(" in "), window, F.lit(" s"))
+    recovered = F.concat(F.col("name"), F.lit(": ok after "), F.col("before"), F.lit("; "), measured)
     crossed = F.concat(
-        F.col("name"), F.lit(" crossed '"), F.col("severity"), F.lit("' threshold: "), F.col("subject"),
-        F.lit(" "), F.col("hit.comparator"), F.lit(" "), F.col("hit.text"), F.lit(" over the last "),
-        window, F.lit("s (current: "), shown, F.lit(")"),
+        F.col("name"), F.lit(": "), F.col("severity"), F.lit("; "), measured, F.lit(", limit "), F.col("hit.comparator"), F.lit(" "), F.col("hit.text"),
     )
     valid = F.col("error").isNull()
     fired = valid & F.col("value").isNotNull() & (F.col("severity") != F.col("before"))
@@ -254,8 +250,8 @@ def anomaly_firings(rules: DataFrame, anomalies: DataFrame, state: DataFrame, no
         F.unix_seconds(F.lit(now)) - F.unix_seconds("last_fired_at") >= F.greatest("cooldown_secs", F.lit(0))
     )
     message = F.concat(
-        F.lit("anomaly on '"), F.col("metric"), F.lit("': severity "), F.col("found"), F.lit(" (score "),
-        F.format_string("%.2f", "score"), F.lit(") within the last "), F.col("window_secs").cast("string"), F.lit("s"),
+        F.col("metric"), F.lit(": "), F.col("found"), F.lit(" anomaly of score "), F.format_string("%.2f", "score"),
+        F.lit(" in "), F.col("window_secs").cast("string"), F.lit(" s"),
     )
     return severe.join(state, "rule_id", "left").select(
         "rule_id", "name", "metric", F.lit(now).alias("ts"), F.col("score").alias("value"),

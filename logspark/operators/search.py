@@ -125,9 +125,9 @@ def window_summary(logs: DataFrame, start: datetime, end: datetime, top: int = 5
         F.array(
             F.when(
                 F.col("error_rate") > 0.05,
-                F.concat(F.lit("Error rate is high ("), F.format_string("%.2f", F.col("error_rate") * 100), F.lit("%).")),
+                F.concat(F.format_string("%.2f", F.col("error_rate") * 100), F.lit(" % of all rows are errors")),
             ),
-            F.when(F.col("total") == 0, F.lit("No log volume in the requested window.")),
+            F.when(F.col("total") == 0, F.lit("no rows between the given times")),
         ),
         lambda h: h.isNotNull(),
     )

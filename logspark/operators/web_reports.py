@@ -12,9 +12,9 @@ from logspark.plans.ranges import first_rows, in_log_range, in_web_range, web_wi
 from logspark.plans.skew import HOT_ROWS, copy_to_slices, hot_keys, slice_rows, splits_of
 
 CHIPS = ["path", "country", "region", "city", "device", "browser", "os", "source", "medium"]
-GOOD = {"LCP": 2500.0, "INP": 200.0, "CLS": 0.1}
 # Good and poor limits per vital.
 VITAL_LIMITS = {"LCP": (2500.0, 4000.0), "INP": (200.0, 500.0), "CLS": (0.1, 0.25)}
+GOOD = {name: good for name, (good, _) in VITAL_LIMITS.items()}
 VITAL_ORDER = ["LCP", "INP", "CLS"]
 MIN_STEPS, MAX_STEPS = 2, 8
 

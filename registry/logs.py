@@ -144,7 +144,7 @@ s AS (SELECT service, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, service L
 SELECT count(*) AS total, count(*) FILTER (WHERE level='error') AS errors,
   round(count(*) FILTER (WHERE level='error')::DOUBLE / count(*), 6) AS error_rate,
   (SELECT string_agg(service || '=' || n, ',' ORDER BY n DESC, service) FROM s) AS top_services,
-  'Error rate is high (' || printf('%.2f', count(*) FILTER (WHERE level='error')::DOUBLE / count(*) * 100) || '%).' AS hints FROM m""")
+  printf('%.2f', count(*) FILTER (WHERE level='error')::DOUBLE / count(*) * 100) || ' % of all rows are errors' AS hints FROM m""")
 def e9(spark, d):
     top = F.transform("top_services", lambda s: F.concat(s["service"], F.lit("="), s["n"].cast("string")))
     return E.window_summary(A.logs(spark, d), START, END).select(

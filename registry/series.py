@@ -244,9 +244,8 @@ def j5(spark, d):
     return out.select("rule_id", F.round("value", 6).alias("value"), "severity", "before", "fired")
 
 
-@check("J5_messages", _EVAL + """ SELECT CAST(2 AS BIGINT) AS rule_id, 'errors crossed ''' || severity || ''' threshold: error_rate >= ' || CASE severity WHEN 'critical' THEN '0.15' ELSE '0.05' END
- || ' over the last 2592000s (current: ' || printf('%.3f', value) || ')' AS message FROM c WHERE rule_id = 2
-UNION ALL SELECT 3, 'RECOVERED: ''slow'' is back to normal (was ''alert''); p95_latency = ' || printf('%.3f', value) || ' over the last 2592000s' FROM c WHERE rule_id = 3""")
+@check("J5_messages", _EVAL + """ SELECT CAST(2 AS BIGINT) AS rule_id, 'errors: ' || severity || '; error_rate was ' || printf('%.3f', value) || ' in 2592000 s, limit >= ' || CASE severity WHEN 'critical' THEN '0.15' ELSE '0.05' END AS message FROM c WHERE rule_id = 2
+UNION ALL SELECT 3, 'slow: ok after alert; p95_latency was ' || printf('%.3f', value) || ' in 2592000 s' FROM c WHERE rule_id = 3""")
 def j5m(spark, d):
     return evaluated(spark, d)[1].filter("rule_id IN (2, 3) AND fired").select("rule_id", "message")
 

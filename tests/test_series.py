@@ -190,7 +190,7 @@ def test_threshold_silence_escalation_recovery(spark):
     assert not any(r["fired"] for r in again.values())
     worse = [rule(1, "threshold", comparator=">", value=500), rule(3, "threshold", thresholds=[{**steps[0]}, {**steps[1], "value": 100}])]
     out = run(spark, worse, state)
-    assert out[1]["severity"] == "ok" and out[1]["message"].startswith("RECOVERED: 'r1'")
+    assert out[1]["severity"] == "ok" and out[1]["message"].startswith("r1: ok after alert; volume was ")
     assert out[3]["severity"] == "warning" and out[3]["fired"]
     healthy = J.next_state(state, J.evaluate(spark, worse, NOW, logs=log_rows(spark), rollup=U.rollup_logs(log_rows(spark)), state=state))
     assert {r["rule_id"]: r["last_severity"] for r in healthy.collect()}[1] is None
