@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +16,7 @@ from logspark.functions.web import (
 )
 from logspark.normalise import beacons as B, common as C, enrich as N, error_events as X, logs as L, otlp as O, shippers as H
 from logspark.operators.errors import with_fingerprint
+from logspark.session import checkpoint_dir
 from logspark.sources import adapters as A, tiers
 from registry.core import EV, check, sql_norm, sql_tagged
 
@@ -70,6 +72,16 @@ def a5(spark, d):
     return tiers.split_bodies(bodies).groupBy(F.md5("raw").alias("h")).agg(F.count("*").alias("n"))
 
 
+@check("A5_landed_files", f"WITH {EV} SELECT event_key, event_type, date_trunc('second', TIMESTAMP '2024-02-01') AS receive_ts, 'http_json' AS protocol FROM ev")
+def a5b(spark, d):
+    """Bodies of many lines, a file each, as a request handler would land them."""
+    root = f"{checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    line = text('{"id":', c("event_key"), ',"kind":"', c("event_type"), '"}')
+    ev(spark, d).select(line.alias("value")).repartition(24).write.text(root)
+    raw = tiers.read_landed_bodies(spark, root, datetime(2024, 2, 1))
+    return raw.select(F.get_json_object("raw", "$.id").cast("long").alias("event_key"), F.get_json_object("raw", "$.kind").alias("event_type"), "receive_ts", "protocol")
+
+
 _WORDS = ["trace", " INFO ", "Warning", "ERR", "critical", "F", "custom", "notice", "x" * 33, "W", "LOG", "fault"]
 _LEVELS = ["debug", "info", "warn", "error", "fatal", "fatal", "custom", "info", "info", "warn", "info", "error"]
 
