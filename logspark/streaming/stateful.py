@@ -1,16 +1,18 @@
 """Keyed state with timers: severities of alert rules, and chunked messages that time out.
 
-Both need the RocksDB state store (``prepare_state``). State is kept per rule or message, changes are
+Both need the RocksDB state store (``prepare_state``). State is kept per rule or bucket of messages, changes are
 written to the query's checkpoint, and nothing is rewritten for keys without new rows or due timers.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logspark.normalise.shippers import MAX_CHUNKED_BYTES, MAX_CHUNKS
 from logspark.operators.alerts import EQUAL_WITHIN, entries_of
@@ -107,86 +109,88 @@ def severity_stream(observed: DataFrame, rules: list[dict], lateness: str = "10
 
 # -- chunked messages ------------------------------------------------------------
 
+MESSAGE_BUCKETS = 4096
 MESSAGE_DDL = "msg_id string, payload string, complete boolean, received int, total int"
 
 
-class ChunkKeeper(StatefulProcessor):
-    """Parts of one message from its first part on; what is not whole when the time is up is reported as such."""
+class ChunkKeeper:
+    """Parts of messages from their first part on; what is not whole when the time is up is reported as such.
+
+    The open messages of a hash bucket share a state value, which Spark hands over with the bucket's rows and
+    takes back once a batch: neither parts nor messages cost calls of their own. A message stays until its time
+    is up, so a bucket holds no more than its share of the messages of ``timeout_ms`` and the lateness.
+    """
 
     def __init__(self, timeout_ms: int, max_bytes: int):
         self.timeout_ms, self.max_bytes = timeout_ms, max_bytes
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.meta = handle.getValueState("meta", "first long, total int, bytes long, received int, done boolean")
-        self.parts = handle.getMapState("parts", "seq int", "payload string")
-        self.later = handle.getMapState("later", "seq int, at long", "total int, payload string")
-
-    def _take(self, msg_id: str, at: int, seq: int, total: int, payload: str | None) -> list[tuple]:
-        if not self.meta.exists():
-            self.handle.registerTimer(at + self.timeout_ms)
-            self.meta.update((at, total, 0, 0, False))
-        first, declared, size, received, done = self.meta.get()
-        if at >= first + self.timeout_ms:
-            self.later.updateValue((seq, at), (total, payload))
-            return []
-        if at < first:
-            self.handle.deleteTimer(first + self.timeout_ms)
-            self.handle.registerTimer(at + self.timeout_ms)
-            first = at
-        if not done and declared == total and not self.parts.containsKey((seq,)):
-            size, received = size + len((payload or "").encode()), received + 1
-            self.parts.updateValue((seq,), (payload or "",))
-        elif declared != total:
-            declared = -1  # two shapes under one id: never whole
-        out = []
-        if not done and declared == total and received == total and size <= self.max_bytes:
-            text = "".join(p[0] for _, p in sorted((k[0], v) for k, v in self.parts.iterator()))
-            self.parts.clear()
-            out, done = [(msg_id, text, True, received, total)], True
-        self.meta.update((first, declared, size, received, done))
-        return out
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = []
+    def _take(self, msg: dict | None, msg_id: str, at: int, seq: int, total: int, payload: str | None) -> tuple[dict, list[tuple]]:
+        if msg is None:
+            msg = {"first": at, "total": total, "bytes": 0, "received": 0, "done": False, "parts": {}, "later": []}
+        if at >= msg["first"] + self.timeout_ms:
+            msg["later"] = [x for x in msg["later"] if x[:2] != [at, seq]] + [[at, seq, total, payload]]
+            return msg, []
+        msg["first"] = min(msg["first"], at)
+        if msg["total"] != total:
+            msg["total"] = -1  # two shapes under one id: never whole
+        elif not msg["done"] and str(seq) not in msg["parts"]:
+            msg["bytes"] += len((payload or "").encode())
+            msg["received"] += 1
+            msg["parts"][str(seq)] = payload or ""
+        if msg["done"] or msg["total"] != total or msg["received"] != total or msg["bytes"] > self.max_bytes:
+            return msg, []
+        text = "".join(p for _, p in sorted((int(k), p) for k, p in msg["parts"].items()))
+        msg.update(parts={}, done=True)
+        return msg, [(msg_id, text, True, msg["received"], total)]
+
+    def __call__(self, key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_messages, found, fresh = json.loads(state.get[0]) if state.exists else {}, [], []
         for part in rows:
-            for at, seq, total, payload in sorted(zip(part["at_ms"], part["seq"], part["total"], part["payload"]), key=lambda r: r[:2]):
-                found += self._take(key[0], int(at), int(seq), int(total), payload)
+            fresh += zip(*(part[c].tolist() for c in ("at_ms", "seq", "total", "msg_id", "payload")))
+        for at, seq, total, msg_id, payload in sorted(fresh, key=lambda r: r[:2]):
+            open_messages[msg_id], out = self._take(open_messages.get(msg_id), msg_id, at, seq, total, payload)
+            found += out
+        now = state.getCurrentWatermarkMs()
+        due = [m for m, msg in open_messages.items() if msg["first"] + self.timeout_ms <= now]
+        for msg_id in due:
+            msg = open_messages.pop(msg_id)
+            while msg is not None and msg["first"] + self.timeout_ms <= now:
+                if not msg["done"]:
+                    found.append((msg_id, None, False, msg["received"], msg["total"]))
+                waiting, msg = sorted(msg["later"], key=lambda r: r[:2]), None
+                for row in waiting:
+                    msg, out = self._take(msg, msg_id, *row)
+                    found += out
+            if msg is not None:
+                open_messages[msg_id] = msg
+        if open_messages:
+            state.update((json.dumps(open_messages),))
+            state.setTimeoutTimestamp(min(msg["first"] for msg in open_messages.values()) + self.timeout_ms)
+        elif state.exists:
+            state.remove()
         if found:
             yield pd.DataFrame(found, columns=["msg_id", "payload", "complete", "received", "total"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, found = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), []
-        while self.meta.exists() and self.meta.get()[0] + self.timeout_ms <= now:
-            _, total, _, received, done = self.meta.get()
-            if not done:
-                found.append((key[0], None, False, received, total))
-            self.meta.clear()
-            self.parts.clear()
-            waiting = sorted((k[1], k[0], *v) for k, v in self.later.iterator())
-            self.later.clear()
-            for at, seq, total, payload in waiting:
-                found += self._take(key[0], at, seq, total, payload)
-        if found:
-            yield pd.DataFrame(found, columns=["msg_id", "payload", "complete", "received", "total"])
-
-    def close(self) -> None:
-        pass
-
 
 def chunk_messages(
     chunks: DataFrame, timeout_seconds: float = 5, lateness: str = "5 seconds",
-    max_total: int = MAX_CHUNKS, max_bytes: int = MAX_CHUNKED_BYTES,
+    max_total: int = MAX_CHUNKS, max_bytes: int = MAX_CHUNKED_BYTES, buckets: int = MESSAGE_BUCKETS,
 ) -> DataFrame:
     """(receive_ts, msg_id, seq, total, payload) to messages, in append mode: whole ones at once, others when their time is up.
 
     A message's time begins with its earliest part. ``complete`` tells whole messages (with their
     ``payload``) from those with parts missing, too many bytes or two declared totals (total -1). A part
-    that comes after the time begins the message anew. Repeated parts count once.
+    that comes after the time begins the message anew. Repeated parts count once. ``buckets`` stays as it
+    is for the life of a checkpoint; with few messages at a time most buckets are empty.
     """
     prepare_state(chunks.sparkSession)
     good = chunks.filter(F.col("total").between(1, max_total) & (F.col("seq") >= 0) & (F.col("seq") < F.col("total")) & F.col("msg_id").isNotNull())
-    rows = good.withWatermark("receive_ts", lateness).select("msg_id", "receive_ts", "seq", "total", "payload", _ms("receive_ts").alias("at_ms"))
-    return rows.groupBy("msg_id").transformWithStateInPandas(
-        ChunkKeeper(int(timeout_seconds * 1000), max_bytes), outputStructType=MESSAGE_DDL, outputMode="Append", timeMode="EventTime"
+    rows = good.withWatermark("receive_ts", lateness).select(
+        F.pmod(F.xxhash64("msg_id"), F.lit(buckets)).alias("bucket"), "msg_id", "receive_ts", "seq", "total", "payload", _ms("receive_ts").alias("at_ms")
     )
+    keeper = ChunkKeeper(int(timeout_seconds * 1000), max_bytes)
+
+    def step(key, parts, state):
+        yield from keeper(key, parts, state)
+
+    return rows.groupBy("bucket").applyInPandasWithState(step, MESSAGE_DDL, "messages string", "append", GroupStateTimeout.EventTimeTimeout)

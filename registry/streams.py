@@ -99,10 +99,15 @@ def r4(spark, d):
     return settle(spark, S.session_count_stream(A.web_events(_Streamed(spark), d).drop("utm"), "12 hours"), "visits")
 
 
-def in_batches(spark, df: DataFrame, path: str, batches: int = 5) -> DataFrame:
-    """All rows of ``df`` as a stream of ``batches`` files, one to a micro-batch, rows of all times in each."""
-    df.repartition(batches, F.xxhash64("event_key")).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def in_batches(spark, df: DataFrame, path: str, batches: int = 5, files: int | None = None) -> DataFrame:
+    """All rows of ``df`` as a stream of at most ``batches`` micro-batches, rows of all times in each.
+
+    A micro-batch has ``files`` files, each written by a task of its own: by default a share of the
+    session's shuffle partitions, so that no task writes or reads a whole batch.
+    """
+    files = files or max(4, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
+    df.repartition(batches * files, F.xxhash64("event_key")).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @check("R4_session_stream", f"WITH {sql_sessions()} SELECT {_ALL} FROM ws")
@@ -154,7 +159,7 @@ def r7(spark, d):
     r = F.count_if(F.col("level") == "error") / F.count("*")
     ticks = A.logs(spark, d).groupBy(F.substring("service", 5, 9).cast("long").alias("rule_id"), F.date_trunc("day", "ts").alias("ts")).agg(r.alias("value"))
     last = spark.createDataFrame([(0, None, None)], "rule_id long, ts timestamp, value double").withColumn("ts", F.expr("TIMESTAMP '2030-01-01'"))
-    observed = in_batches(spark, ticks.withColumn("event_key", F.xxhash64("rule_id", "ts")), f"{root}/in", 4)
+    observed = in_batches(spark, ticks.withColumn("event_key", F.xxhash64("rule_id", "ts")), f"{root}/in", 4, files=1)
     last.withColumn("event_key", F.lit(0).cast("long")).write.mode("append").parquet(f"{root}/in")
     rules = [{"rule_id": i, "condition": {"type": "threshold", "thresholds": _STEPS}} for i in range(8)]
     out = severity_stream(observed, rules, "400 days")
@@ -179,11 +184,12 @@ def r8(spark, d):
     at = F.col("l_orderkey") % 3 * 3600 + F.col("seq") % 5 * F.lit(0.5) + F.when(late, 30).otherwise(0)
     parts = parts.withColumn("receive_ts", F.expr("TIMESTAMP '2024-01-01'") + F.make_interval(secs=at.cast("decimal(18,6)")))
     parts.cache()
-    for hour in range(3):
-        parts.filter(F.col("l_orderkey") % 3 == hour).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    parts.limit(1).withColumns({"msg_id": F.lit("end"), "receive_ts": F.expr("TIMESTAMP '2030-01-01'")}).write.mode("append").parquet(f"{root}/in")
+    batches = [parts.filter(F.col("l_orderkey") % 3 == hour) for hour in range(3)]
+    batches.append(parts.limit(1).withColumns({"msg_id": F.lit("end"), "receive_ts": F.expr("TIMESTAMP '2030-01-01'")}))
+    for batch in batches:  # any number of files: what has come since the last drain is one batch
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(parts.schema).parquet(f"{root}/in")
+        out = chunk_messages(stream, 5, "10 seconds").filter("msg_id <> 'end'")
+        drain(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append"))
     parts.unpersist()
-    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = chunk_messages(stream, 5, "10 seconds").filter("msg_id <> 'end'")
-    drain(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append"))
     return spark.read.parquet(f"{root}/out")

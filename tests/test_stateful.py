@@ -59,3 +59,13 @@ def test_chunks_time_out_and_begin_anew(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([
         ("a", "AB", True, 2, 2), ("b", None, False, 1, 2), ("b", None, False, 1, 2), ("c", "c", True, 1, 1), ("d", None, False, 1, -1), ("e", "é!", True, 2, 2), ("z", "z", True, 1, 1),
     ], key=str)
+
+
+def test_messages_of_one_bucket_keep_their_own_times(spark, tmp_path):
+    """One state value serves many messages: each still ends, fails or begins anew by its own time."""
+    rows = [(T0 + timedelta(seconds=m % 4), f"m{m}", s, 3, f"{m}.{s};", s) for m in range(40) for s in range(3) if not (m % 5 == 0 and s == 2)]
+    rows += [(T0 + timedelta(seconds=30), "m1", 0, 1, "again", 2), (T0 + timedelta(minutes=5), "end", 0, 1, "", 3)]
+    df = spark.createDataFrame(rows, "receive_ts timestamp, msg_id string, seq int, total int, payload string, file int")
+    got = fed(spark, df, str(tmp_path / "in"), [f"file = {i}" for i in range(4)], lambda s: Z.chunk_messages(s, 5, "40 seconds", buckets=2), "bucketed")
+    want = [(f"m{m}", None, False, 2, 3) if m % 5 == 0 else (f"m{m}", f"{m}.0;{m}.1;{m}.2;", True, 3, 3) for m in range(40)]
+    assert sorted(map(tuple, got), key=str) == sorted([*want, ("m1", "again", True, 1, 1), ("end", "", True, 1, 1)], key=str)
