@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     default = min(weights.values()) if weights else 1.0
     each = {s: (weights or {}).get(s, default) for s in blocks}
     table = spark.createDataFrame(plan(blocks, each, max(period, 4 * len(blocks))), _PLAN)
-    placed = ranked(rows, ["mix_source"], ["mix_hash", "mix_tie"], size=F.col("mix_size"), per=BUCKET_CHARS)
+    placed = ranked(rows, ["mix_source"], ["mix_hash", "mix_tie"], size=F.col("mix_size"), rows=BUCKET_CHARS)
     placed = placed.withColumnRenamed("_rank", "mix_offset").withColumn("mix_block", F.floor(F.col("mix_offset") / block_chars).cast("long"))
     on = F.col("mix_source").eqNullSafe(F.col("plan_source")) & F.col("mix_block").between(F.col("first_block"), F.col("last_block"))
     out = placed.join(F.broadcast(table), on)
