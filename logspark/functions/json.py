@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 FIELDS = "map<string,variant>"
+# Variant types and the kind they stand for.
+KINDS = {
+    "STRING": "string", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number",
+    "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": "null",
+}
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def one_of(c: Column, values) -> Column:
+    """As ``isin``, for lambdas: there ``isin`` leaves its loop by an exception at every hit."""
+    return F.array_contains(F.array(*[F.lit(x) for x in values]), c)
 
 
 def parse(raw: Column) -> Column:
@@ -14,14 +29,17 @@ def parse(raw: Column) -> Column:
     two-element array; anything behind the value then breaks the array. A text that closes the
     array itself (it holds ``,1]``) must also be one element of an array of its own.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",1]")))
-    exactly_two = (
-        F.try_variant_get(pair, "$[1]", "int").eqNullSafe(F.lit(1))
-        & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    )
-    alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))).eqNullSafe(F.lit(1))
-    whole = exactly_two & (~raw.rlike(r",\s*1\s*\]") | alone)
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def head(raw: Column, pair: Column) -> Column:
+        exactly_two = (F.size(pair) == 2) & F.try_variant_get(F.get(pair, F.lit(1)), "$", "int").eqNullSafe(F.lit(1))
+        alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))).eqNullSafe(F.lit(1))
+        whole = exactly_two & (~raw.rlike(r",\s*1\s*\]") | alone)
+        return F.when(whole, F.get(pair, F.lit(0)))
+
+    def pair(raw: Column) -> Column:
+        return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",1]"))), "$", "array<variant>")
+
+    return let(raw, lambda r: let(pair(r), lambda p: head(r, p)))
 
 
 def parse_fields(raw: Column) -> Column:
@@ -32,36 +50,28 @@ def parse_fields(raw: Column) -> Column:
 
 def object_fields(v: Column) -> Column:
     """Members of a variant object, NULL otherwise."""
-    return F.when(kind(v) == "object", F.try_variant_get(v, "$", FIELDS))
+    return let(v, lambda x: F.when(kind(x) == "object", F.try_variant_get(x, "$", FIELDS)))
 
 
 def kind(v: Column) -> Column:
     """string, integer, number, boolean, object, array or null; NULL when absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s == "STRING", "string")
-        .when(s == "BIGINT", "integer")
-        .when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "VOID", "null")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), name)
 
 
 def as_text(v: Column) -> Column:
     """The value when it is a JSON string."""
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def as_number(v: Column) -> Column:
     """The value as a double when it is a JSON number."""
-    return F.when(kind(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+    return let(v, lambda x: F.when(one_of(kind(x), ["integer", "number"]), F.try_variant_get(x, "$", "double")))
 
 
 def as_json(v: Column) -> Column:
     """Plain text of strings, JSON text of everything else."""
-    return F.when(v.isNotNull(), F.coalesce(as_text(v), F.to_json(v)))
+    return let(v, lambda x: F.when(x.isNotNull(), F.coalesce(as_text(x), F.to_json(x))))
 
 
 def get(v: Column, *path: str) -> Column:
@@ -90,7 +100,7 @@ def object_of(pairs: dict[str, Column]) -> Column:
 
 def without(fields: Column, keys) -> Column:
     drop = list(keys)
-    return F.map_filter(fields, lambda k, _: ~k.isin(drop)) if drop else fields
+    return F.map_filter(fields, lambda k, _: ~one_of(k, drop)) if drop else fields
 
 
 def merge(winner: Column, loser: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from logspark.functions.json import let
 from logspark.functions.text import ascii_lower
 
 
@@ -97,6 +98,10 @@ def any_of(words: list[str]) -> str:
 
 def split_url_utm(url: Column) -> Column:
     """Struct (path, query, utm): the query keeps no ``utm_*`` pair, utm is NULL when empty."""
+    return let(url, _url_parts)
+
+
+def _url_parts(url: Column) -> Column:
     path = F.substring_index(url, "?", 1)
     query = F.when(F.contains(url, F.lit("?")), F.regexp_replace(url, r"(?s)^[^?]*\?", ""))
     pairs = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: p != "")
@@ -110,24 +115,25 @@ def split_url_utm(url: Column) -> Column:
             .alias("value"),
         ),
     )
-    kept = F.filter(keyed, lambda e: ~F.startswith(e["key"], F.lit("utm_")))
-    query_out = F.array_join(F.transform(kept, lambda e: e["pair"]), "&")
 
-    def last_of(key: str) -> Column:
-        hits = F.filter(keyed, lambda e: (e["key"] == key) & (e["value"] != ""))
-        return F.try_element_at(hits, F.lit(-1))["value"]
+    def parts(keyed: Column) -> Column:
+        kept = F.filter(keyed, lambda e: ~F.startswith(e["key"], F.lit("utm_")))
+        query_out = F.array_join(F.transform(kept, lambda e: e["pair"]), "&")
 
-    found = F.map_filter(
-        F.create_map(
-            *[x for key in UTM_KEYS for x in (F.lit(key.removeprefix("utm_")), last_of(key))]
-        ),
-        lambda _, v: v.isNotNull(),
-    )
-    return F.struct(
-        path.alias("path"),
-        query_out.alias("query"),
-        F.when(F.size(found) > 0, found).alias("utm"),
-    )
+        def last_of(key: str) -> Column:
+            hits = F.filter(keyed, lambda e: (e["key"] == key) & (e["value"] != ""))
+            return F.try_element_at(hits, F.lit(-1))["value"]
+
+        found = F.map_filter(
+            F.create_map(
+                *[x for key in UTM_KEYS for x in (F.lit(key.removeprefix("utm_")), last_of(key))]
+            ),
+            lambda _, v: v.isNotNull(),
+        )
+        utm = let(found, lambda f: F.when(F.size(f) > 0, f))
+        return F.struct(path.alias("path"), query_out.alias("query"), utm.alias("utm"))
+
+    return let(keyed, parts)
 
 
 def host_of(url: Column) -> Column:
@@ -142,10 +148,16 @@ def origin_host(origin: Column) -> Column:
 
 def classify_referrer(referrer: Column, utm: Column, own_host: Column) -> Column:
     """Struct (source, medium). Campaign tags first, then direct, AI, search, social, referral."""
-    tag, medium = utm["source"], F.coalesce(utm["medium"], F.lit("campaign"))
-    host = ascii_lower(host_of(F.coalesce(referrer, F.lit(""))))
-    own = ascii_lower(F.coalesce(own_host, F.lit("")))
-    direct = (F.coalesce(referrer, F.lit("")) == "") | ((own != "") & (host == own))
+    parts = {
+        "tag": utm["source"], "medium": F.coalesce(utm["medium"], F.lit("campaign")), "referrer": F.coalesce(referrer, F.lit("")),
+        "host": ascii_lower(host_of(F.coalesce(referrer, F.lit("")))), "own": ascii_lower(F.coalesce(own_host, F.lit(""))),
+    }
+    return let(F.struct(*[c.alias(k) for k, c in parts.items()]), _source_medium)
+
+
+def _source_medium(parts: Column) -> Column:
+    tag, medium, referrer, host, own = (parts[k] for k in ("tag", "medium", "referrer", "host", "own"))
+    direct = (referrer == "") | ((own != "") & (host == own))
 
     source = F.when(tag.isNotNull(), tag).when(direct, "direct")
     kind = F.when(
@@ -164,8 +176,11 @@ def classify_referrer(referrer: Column, utm: Column, own_host: Column) -> Column
 def classify_user_agent(agent: Column) -> Column:
     """Struct (device, browser, os, is_bot); unknown parts are empty text."""
     low = ascii_lower(F.coalesce(agent, F.lit("")))
+    return let(low, lambda x: let(x.rlike(any_of(BOT_WORDS)), lambda bot: _agent_parts(x, bot)))
+
+
+def _agent_parts(low: Column, bot: Column) -> Column:
     blank = low == ""
-    bot = low.rlike(any_of(BOT_WORDS))
 
     def family(rules):
         out = F.when(blank | bot, "")
@@ -191,12 +206,15 @@ def classify_user_agent(agent: Column) -> Column:
 
 def split_traceparent(header: Column) -> Column:
     """Struct (trace_id, span_id) of a four-part ``00-`` header; empty text when malformed."""
-    parts = F.split(F.coalesce(header, F.lit("")), "-")
-    good = (F.size(parts) == 4) & (F.get(parts, 0) == "00")
-    return F.struct(
-        F.when(good, ascii_lower(F.get(parts, 1))).otherwise("").alias("trace_id"),
-        F.when(good, ascii_lower(F.get(parts, 2))).otherwise("").alias("span_id"),
-    )
+
+    def ids(parts: Column) -> Column:
+        good = (F.size(parts) == 4) & (F.get(parts, 0) == "00")
+        return F.struct(
+            F.when(good, ascii_lower(F.get(parts, 1))).otherwise("").alias("trace_id"),
+            F.when(good, ascii_lower(F.get(parts, 2))).otherwise("").alias("span_id"),
+        )
+
+    return let(F.split(F.coalesce(header, F.lit("")), "-"), ids)
 
 
 def ip_number(ip: Column) -> Column:
@@ -210,11 +228,6 @@ def ip_number(ip: Column) -> Column:
     return F.when(valid, value)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ip6_halves(ip: Column) -> Column:
     """IPv6 text as struct (high, low) of its 64-bit halves, NULL for anything else.
 

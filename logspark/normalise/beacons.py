@@ -15,7 +15,8 @@ from logspark.functions.web import (
     split_traceparent,
     split_url_utm,
 )
-from logspark.functions.json import get, items
+from logspark.functions.json import items
+from logspark.normalise.common import only
 
 MAX_BEACON_BYTES = 16_384
 MAX_EVENTS = 20
@@ -26,26 +27,34 @@ _NAME = r"^[A-Za-z0-9_\-.: /]+$"
 _TRACEPARENT = r"^00-[0-9a-fA-F-]{32}-[0-9a-fA-F-]{16}-[0-9a-fA-F-]{2}$"
 
 
-def _text(v: Column, name: str) -> Column:
-    return J.as_text(get(v, name))
+def _text(fields: Column, name: str) -> Column:
+    return J.as_text(fields[name])
 
 
 def _bad_event(e: Column) -> Column:
-    kind, name, url, referrer = (_text(e, k) for k in ("e", "n", "u", "r"))
-    value, props = get(e, "v"), get(e, "p")
+    return J.let(J.object_fields(e), _bad_fields)
+
+
+def _bad_fields(e: Column) -> Column:
+    blank = F.lit("")
+    parts = {k: _text(e, k) for k in ("e", "r")} | {k: F.coalesce(_text(e, k), blank) for k in ("n", "u")} | {k: e[k] for k in ("v", "p")}
+    return J.let(F.struct(*[c.alias(k) for k, c in parts.items()]), _bad_parts)
+
+
+def _bad_parts(parts: Column) -> Column:
+    kind, name, url, referrer, value, props = (parts[k] for k in ("e", "n", "u", "r", "v", "p"))
     blank = F.lit("")
-    name, url = F.coalesce(name, blank), F.coalesce(url, blank)
     bad_name = (name != "") & ((F.octet_length(name) > MAX_NAME) | ~name.rlike(_NAME))
     bad_url = (url != "") & (
         ~F.startswith(url, F.lit("/")) | (F.octet_length(url) > MAX_URL) | F.contains(url, F.lit("\u0000"))
     )
     bad_referrer = F.octet_length(F.coalesce(referrer, blank)) > MAX_REFERRER
-    bad_value = ~F.coalesce(J.kind(value), F.lit("null")).isin("integer", "number", "null")
+    bad_value = ~J.one_of(F.coalesce(J.kind(value), F.lit("null")), ["integer", "number", "null"])
     kind_of_props = F.coalesce(J.kind(props), F.lit("null"))
-    bad_props = ~kind_of_props.isin("object", "null") | (
+    bad_props = ~J.one_of(kind_of_props, ["object", "null"]) | (
         F.coalesce(F.octet_length(F.to_json(props)), F.lit(0)) > MAX_PROPS
     )
-    good_kind = F.coalesce(strip_space(kind).isin(KINDS), F.lit(False))
+    good_kind = F.coalesce(J.one_of(strip_space(kind), KINDS), F.lit(False))
     return ~good_kind | bad_name | bad_url | bad_referrer | bad_value | bad_props
 
 
@@ -54,13 +63,12 @@ def validate_beacons(
 ) -> DataFrame:
     """Beacon bodies (``raw``) with ``reject_reason`` (NULL when accepted), ``site``, ``events``, ``tp``."""
     body = F.when(F.octet_length("raw").between(1, max_bytes), F.col("raw"))
-    df = raw.withColumn("_b", J.parse(body))
+    df = raw.withColumn("_b", J.object_fields(J.parse(body)))
     b = F.col("_b")
-    site = strip_space(_text(b, "s"))
-    events = items(b, "ev")
-    tp = _text(b, "tp")
+    df = df.withColumns({"_site": strip_space(_text(b, "s")), "_events": items(b["ev"]), "_tp": _text(b, "tp")})
+    site, events, tp = F.col("_site"), F.col("_events"), F.col("_tp")
     reason = (
-        F.when(b.isNull() | site.isNull() | (site == "") | (F.octet_length(site) > MAX_SITE), "bad_payload")
+        F.when(site.isNull() | (site == "") | (F.octet_length(site) > MAX_SITE), "bad_payload")
         .when(events.isNull(), "bad_payload")
         .when((F.size(events) == 0) | (F.size(events) > max_events), "too_many_events")
         .when(F.exists(events, _bad_event), "bad_payload")
@@ -80,13 +88,13 @@ def envelopes(accepted: DataFrame, columns: dict[str, Column]) -> DataFrame:
         *[c.alias(n) for n, c in parts.items()],
         F.col("events").alias("ev"), F.col("tp"),
     )
-    return accepted.filter(F.col("reject_reason").isNull()).select(
+    return only(accepted, F.col("reject_reason").isNull()).select(
         "receive_ts", "source_addr", F.lit("web_event").alias("protocol"), F.to_json(body).alias("raw")
     )
 
 
 def _clamped(v: Column, name: str, low: float, high: float) -> Column:
-    return clamp_between(J.as_number(get(v, name)), low, high)
+    return J.let(J.as_number(v[name]), lambda n: clamp_between(n, low, high))
 
 
 def clamp_between(n: Column, low: float, high: float) -> Column:
@@ -103,23 +111,24 @@ def explode_beacons(
     day and the address itself is not kept. With ``geo`` ranges the address decides the
     country and the edge code fills gaps.
     """
-    env = raw.withColumns({"_v": J.parse(F.col("raw"))})
+    env = raw.withColumns({"_v": J.object_fields(J.parse(F.col("raw")))})
     v = F.col("_v")
     agent = F.coalesce(_text(v, "ua"), F.lit(""))
     env = env.select(
         "receive_ts",
         F.trim("source_addr").alias("ip"),
         _text(v, "site").alias("site_id"),
-        items(v, "ev").alias("ev"),
+        items(v["ev"]).alias("ev"),
         agent.alias("ua"),
         F.coalesce(origin_host(_text(v, "origin")), F.lit("")).alias("hostname"),
         user_hash(_text(v, "site"), _text(v, "uid")).alias("user_id"),
         split_traceparent(_text(v, "tp")).alias("trace"),
         F.coalesce(_text(v, "cc"), F.lit("")).alias("country"),
-        F.coalesce(F.when(J.kind(get(v, "internal")) == "boolean",
-                          F.try_variant_get(v, "$.internal", "boolean")), F.lit(False)).alias("is_internal"),
+        F.coalesce(F.when(J.kind(v["internal"]) == "boolean",
+                          F.try_variant_get(v["internal"], "$", "boolean")), F.lit(False)).alias("is_internal"),
         F.xxhash64("raw", "receive_ts", "source_addr").alias("envelope_key"),
-    ).filter(F.col("site_id").isNotNull() & F.col("ev").isNotNull())
+    )
+    env = only(env, F.col("site_id").isNotNull() & F.col("ev").isNotNull())
     env = env.withColumn("agent", classify_user_agent(F.col("ua")))
     if geo is not None:
         from logspark.normalise.enrich import geo_enrich
@@ -130,8 +139,9 @@ def explode_beacons(
         none = F.lit(None).cast("string")
         env = env.withColumns({"region": none, "city": none})
     each = env.select("*", F.posexplode("ev").alias("nth", "e")).drop("ev")
+    each = each.withColumn("e", J.object_fields(F.col("e")))
     e = F.col("e")
-    each = each.filter(_text(e, "e").isNotNull())
+    each = only(each, _text(e, "e").isNotNull())
     behind = F.floor(F.coalesce(_clamped(e, "dt", 0.0, DAY_MS), F.lit(0.0)))
     each = each.withColumns(
         {
@@ -151,7 +161,7 @@ def explode_beacons(
     visitor = F.when(
         F.col("salt").isNotNull(), visitor_hash(F.col("salt"), F.col("site_id"), valid_ip, F.col("ua"))
     ).otherwise(F.lit(0).cast("decimal(20,0)"))
-    amount = J.as_number(get(e, "v"))
+    amount = J.as_number(e["v"])
     value = F.when(
         F.col("event") == "engagement", clamp_between(amount, 0.0, HOUR_MS)
     ).otherwise(amount)
@@ -185,7 +195,7 @@ def explode_beacons(
         "is_internal",
         _clamped(e, "w", 0.0, 65535.0).cast("int").alias("screen_w"),
         F.col("agent.is_bot").alias("is_bot"),
-        F.when(J.kind(get(e, "p")) == "object", F.to_json(get(e, "p"))).alias("props"),
+        F.when(J.kind(e["p"]) == "object", F.to_json(e["p"])).alias("props"),
         F.xxhash64("envelope_key", "nth").alias("event_key"),
         *[blank_to_null(c).alias(n) for n, c in text.items()],
     )

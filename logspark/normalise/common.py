@@ -67,10 +67,22 @@ def promoted_spec(text: str) -> Promoted:
     return Promoted(name, found[0], path or f"$.{name}")
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``df`` that meet a condition, by way of a generator.
+
+    The optimiser moves a plain filter below the columns it reads and computes them there again, and
+    again for each filter on the way; it can't move one past a generator.
+    """
+    row = F.when(condition, F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return df.select(F.explode_outer(row).alias("_row")).filter("_row IS NOT NULL").select("_row.*")
+
+
 def ts_of(v: Column) -> Column:
-    k = J.kind(v)
-    return F.when(k == "string", flexible_ts(J.as_text(v))).when(
-        k.isin("integer", "number"), epoch_ts(F.try_variant_get(v, "$", "double"))
+    return J.let(
+        J.kind(v),
+        lambda k: F.when(k == "string", flexible_ts(J.as_text(v))).when(
+            J.one_of(k, ["integer", "number"]), epoch_ts(F.try_variant_get(v, "$", "double"))
+        ),
     )
 
 
@@ -83,7 +95,7 @@ def first_ts(values: list[Column]) -> Column:
 def first_level(values: list[Column]) -> Column:
     """The first candidate that is text or a number."""
     usable = F.filter(
-        F.array_compact(F.array(*values)), lambda v: J.kind(v).isin("string", "integer", "number")
+        F.array_compact(F.array(*values)), lambda v: J.one_of(J.kind(v), ["string", "integer", "number"])
     )
     return F.get(usable, 0)
 
@@ -98,7 +110,7 @@ def level_of(v: Column, word: Column) -> Column:
 def _split(df: DataFrame, fields: str, prefix: str) -> DataFrame:
     """Adds ``<prefix>known`` (fields with a meaning), ``<prefix>text`` (their text) and
     ``<prefix>rest`` (attributes), so later expressions look into small maps."""
-    known = F.map_filter(fields, lambda k, _: k.isin([*RESERVED, *LEVEL_KEYS]))
+    known = F.map_filter(fields, lambda k, _: J.one_of(k, [*RESERVED, *LEVEL_KEYS]))
     return df.withColumns({f"{prefix}known": known, f"{prefix}rest": J.without(F.col(fields), RESERVED)}).withColumn(
         f"{prefix}text", F.transform_values(f"{prefix}known", lambda _, v: J.as_text(v))
     )

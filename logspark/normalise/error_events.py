@@ -14,7 +14,7 @@ from logspark.functions.text import (
     variant_hash,
 )
 from logspark.functions.timestamps import epoch_ts, rfc3339_ts
-from logspark.normalise.common import Promoted, as_input, log_rows
+from logspark.normalise.common import Promoted, as_input, log_rows, only
 from logspark.functions.json import get, items
 
 #: Stands for no limit.
@@ -38,9 +38,11 @@ def event_level(word: Column) -> Column:
 
 
 def event_ts(v: Column) -> Column:
-    k = J.kind(v)
-    return F.when(k == "string", rfc3339_ts(J.as_text(v))).when(
-        k.isin("integer", "number"), epoch_ts(F.try_variant_get(v, "$", "double"))
+    return J.let(
+        J.kind(v),
+        lambda k: F.when(k == "string", rfc3339_ts(J.as_text(v))).when(
+            J.one_of(k, ["integer", "number"]), epoch_ts(F.try_variant_get(v, "$", "double"))
+        ),
     )
 
 
@@ -48,28 +50,33 @@ def _text(v: Column, default: str, *path: str) -> Column:
     return F.coalesce(J.as_text(get(v, *path)), F.lit(default))
 
 
-def _first_text(v: Column, *names: str) -> Column:
+def _member(frame: Column, default: str, name: str) -> Column:
+    return F.coalesce(J.as_text(frame[name]), F.lit(default))
+
+
+def _first_text(frame: Column, *names: str) -> Column:
     """Text of the first member that is present at all."""
-    return J.as_text(F.coalesce(*[get(v, n) for n in names]))
+    return J.as_text(F.coalesce(*[frame[n] for n in names]))
 
 
 def _in_app(frame: Column) -> Column:
-    return F.coalesce(F.when(J.kind(get(frame, "in_app")) == "boolean",
-                             F.try_variant_get(frame, "$.in_app", "boolean")), F.lit(False))
+    flag = J.let(frame["in_app"], lambda v: F.when(J.kind(v) == "boolean", F.try_variant_get(v, "$", "boolean")))
+    return F.coalesce(flag, F.lit(False))
 
 
 def newest_first(stacktrace: Column) -> Column:
-    return F.reverse(items(stacktrace, "frames"))
+    """The members of each frame; NULL for a frame that is no object."""
+    return F.transform(F.reverse(items(stacktrace, "frames")), J.object_fields)
 
 
 def stack_text(stacktrace: Column, max_frames: int | None = None, max_bytes: int | None = None) -> Column:
     """Frames newest first as ``module.function @ file:line``, application frames marked; whole unless a length is given."""
 
     def line(f: Column) -> Column:
-        function, module = _text(f, "?", "function"), _text(f, "", "module")
-        what = F.when(module == "", function).otherwise(F.concat(module, F.lit("."), function))
+        function, module = _member(f, "?", "function"), _member(f, "", "module")
+        what = J.let(module, lambda m: F.when(m == "", function).otherwise(F.concat(m, F.lit("."), function)))
         file = F.coalesce(_first_text(f, "abs_path", "filename"), F.lit("?"))
-        row = F.when(J.kind(get(f, "lineno")) == "integer", F.try_variant_get(f, "$.lineno", "string"))
+        row = J.let(f["lineno"], lambda v: F.when(J.kind(v) == "integer", F.try_variant_get(v, "$", "string")))
         mark = F.when(_in_app(f), " #").otherwise("")
         return F.concat(what, F.lit(" @ "), file, F.lit(":"), F.coalesce(row, F.lit("?")), mark)
 
@@ -81,14 +88,12 @@ def stack_text(stacktrace: Column, max_frames: int | None = None, max_bytes: int
 
 def fingerprint_frames(stacktrace: Column) -> Column:
     """The newest five application frames, or the newest five of any kind."""
-    frames = newest_first(stacktrace)
-    own = F.filter(frames, _in_app)
-    chosen = F.when(F.size(own) > 0, own).otherwise(frames)
+    chosen = J.let(newest_first(stacktrace), lambda frames: J.let(F.filter(frames, _in_app), lambda own: F.when(F.size(own) > 0, own).otherwise(frames)))
     return F.transform(
         F.slice(chosen, 1, 5),
         lambda f: F.struct(
-            _text(f, "", "module").alias("module"),
-            _text(f, "", "function").alias("function"),
+            _member(f, "", "module").alias("module"),
+            _member(f, "", "function").alias("function"),
             F.coalesce(_first_text(f, "filename", "abs_path"), F.lit("")).alias("filename"),
         ),
     )
@@ -110,11 +115,15 @@ def normalise_error_events(
     project = project if project is not None else F.lit("")
     df = as_input(raw).withColumns(
         {"ev": J.parse_fields(F.col("raw")), "svc": service_of(project, projects or {})}
-    ).filter(F.col("ev").isNotNull())
+    )
+    df = only(df, F.col("ev").isNotNull())
     ev = F.col("ev")
-    values = items(ev["exception"], "values")
-    with_stack = F.filter(values, lambda x: get(x, "stacktrace").isNotNull())
-    chosen = F.coalesce(F.try_element_at(with_stack, F.lit(-1)), F.try_element_at(values, F.lit(-1)))
+
+    def choice(values: Column) -> Column:
+        with_stack = F.filter(values, lambda x: get(x, "stacktrace").isNotNull())
+        return F.coalesce(F.try_element_at(with_stack, F.lit(-1)), F.try_element_at(values, F.lit(-1)))
+
+    chosen = J.let(items(ev["exception"], "values"), choice)
     thread = F.get(items(ev["threads"], "values"), 0)
     df = df.withColumn("exc", chosen).withColumn(
         "st",
@@ -123,9 +132,16 @@ def normalise_error_events(
         ),
     )
     exc, found = F.col("exc"), F.col("exc").isNotNull()
-    kind, value = _text(exc, "UnknownError", "type"), _text(exc, "", "value")
-    frames = stack_text(F.col("st"), max_frames, max_bytes)
     plain = F.coalesce(J.as_text(ev["message"]), J.as_text(get(ev["message"], "formatted")), F.lit(""))
+    own = F.filter(F.transform(items(ev["fingerprint"], ), lambda v: J.as_text(v)), lambda t: t.isNotNull())
+    # Columns of their own, so that each is computed once however often it is read.
+    df = df.withColumns(
+        {
+            "exc_kind": _text(exc, "UnknownError", "type"), "exc_value": _text(exc, "", "value"),
+            "frames": stack_text(F.col("st"), max_frames, max_bytes), "plain_text": plain, "own": own,
+        }
+    )
+    kind, value, frames, plain, own = (F.col(n) for n in ("exc_kind", "exc_value", "frames", "plain_text", "own"))
     title = (
         F.when(found & (value == ""), kind)
         .when(found, F.concat(kind, F.lit(": "), value))
@@ -134,14 +150,13 @@ def normalise_error_events(
     )
     stack = F.when(found & (frames != ""), F.concat(kind, F.lit(": "), value, F.lit("\n"), frames)).otherwise(frames)
     df = df.withColumns({"title": title, "stack": stack, "kind": F.when(found, kind), "value": value})
-    own = F.filter(F.transform(items(ev["fingerprint"], ), lambda v: J.as_text(v)), lambda t: t.isNotNull())
     fingerprint = (
         F.when(F.size(own) > 0, client_fingerprint(own))
         .when(found, exception_fingerprint(kind, value, fingerprint_frames(F.col("st"))))
         .when(F.col("stack") != "", variant_hash(F.col("stack")))
         .otherwise(message_fingerprint(F.col("svc"), F.col("title")))
     )
-    context = F.map_filter(ev, lambda k, v: k.isin(CONTEXT_FIELDS) & (F.schema_of_variant(v) != "VOID"))
+    context = F.map_filter(ev, lambda k, v: J.one_of(k, CONTEXT_FIELDS) & (F.schema_of_variant(v) != "VOID"))
     fields = J.object_of(
         {
             "ts": F.date_format(F.coalesce(event_ts(ev["timestamp"]), F.col("receive_ts")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),

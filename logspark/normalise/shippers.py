@@ -9,7 +9,7 @@ from logspark.functions import json as J
 from logspark.functions.levels import syslog_level
 from logspark.functions.text import blank_to_null, glob_match
 from logspark.functions.timestamps import epoch_ts, rfc3339_ts
-from logspark.normalise.common import Promoted, as_input, log_rows
+from logspark.normalise.common import Promoted, as_input, log_rows, only
 
 MAX_CHUNKS = 128
 MAX_CHUNKED_BYTES = 8 * 1024 * 1024
@@ -32,7 +32,7 @@ def _no_slash(c: Column) -> Column:
 
 
 def _present(fields: Column, keys: list[str]) -> Column:
-    return F.map_filter(fields, lambda k, v: k.isin(keys) & (F.schema_of_variant(v) != "VOID"))
+    return F.map_filter(fields, lambda k, v: J.one_of(k, keys) & (F.schema_of_variant(v) != "VOID"))
 
 
 def _rows(df: DataFrame, fixed: dict[str, Column], extras: Column, promoted, drop_keys, keep) -> DataFrame:
@@ -45,7 +45,7 @@ def _rows(df: DataFrame, fixed: dict[str, Column], extras: Column, promoted, dro
 
 
 def normalise_gelf(raw: DataFrame, promoted: tuple[Promoted, ...] = (), drop_keys=(), keep=()) -> DataFrame:
-    df = as_input(raw).withColumn("g", J.parse_fields(F.col("raw"))).filter(F.col("g").isNotNull())
+    df = only(as_input(raw).withColumn("g", J.parse_fields(F.col("raw"))), F.col("g").isNotNull())
     g = F.col("g")
     number = F.when(J.kind(g["level"]) == "integer", F.try_variant_get(g["level"], "$", "bigint")).when(
         J.kind(g["level"]) == "number", F.lit(6)
@@ -107,22 +107,22 @@ def split_objects(body: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, piece: Column) -> Column:
-        whole = F.concat(acc["open"], piece)
-        ok = J.parse(whole).isNotNull()
-        return F.struct(
-            F.when(ok, F.concat(acc["done"], F.array(whole))).otherwise(acc["done"]).alias("done"),
-            F.when(ok, F.lit("")).otherwise(whole).alias("open"),
-        )
+        def taken(whole: Column) -> Column:
+            closed = F.struct(F.concat(acc["done"], F.array(whole)).alias("done"), F.lit("").alias("open"))
+            return F.when(J.parse(whole).isNotNull(), closed).otherwise(F.struct(acc["done"].alias("done"), whole.alias("open")))
+
+        return J.let(F.concat(acc["open"], piece), taken)
 
-    folded = F.aggregate(pieces, start, step)
-    return F.when(
-        J.parse(trimmed).isNotNull(), F.array(trimmed)
-    ).when((folded["open"] == "") & (F.size(folded["done"]) > 0), folded["done"])
+    many = J.let(
+        F.aggregate(pieces, start, step),
+        lambda folded: F.when((folded["open"] == "") & (F.size(folded["done"]) > 0), folded["done"]),
+    )
+    return F.when(J.parse(trimmed).isNotNull(), F.array(trimmed)).otherwise(many)
 
 
 def _hec_time(v: Column) -> Column:
     seconds = F.coalesce(F.trim(J.as_text(v)).try_cast("double"), J.as_number(v))
-    return F.when(seconds >= 0, epoch_ts(seconds))
+    return J.let(seconds, lambda x: F.when(x >= 0, epoch_ts(x)))
 
 
 def normalise_hec(raw: DataFrame, promoted: tuple[Promoted, ...] = (), drop_keys=(), keep=()) -> DataFrame:
@@ -137,8 +137,9 @@ def normalise_hec(raw: DataFrame, promoted: tuple[Promoted, ...] = (), drop_keys
     each = df.select("*", F.explode(texts).alias("event_text"))
     each = each.withColumn("h", F.coalesce(J.parse_fields(F.col("event_text")), F.create_map().cast(J.FIELDS)))
     h = F.col("h")
-    event = h["event"]
-    inner = J.object_fields(event)
+    # Columns of their own, so that each is computed once however many fields are read from it.
+    each = each.withColumns({"event": h["event"], "inner_event": J.object_fields(h["event"]), "own_fields": J.object_fields(h["fields"])})
+    event, inner = F.col("event"), F.col("inner_event")
     kind = J.kind(event)
     line = F.when(J.kind(inner["line"]) != "null", J.as_json(inner["line"]))
     message = (
@@ -150,13 +151,13 @@ def normalise_hec(raw: DataFrame, promoted: tuple[Promoted, ...] = (), drop_keys
     about = J.object_of({k: J.as_text(inner[k]) for k in ("source", "tag")})
     hec = J.object_of({f"hec_{k}": J.as_text(h[k]) for k in ("source", "sourcetype", "index")})
     extras = J.merge(
-        J.object_fields(h["fields"]), J.merge(hec, J.merge(J.object_fields(inner["attrs"]), about))
+        F.col("own_fields"), J.merge(hec, J.merge(J.object_fields(inner["attrs"]), about))
     )
     each = each.withColumns({"extras": extras, "text": message})
     e = F.col("extras")
     service = F.coalesce(
         blank_to_null(J.as_text(h["sourcetype"])),
-        F.regexp_replace(J.as_text(J.object_fields(h["fields"])["container_name"]), "^/+", ""),
+        F.regexp_replace(J.as_text(F.col("own_fields")["container_name"]), "^/+", ""),
     )
     fixed = {
         "message": F.col("text"),
@@ -187,11 +188,8 @@ def normalise_forward(raw: DataFrame, promoted: tuple[Promoted, ...] = (), drop_
     )
     single = F.array(pair(second, F.get("parts", 2)))
     entries = F.when(J.kind(second) == "array", batch).otherwise(single)
-    each = (
-        df.select("*", F.explode(entries).alias("entry"))
-        .withColumn("r", J.object_fields(F.col("entry.record")))
-        .filter(F.col("r").isNotNull())
-    )
+    each = df.select("*", F.explode(entries).alias("entry")).withColumn("r", J.object_fields(F.col("entry.record")))
+    each = only(each, F.col("r").isNotNull())
     r = F.col("r")
     tag = F.coalesce(blank_to_null(J.as_text(F.get("parts", 0))), F.lit(""))
     text = lambda k: F.when(J.kind(r[k]) != "null", J.as_json(r[k]))
@@ -223,14 +221,19 @@ def normalise_k8s_audit(
         F.array("v"),
     )
     each = df.select("*", F.explode(F.coalesce(items, top, one)).alias("ev"))
-    each = each.withColumn("a", J.object_fields(F.col("ev"))).filter(F.col("a").isNotNull())
+    each = only(each.withColumn("a", J.object_fields(F.col("ev"))), F.col("a").isNotNull())
     a = F.col("a")
     stage = F.coalesce(J.as_text(a["stage"]), F.lit(""))
     if omit_stages:
         each = each.filter(~stage.isin(list(omit_stages)))
-    status, ref = J.object_fields(a["responseStatus"]), J.object_fields(a["objectRef"])
-    code = F.when(J.kind(status["code"]) == "integer", F.try_variant_get(status["code"], "$", "bigint"))
-    part = lambda k: F.coalesce(J.as_text(ref[k]), F.lit(""))
+    # Columns of their own, so that each is computed once however many fields are read from it.
+    each = each.withColumns({"status": J.object_fields(a["responseStatus"]), "ref": J.object_fields(a["objectRef"]), "stage_name": stage})
+    status, ref, stage = F.col("status"), F.col("ref"), F.col("stage_name")
+    of_code = F.when(J.kind(status["code"]) == "integer", F.try_variant_get(status["code"], "$", "bigint"))
+    parts = [F.coalesce(J.as_text(ref[k]), F.lit("")).alias(k) for k in ("apiGroup", "resource", "namespace", "name")]
+    each = each.withColumns({"code": of_code, "parts": F.struct(*parts)})
+    code = F.col("code")
+    part = lambda k: F.col("parts")[k]
     target = F.when(
         ref.isNotNull(),
         F.concat(

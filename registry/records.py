@@ -33,8 +33,9 @@ def s(c) -> Column:
 
 
 def raw(df: DataFrame, body: Column, protocol: str = "http_json") -> DataFrame:
-    """Raw records with the event key kept alongside."""
-    return df.select(
+    """Raw records with the event key kept alongside, dealt to all cores: a file of small events may be one read task."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(2 * context.defaultParallelism).select(
         "event_key", F.lit(RECEIVED).alias("receive_ts"), F.lit("10.9.8.7").alias("source_addr"),
         (protocol if isinstance(protocol, Column) else F.lit(protocol)).alias("protocol"), body.alias("raw"),
     )

@@ -233,3 +233,22 @@ def test_addresses_of_both_families(spark):
     found = {r["c"]: r["n"] for r in spark.createDataFrame([(t,) for t in cidrs], "c string").select("c", network(F.col("c")).alias("n")).collect()}
     assert [c for c in cidrs if found[c] is None] == cidrs[8:]
     assert found["::/0"]["p1"] == found["::/0"]["p2"] == 0 and found["10.0.0.0/8"]["p1"] == 10 and found["1::/65"]["p1"] == 1 << 48
+
+
+def test_filters_read_computed_columns_only(spark, raw):
+    """A filter that moved below the columns it reads would parse each record again."""
+    body = '{"auditID":"a","verb":"get","s":"shop","ev":[{"e":"pageview","u":"/"}]}'
+    salts = spark.createDataFrame([(date(2024, 1, 15), "x")], "day date, salt string")
+    checked = B.validate_beacons(raw(body, "web_event"))
+    frames = [H.normalise_k8s_audit(raw(body)), X.normalise_error_events(raw(body)), H.normalise_gelf(raw(body)), B.explode_beacons(B.envelopes(checked, {}), salts)]
+    for df in frames:
+        assert len(df.collect()) == 1
+        filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in x and "day" not in x]
+        assert filters and all("_row#" in x and len(x) < 200 for x in filters)
+
+
+def test_kinds_of_values(spark):
+    texts = ['"x"', "1", "1.5", "1e300", "true", '{"a":{"b":[1]}}', "[[1],{}]", "null", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = [r[0] for r in df.select(C.J.kind(F.try_parse_json("t"))).collect()]
+    assert got == ["string", "integer", "number", "number", "boolean", "object", "array", "null", None]
