@@ -44,6 +44,8 @@ SLICE = 1 << 22
 #: Side of a tile, and the pairs from which a tile is counted densely.
 TILE = 1 << 10
 DENSE = TILE * TILE // 8
+#: Deals of the pairs of a level, each numbered by itself.
+DEALS = 1 << 10
 #: First choice within so many parts of a language's phrases before the final ranking.
 PARTS = 64
 
@@ -217,9 +219,9 @@ def rewrite_words(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return stored(rows.select("block", "own", "codes", "codes_known", "ids_known").mapInArrow(rewrite, "block long, own int, ids binary"), "phrase-ids")
 
 
-def rewrite_pairs(blocks: DataFrame, kept: DataFrame, ids: DataFrame) -> DataFrame:
+def rewrite_pairs(blocks: DataFrame, kept: DataFrame) -> DataFrame:
     """The blocks one level up: at each place the id of the frequent pair that begins there, else -1."""
-    maps = kept.join(ids.select("key", "id"), "key").groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("id").alias("ids_known"))
+    maps = kept.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("id").alias("ids_known"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,15 +243,21 @@ def _block(block: int, own: int, ids: np.ndarray) -> pa.RecordBatch:
 
 
 def count_level(blocks: DataFrame, least: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(kept: block, key of each frequent pair), (ids: key, a, id), both stored; ids only for the last level."""
+    """(kept: block, key, id of each frequent pair), (ids: key, a, id), both stored; ids only for the last level.
+
+    Pairs are dealt to ``DEALS`` deals by hash and numbered by falling frequency within their deal, so that ids
+    (number * DEALS + deal) follow the frequency closely, and sums, numbers and the rows of all blocks come
+    from one shuffle: no row of a block is joined with the ids of its pairs.
+    """
     counts = pair_counts(blocks)
     if last:
         totals = counts.groupBy("key").agg(F.sum("c").alias("a")).filter(F.col("a") >= least)
         return None, stored(totals.withColumn("id", F.lit(None).cast("int")), "phrase-pairs")
-    kept = counts.withColumn("a", F.sum("c").over(Window.partitionBy("key"))).filter(F.col("a") >= least)
-    kept = stored(kept.select("block", "key", "a"), "phrase-kept")
-    totals = kept.groupBy("key").agg(F.first("a").alias("a"))
-    return kept, stored(frequency_ranks(totals, [F.col("a").desc(), F.col("key")]), "phrase-pairs")
+    dealt = counts.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(DEALS)).cast("int")).repartition("deal")
+    kept = dealt.withColumn("a", F.sum("c").over(Window.partitionBy("deal", "key"))).filter(F.col("a") >= least)
+    number = F.dense_rank().over(Window.partitionBy("deal").orderBy(F.desc("a"), "key")) - 1
+    kept = stored(kept.withColumn("id", number * DEALS + F.col("deal")).select("block", "key", "a", "id"), "phrase-kept")
+    return kept, stored(kept.groupBy("key").agg(F.first("a").alias("a"), F.first("id").alias("id")), "phrase-pairs")
 
 
 # -- phrases -----------------------------------------------------------------------------------------
@@ -292,9 +300,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, block
     vocabulary = stored(frequency_ranks(words.filter(F.col("a") >= least), [F.col("a").desc(), F.col("lang"), F.col("word")]), "phrase-words")
     ids1 = rewrite_words(blocks, vocabulary)
     kept2, pairs2 = count_level(ids1, least, False)
-    ids2 = rewrite_pairs(ids1, kept2, pairs2)
+    ids2 = rewrite_pairs(ids1, kept2)
     kept3, pairs3 = count_level(ids2, least, False)
-    ids3 = rewrite_pairs(ids2, kept3, pairs3)
+    ids3 = rewrite_pairs(ids2, kept3)
     _, pairs4 = count_level(ids3, least, True)
 
     none = F.lit(None).cast("long")

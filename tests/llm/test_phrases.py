@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from logspark.llm.common import frequency_ranks
-from logspark.llm.phrases import LONGEST, block_rows, collocations, neighbours, tile_counts, word_slices
+from logspark.llm.phrases import LONGEST, block_rows, collocations, count_level, neighbours, rewrite_pairs, tile_counts, word_slices
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,16 @@ def test_ranks_follow_the_order_over_many_ranges(sp):
     df = sp.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(90)).alias("f"), F.col("id").alias("k"))
     got = frequency_ranks(df, [F.col("f").desc(), F.col("k")]).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: (-r["f"], r["k"]))] == list(range(5000))
+
+
+def test_rows_of_a_level_carry_the_ids_of_their_pairs(sp):
+    """So that no row of a block is joined with the ids."""
+    rng = np.random.default_rng(3)
+    ids = [(i, 400, rng.integers(0, 9, 400).astype(np.int32).tobytes()) for i in range(6)]
+    kept, pairs = count_level(sp.createDataFrame(ids, "block long, own int, ids binary"), 20, False)
+    of = {r["key"]: (r["a"], r["id"]) for r in pairs.collect()}
+    rows = kept.collect()
+    assert len(rows) > len(of) > 50 and all(of[r["key"]] == (r["a"], r["id"]) for r in rows)
+    assert len({i for _, i in of.values()}) == len(of) and min(a for a, _ in of.values()) >= 20
+    blocks = rewrite_pairs(sp.createDataFrame(ids, "block long, own int, ids binary"), kept)
+    assert blocks.count() == 6
