@@ -83,8 +83,8 @@ def numbered(slot_rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     return slot_rows.withColumn("is_new", opens).withColumn("g", F.sum("is_new").over(running)).drop("is_new")
 
 
-def visits(numbered_slots: DataFrame) -> DataFrame:
-    """Visits (site, visitor, g) folded from their slots, with and without page views."""
+def visits(numbered_slots: DataFrame, *more: Column) -> DataFrame:
+    """Visits (site, visitor, g) folded from their slots, with and without page views; ``more`` aggregates may follow."""
     return numbered_slots.groupBy(*VISITOR, "g").agg(
         F.min("first_s").alias("first_s"),
         F.max("last_s").alias("last_s"),
@@ -100,10 +100,11 @@ def visits(numbered_slots: DataFrame) -> DataFrame:
         F.sum("events").alias("events"),
         F.sum("interactions").alias("interactions"),
         F.sum("engaged_ms").alias("engaged_ms"),
+        *more,
     )
 
 
-def combine_visits(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+def combine_visits(rows: DataFrame, gap_seconds: int = GAP_SECONDS, *more: Column) -> DataFrame:
     """Visits that lie within the gap of each other made one; the others stay as they are.
 
     New events never split a visit, they only lengthen or join some. So a visit's row, whose
@@ -115,7 +116,7 @@ def combine_visits(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame
     opens = F.when(reach.isNull() | (F.col("first_s") - reach > gap_seconds), 1).otherwise(0)
     marked = rows.withColumn("is_new", opens)
     running = by_start.rowsBetween(W.unboundedPreceding, 0)
-    return visits(marked.withColumn("g", F.sum("is_new").over(running)))
+    return visits(marked.withColumn("g", F.sum("is_new").over(running)), *more)
 
 
 def session_rows(visit_rows: DataFrame) -> DataFrame:

@@ -97,8 +97,11 @@ def apply_batch(
     index = read_index(spark, root, version)
     parts = touched(index, fresh, gap_seconds).collect()  # a row per partition, not per visit
     old = read_parts(spark, root, parts)
-    rows = fresh if old is None else fresh.unionByName(old.drop("place"))
-    merged = _kept(placed(sessions.combine_visits(rows, gap_seconds).drop("g"), buckets), f"{root}/merged/ring={ring}")
+    rows = fresh.withColumn("_changed", F.lit(True))
+    rows = rows if old is None else rows.unionByName(old.drop("place").withColumn("_changed", F.lit(False)))
+    # A visit has changed when one of the batch's visits lies inside it.
+    merged = sessions.combine_visits(rows, gap_seconds, F.max("_changed").alias("_changed"))
+    merged = _kept(placed(merged.drop("g"), buckets), f"{root}/merged/ring={ring}")
 
     was = spark.createDataFrame([(p["part_day"], p["part_bucket"], p["place"]) for p in parts], "part_day date, part_bucket int, was int")
     sizes = merged.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("n"), F.max("last_s").alias("reach_s"))
@@ -107,7 +110,7 @@ def apply_batch(
         F.coalesce("n", F.lit(0)).alias("n"), "reach_s",
     )
     (
-        merged.join(now.select(*PARTITION, "place"), PARTITION)
+        merged.drop("_changed").join(now.select(*PARTITION, "place"), PARTITION)
         .repartition(*PARTITION)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("place", *PARTITION).parquet(f"{root}/visits")
@@ -116,11 +119,7 @@ def apply_batch(
     rest.select(*now.columns).unionByName(now).write.mode("overwrite").parquet(f"{root}/index/ring={ring}")
     mark = spark.range(1).select(F.lit(version).cast("long").alias("version"))
     mark.write.mode("overwrite").parquet(f"{root}/marks/ring={ring}")
-    # A visit has changed when one of the batch's visits lies inside it.
-    starts = fresh.select(F.col("site_id").alias("_site"), F.col("visitor_id").alias("_visitor"), F.col("first_s").alias("_at"))
-    holds = F.col("_at").between(F.col("first_s"), F.col("last_s"))
-    own = (F.col("site_id") == F.col("_site")) & (F.col("visitor_id") == F.col("_visitor"))
-    return merged.join(starts, own & holds, "left_semi"), parts
+    return merged.filter("_changed").drop("_changed"), parts
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:

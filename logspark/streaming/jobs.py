@@ -21,7 +21,7 @@ from logspark.normalise.shippers import MAX_CHUNKED_BYTES, MAX_CHUNKS
 from logspark.operators import alerts, errors, realtime, sessions, visit_store
 from logspark.operators.rollups import duration_ms, percentiles
 from logspark.operators.web_reports import human
-from logspark.operators.web_rollups import web_rollup_daily, web_rollup_minute
+from logspark.operators.web_rollups import daily_values_of_visits, fold_tail, web_rollup_daily, web_rollup_minute
 from logspark.sources.tiers import append_once, commit_batch
 
 WIDTHS = {"1m": "1 minute", "1h": "1 hour"}
@@ -184,8 +184,8 @@ def web_rollup_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         days = batch.withColumns({"part_day": F.to_date("ts"), "batch_id": F.lit(batch_id)})
-        (
-            days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (  # files by day: their number grows with the rows, not with tasks times days
+            days.hint("rebalance", "part_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("part_day", "batch_id").parquet(f"{root}/events")
         )
         events = spark.read.schema(days.schema).parquet(f"{root}/events").filter(F.col("batch_id") <= batch_id)
@@ -207,8 +207,9 @@ def rebuild_days(spark: SparkSession, root: str, days: list, batch_id: int, gap_
     visits = visit_store.read_visits(spark, f"{root}/visits", batch_id + 1, min(days), max(days))
     if visits is None:
         visits = visit_store.cut(events.limit(0), gap_seconds)
-    stamped = visit_store.stamp_from_visits(events.drop("part_day", "batch_id"), visits, gap_seconds)
-    write_days(stamped, sessions.session_rows(visits), f"{root}/minute", f"{root}/daily", top)
+    events = events.drop("part_day", "batch_id")
+    replace_days(web_rollup_minute(events), f"{root}/minute", "bucket")
+    replace_days(fold_tail(daily_values_of_visits(events, visits, gap_seconds), top), f"{root}/daily", "day")
 
 
 def recompute_days(
@@ -223,17 +224,18 @@ def recompute_days(
 
 def write_days(stamped: DataFrame, session_rows: DataFrame, minute_path: str, daily_path: str, top: int = 100) -> None:
     """The rollups of all days of ``stamped`` in place of those days' old ones."""
-    for fresh, path, column in (
-        (web_rollup_minute(stamped), minute_path, "bucket"),
-        (web_rollup_daily(stamped, session_rows, top), daily_path, "day"),
-    ):
-        (
-            fresh.withColumn("part_day", F.to_date(column))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("part_day")
-            .parquet(path)
-        )
+    replace_days(web_rollup_minute(stamped), minute_path, "bucket")
+    replace_days(web_rollup_daily(stamped, session_rows, top), daily_path, "day")
+
+
+def replace_days(fresh: DataFrame, path: str, column: str) -> None:
+    (
+        fresh.withColumn("part_day", F.to_date(column))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("part_day")
+        .parquet(path)
+    )
 
 
 # -- R6, R7: state -----------------------------------------------------------
