@@ -34,6 +34,10 @@ ROUNDS, BATCH, STEP, SHARPNESS = 600, 32, 0.1, 50.0
 SCALES = (1.0, 0.6, 0.3, 0.1)
 #: Encoded words remembered per Python worker.
 PIECES_KEPT = 1 << 20
+#: White space but blanks and line ends, and that of it in ASCII.
+OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
+
 
 class Encoder:
     """ids of byte-level BPE texts; words met before come from a bounded table."""
@@ -44,27 +48,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _encode(self, *texts: str) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
         """ids as unsigned 32-bit numbers in the machine's byte order.
 
         Single blanks and single line ends between visible characters are borders for the
         byte-level pre-tokeniser too, so such texts are looked up word by word; any other white
-        space sends the text to the tokeniser whole.
+        space sends the text to the tokeniser whole. The table holds words without their blank.
         """
-        words = text.replace("\n", " \n").split(" ")
-        seen_chars = sum(map(len, text.split()))
-        if not text or "" in words or "\n" in words or seen_chars != len(text) - text.count(" ") - text.count("\n"):
-            return self._encode(text)
-        words[1:] = [w if w[0] == "\n" else " " + w for w in words[1:]]
+        spaced = text.replace("\n", " \n")
+        odd = not text or spaced[0] == " " or spaced[-1] in " \n" or "  " in spaced or "\n " in spaced
+        if odd or any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE)):
+            return self._encode(text)[0]
+        first, *words = spaced.split(" ")
         seen = self.seen
-        if len(seen) > PIECES_KEPT:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = self._encode(w)
-        return b"".join(map(seen.__getitem__, words))
+        try:
+            rest = b"".join(map(seen.__getitem__, words))
+        except KeyError:
+            if len(seen) > PIECES_KEPT:
+                seen.clear()
+            new = list(set(words).difference(seen))
+            seen.update(zip(new, self._encode(*[w if w[0] == "\n" else " " + w for w in new]), strict=True))
+            rest = b"".join(map(seen.__getitem__, words))
+        return self._encode(first)[0] + rest
 
 
 _LOADED: dict[str, Encoder] = {}

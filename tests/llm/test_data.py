@@ -80,6 +80,21 @@ def test_encoder_equals_the_tokeniser():
         assert encode(t) == np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_encoder_asks_the_tokeniser_once_for_new_words():
+    encode, calls = Encoder(PATH), []
+    library = encode.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    encode.tokenizer = Counted()
+    text = "one two\nthree " * 3 + "four"
+    assert encode(text) == encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(calls) == 3 and len(encode.seen) == 4
+
+
 def test_cut():
     assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)] and cut(8, 4) == [(0, 4), (4, 4)]
 
