@@ -107,7 +107,9 @@ class Table:
         """Ratios, and whether the key is there."""
         if not len(self.keys):
             return np.zeros(len(keys)), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        order = np.argsort(keys)  # neighbours in the table are looked up one after the other
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
         return self.ratios[at], self.keys[at] == keys
 
 
@@ -116,32 +118,44 @@ class Ratios:
 
     def __init__(self, pairs: Table, words: Table, befores: Table, unseen: float):
         self.pairs, self.words, self.befores, self.unseen = pairs, words, befores, unseen
-        self.seen: dict[str, tuple[int, float, float]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Place of each word met in ``facts``: key, ratio as a word, backoff ratio as the word before."""
+        self.seen: dict[str, int] = {}
+        self.facts = (np.empty(0, np.int64), np.empty(0), np.empty(0))
 
     def _learn(self, words: set[str]) -> None:
-        """Key, ratio as a word and backoff ratio as the word before, of new words."""
-        if len(self.seen) > HELD:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
+        """``words`` are new ones."""
+        new = list(words)
         keys = np.array([_key(w) for w in new], np.int64)
         word, known = self.words.find(keys)
         before, met = self.befores.find(keys)
-        own = np.where(known, word, self.unseen)
-        self.seen.update(zip(new, zip(keys.tolist(), own.tolist(), np.where(met, before, 0.0).tolist())))
+        fresh = keys, np.where(known, word, self.unseen), np.where(met, before, 0.0)
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
+        self.facts = tuple(np.concatenate(x) for x in zip(self.facts, fresh, strict=True))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Per text the logarithm of the mean ratio per word, which is above -``2 * MIX``, plus that; of ``2 * MIX`` for a text without words."""
+        spoken = [[START, *words_of(t)] for t in texts]
+        words = [w for ws in spoken for w in ws]
+        if not words:
+            return []
+        if new := set(words).difference(self.seen):
+            if len(self.seen) + len(new) > HELD:
+                new = set(words)
+                self._forget()
+            self._learn(new)
+        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        keys, own, backoff = (f[at] for f in self.facts)
+        pair, known = self.pairs.find(_after(keys[:-1], keys[1:]))  # those from a text to the next START are left out below
+        ratio = np.where(known, pair, backoff[:-1] + own[1:])
+        gain = np.log1p(MIX * np.expm1(ratio))
+        ends = np.cumsum([len(ws) for ws in spoken])
+        return [float(np.log(2 * MIX + (gain[e - len(ws) : e - 1].mean() if len(ws) > 1 else 0.0))) for e, ws in zip(ends.tolist(), spoken, strict=True)]
 
     def score(self, text: str | None) -> float:
-        """Logarithm of the mean ratio per word, which is above -``2 * MIX``, plus that; of ``2 * MIX`` for a text without words."""
-        words = [START, *words_of(text)]
-        if len(words) == 1:
-            return float(np.log(2 * MIX))
-        if not all(map(self.seen.__contains__, words)):
-            self._learn(set(words))
-        facts = [self.seen[w] for w in words]
-        keys = np.array([f[0] for f in facts], np.int64)
-        own, backoff = np.array([f[1] for f in facts]), np.array([f[2] for f in facts])
-        pair, known = self.pairs.find(_after(keys[:-1], keys[1:]))
-        ratio = np.where(known, pair, backoff[:-1] + own[1:])
-        return float(np.log(2 * MIX + np.log1p(MIX * np.expm1(ratio)).mean()))
+        return self.scores([text])[0]
 
 
 def middle(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -172,7 +186,7 @@ def _scores(ratios: Ratios, slope: float, shift: float, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.array([ratios.score(t) for t in batch.column(1).to_pylist()], np.float64)
+            raw = np.array(ratios.scores(batch.column(1).to_pylist()), np.float64)
             out = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], schema=schema)
 
@@ -246,7 +260,7 @@ def _scores_raw(ratios: Ratios):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [ratios.score(t) for t in batch.column(1).to_pylist()]
+            raw = ratios.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.float64())], schema=schema)
 
     return run

@@ -1,3 +1,4 @@
+import numpy as np
 """Quality rules, secrets, pseudonyms and toxicity."""
 
 import hashlib
@@ -189,3 +190,24 @@ def test_rare_toxic_words_count_and_unseen_ones_back_off(sp):
     neutral = ratios.score("")
     assert ratios.score("vile") > ratios.score("the") and ratios.score("scum") > ratios.score("vile") > neutral
     assert ratios.score("mild") < neutral and abs(ratios.score("unknown") - neutral) < 1e-9
+
+
+def test_toxicity_scores_a_batch_with_one_lookup_of_its_pairs(monkeypatch):
+    import pyarrow as pa
+
+    from logspark.llm import toxicity as T
+
+    def table(*keys):
+        return T.Table(pa.table([pa.array(keys, pa.int64()), pa.array([0.5 * i - 1 for i in range(len(keys))])], ["key", "ratio"]))
+
+    a, b, c = (T._key(w) for w in "abc")
+    after = T._after(np.array([a, T._key(T.START)]), np.array([b, c])).tolist()
+    texts = ["a b c", None, "", "C b d", "a", "12 !", "b a b a"]
+    model = lambda: T.Ratios(table(*after), table(a, b, c), table(b, a), -0.7)
+    each, lookups, real = [model().score(t) for t in texts], [], T.Table.find
+    monkeypatch.setattr(T.Table, "find", lambda self, keys: lookups.append(len(keys)) or real(self, keys))
+    assert model().scores(texts) == each and len(lookups) == 3  # words, words before, pairs
+    monkeypatch.setattr(T, "HELD", 2)
+    small = model()
+    assert [x for t in texts for x in small.scores([t])] == each and len(small.seen) <= 4
+    assert each[1] == each[2] == each[5] and len(set(each)) == 5
