@@ -13,6 +13,7 @@ pieces of its length, so placing is one broadcast lookup and no task holds a len
 from __future__ import annotations
 
 import math
+import os
 import sys
 import zlib
 from array import array
@@ -43,6 +44,7 @@ class Encoder:
     """ids of byte-level BPE texts; words met before come from a bounded table."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -1,6 +1,7 @@
 """Mixing, packing, archives, the pipeline and the registry."""
 
 import io
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +94,7 @@ def test_encoder_asks_the_tokeniser_once_for_new_words():
     text = "one two\nthree " * 3 + "four"
     assert encode(text) == encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(calls) == 3 and len(encode.seen) == 4
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
 
 
 def test_cut():
