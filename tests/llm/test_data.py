@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +73,32 @@ def test_mix_deviates_less_than_a_block(sp):
     assert mix(df.limit(0)).collect() == []
 
 
+def test_mixed_moves_documents_once(sp, tmp_path, capsys):
+    rows = [(i, "ab"[i % 2], "x" * (i % 90)) for i in range(400)]
+    sp.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/docs")
+    out = mixed(sp.read.parquet(f"{tmp_path}/docs"), weights={"a": 0.7, "b": 0.3}, block_chars=300, period=100)
+    capsys.readouterr()
+    out.explain("formatted")
+    moves = re.findall(r"\) Exchange\n(?:Input|Arguments).*", capsys.readouterr().out)
+    assert sum("row#" in m for m in moves) == 1
+
+
+def test_mixed_splits_copies_over_blocks(sp, monkeypatch):
+    from logspark.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_CHARS", 2_000)  # several buckets of a source, one with far more copies
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aab"), "x" * rng.randint(0, 60), "en") for i in range(300)]
+    rows += [(1_000, "a", "copy " * 10, rng.choice(["en", None]))] * 90 + [(None, None, None, "de")] * 700 + [(1_001, "b", "", None)] * 40
+    df = sp.createDataFrame(rows, "doc_id long, source string, text string, lang string").repartition(5)
+    how = {"weights": {"a": 0.5, "b": 0.3}, "block_chars": 300, "period": 100}
+    places = mix(df, **how).orderBy("mix_slot", "mix_offset").collect()
+    plain = [r["row"] for r in places]
+    assert all(len({r["mix_slot"] for r in places if r["row"]["doc_id"] == i}) > 1 for i in (1_000, None))  # copies of one text lie in several slots
+    got = mixed(df, **how).collect()
+    assert [r[:3] for r in got] == [r[:3] for r in plain] and Counter(got) == Counter(plain)
+
+
 def test_encoder_equals_the_tokeniser():
     encode = Encoder(PATH)
     rng = random.Random(8)
