@@ -18,11 +18,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.llm.common import prepare
-from logspark.llm.spans import matches_of, parts_of, places
+from logspark.llm.spans import bound, matches_of, parts_of, places
 
 # The patterns of the base spans.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -61,12 +63,22 @@ def _base(text: Column, kind: str) -> Column:
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
-_QUICK = {"assign": "(?i)pass|secret|token|api_?key", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "markov": "[A-Za-z0-9_+/-]{16}"}
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
+def _chance(kind: str) -> Column:
+    """A cheap test that holds wherever there is a span; searches for fixed strings go first."""
+    text = F.col("text")
+    if kind == "assign":
+        return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [low.contains(w) for w in _WORDS]))
+    if kind == "access":
+        return text.contains("AKIA") & text.rlike(f"AKIA[A-Z0-9]{{{ACCESS_MIN - 4}}}")
+    return text.rlike(f"[0-9a-f]{{{HEX_MIN}}}" if kind == "hex" else "[A-Za-z0-9_+/-]{16}")
 
 
 def _where(kind: str, spans: Column) -> Column:
     """Spans only where a cheap test finds a chance of one."""
-    return F.when(F.col("text").rlike(_QUICK[kind]), spans).otherwise(F.array()).cast(_SPANS)
+    return F.when(_chance(kind), spans).otherwise(F.array()).cast(_SPANS)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[float], list
     even.
     """
     order = F.xxhash64("text")
-    hit = base_spans(docs.filter(" OR ".join(f"text RLIKE '{_QUICK[k]}'" for k in KINDS[:3])).select("text")).filter(F.size("base") > 0)
+    hit = base_spans(docs.filter(reduce(or_, map(_chance, KINDS[:3]))).select("text")).filter(F.size("base") > 0)
     hit = hit.select(F.col("base.value").alias("values"), order.alias("o")).groupBy("o").agg(F.first("values").alias("values"))
     hit = hit.orderBy("o").limit(sample).select(F.explode("values").alias("value"))
     least = docs.select(order.alias("o")).distinct().orderBy("o").limit(sample)
@@ -146,24 +158,28 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[float], list
     return log_ratios(random, ordinary), surprises(ordinary)
 
 
-def _over_pairs(value: Column, table: list[float], change: Callable[[Column], Column]) -> Column:
+def _codes(value: Column) -> Column:
+    """Places of a value's characters in the alphabet."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1)
+
+
+def _over_pairs(codes: Column, table: list[float], change: Callable[[Column], Column]) -> Column:
     """Sum of the changed table values over neighbouring characters of a value of the alphabet."""
     values = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded once, when planned
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
-    steps = F.sequence(F.lit(1), F.char_length(value) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + change(F.get(values, place(i) * len(ALPHABET) + place(i + 1))))
+    steps = F.sequence(F.lit(1), F.size(codes) - 1)
+    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + change(F.get(values, F.get(codes, i - 1) * len(ALPHABET) + F.get(codes, i))))
 
 
-def ratio_of(value: Column, table: list[float]) -> Column:
+def ratio_of(codes: Column, table: list[float]) -> Column:
     """Log ratio under the random model that the patterns' values taught."""
-    return _over_pairs(value, table, lambda x: x)
+    return _over_pairs(codes, table, lambda x: x)
 
 
-def even_ratio_of(value: Column, table: list[float]) -> Column:
+def even_ratio_of(value: Column, codes: Column, table: list[float]) -> Column:
     """Log ratio under an even model over the value's own alphabet; null for one kind of characters."""
     kinds = [value.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]")]
     size = 26 * kinds[0] + 26 * kinds[1] + 10 * kinds[2] + 2 * value.rlike("[_/+-]").cast("int")
-    ratio = _over_pairs(value, table, lambda x: F.when(x > 0, x - F.log(size.cast("double"))).otherwise(0.0))
+    ratio = bound(F.log(size.cast("double")), lambda even: _over_pairs(codes, table, lambda x: F.when(x > 0, x - even).otherwise(0.0)))
     return F.when(kinds[0] + kinds[1] + kinds[2] > 1, ratio - math.log(ALPHABETS))
 
 
@@ -180,7 +196,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table, surprise = train(rows, sample)
     out = candidates(base_spans(rows))
-    random = F.filter("tokens", lambda t: F.greatest(ratio_of(t["value"], table), even_ratio_of(t["value"], surprise)) >= min_ratio)
+    random = F.filter("tokens", lambda t: bound(_codes(t["value"]), lambda c: F.greatest(ratio_of(c, table), even_ratio_of(t["value"], c, surprise)) >= min_ratio))
     out = out.withColumn("_markov", random)
     out = out.withColumn("found", F.sort_array(F.concat("base", "_markov")))
     name = lambda s: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["start"], s["end"])

@@ -18,22 +18,35 @@ def matches_of(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once: what stands inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def places(parts: Column, matches: Column) -> Column:
     """Array of (start, end, value) in code points, end exclusive, for ``matches`` between ``parts``.
 
     The prefix sums of the lengths go by blocks, so a text with m matches costs about m * sqrt(m)
     small steps.
     """
-    lens = F.zip_with(F.slice(parts, 1, F.size(matches)), matches, lambda p, m: F.char_length(p) + F.char_length(m))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lens, b * BLOCK + 1, BLOCK), F.lit(0), lambda s, x: s + x))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
 
-    def place(m: Column, i: Column) -> Column:
-        b = F.floor(i / BLOCK).cast("int")
-        before = total(F.slice(blocks, 1, b)) + total(F.slice(lens, b * BLOCK + 1, i - b * BLOCK)) + F.char_length(F.get(parts, i))
-        return F.struct(before.alias("start"), (before + F.char_length(m)).alias("end"), m.alias("value"))
+    def lengths(x: Column) -> Column:
+        lens = F.zip_with(F.slice(x["parts"], 1, F.size(x["matches"])), x["matches"], lambda p, m: F.char_length(p) + F.char_length(m))
+        return bound(lens, lambda lens: bound(sums(lens), lambda blocks: placed(x, lens, blocks)))
+
+    def sums(lens: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / BLOCK).cast("int")), lambda b: total(F.slice(lens, b * BLOCK + 1, BLOCK)))
+
+    def placed(x: Column, lens: Column, blocks: Column) -> Column:
+        def place(m: Column, i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            before = total(F.slice(blocks, 1, b)) + total(F.slice(lens, b * BLOCK + 1, i - b * BLOCK)) + F.char_length(F.get(x["parts"], i))
+            return F.struct(before.alias("start"), (before + F.char_length(m)).alias("end"), m.alias("value"))
+
+        return F.transform(x["matches"], place)
 
-    return F.transform(matches, place)
+    return bound(F.struct(parts.alias("parts"), matches.alias("matches")), lengths)
 
 
 def replaced(parts: Column, matches: Column, change: Callable[[Column], Column]) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -104,6 +105,18 @@ def test_numbers_are_no_random_strings(sp, texts):
     assert all(got[100 + i]["n_markov"] == 0 for i in range(len(numbers))) and got[200]["n_markov"] == 1
 
 
+def test_a_text_of_many_tokens_is_searched_once(sp, texts):
+    words = [f"configuration_parameter_{'abcdefghij'[i % 10]}" for i in range(6000)]
+    rows = [(1, " ".join(words) + " token=abcdefgh Zk3v9QxT7bLm2WqR8sYh1Nf4 " + "deadbeef" * 3)]
+    began = time.time()
+    got = scan(texts(rows)).collect()[0]
+    took = time.time() - began
+    want = brute_spans(rows[0][1])
+    assert [s for s in got["spans"].split(",") if not s.startswith("markov")] == want and len(want) == 2
+    assert all(rows[0][1][s["start"] : s["end"]] == s["value"] for s in got["found"] if s["kind"] != 0)
+    assert took < 30  # a search for each of the 6,000 tokens takes minutes
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
